@@ -1,0 +1,43 @@
+"""Registered queries of this subpackage: thin applications of its operators to whole tables."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from memlake.llm import embed_dedup, piece_bpe, secret_scan, simhash, token_ids, warc
+from memlake.llm._shared import table
+
+
+def op1_token_ids(spark, sf_dir):
+    manifest = token_ids.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_ids.read_shards(manifest)
+
+
+def op2_embedding_dedup(spark, sf_dir):
+    return embed_dedup.components(table(spark, sf_dir, "embeddings"))
+
+
+def op3_sentencepiece(spark, sf_dir):
+    return piece_bpe.digests(piece_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op4_warc(spark, sf_dir):
+    got = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_simhash(spark, sf_dir):
+    got = simhash.components(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
+
+
+def op8_secrets(spark, sf_dir):
+    return secret_scan.digests(secret_scan.spans_by_path(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_embedding_dedup, op3_sentencepiece, op4_warc, op5_simhash, op8_secrets)}
+
+ORACLE_SQL: dict[str, str] = {}
+
+_ = F
