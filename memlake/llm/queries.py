@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from memlake.llm import embed_dedup, piece_bpe, secret_scan, simhash, token_ids, warc
+from memlake.llm import decontaminate, embed_dedup, langid, piece_bpe, quality, secret_scan, simhash, token_ids, url_rules, warc
 from memlake.llm._shared import table
 
 
@@ -32,12 +32,33 @@ def op5_simhash(spark, sf_dir):
     return got.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op6_decontaminate(spark, sf_dir):
+    got = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "item_id", F.round("overlap", 6).alias("overlap"), F.round("cosine", 4).alias("cosine"))
+
+
+def op7_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    got = langid.predict(docs, langid.train_on_documents(docs))
+    return got.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_secrets(spark, sf_dir):
     return secret_scan.digests(secret_scan.spans_by_path(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_embedding_dedup, op3_sentencepiece, op4_warc, op5_simhash, op8_secrets)}
+def op9_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    got = quality.score(docs, quality.train_on_labels(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-ORACLE_SQL: dict[str, str] = {}
 
-_ = F
+def op10_url_rules(spark, sf_dir):
+    got = url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return got.select("page_id", "host", "path", "rule", "verdict")
+
+
+_ALL = (op1_token_ids, op2_embedding_dedup, op3_sentencepiece, op4_warc, op5_simhash, op6_decontaminate, op7_language, op8_secrets, op9_quality, op10_url_rules)
+QUERIES = {f.__name__: f for f in _ALL}
+
+ORACLE_SQL: dict[str, str] = {}
