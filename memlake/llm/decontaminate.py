@@ -10,9 +10,9 @@ the item's rarest words (its answer), decide. So edited and re-ordered copies ar
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import re
+from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,8 @@ BLOCK = 8
 class Settings:
     rank: int = 48
     cosine: float = 0.75
-    #: Share of a passage's IDF mass that must be of benchmark words before it is compared at all.
+    #: Share of a passage's IDF mass that must be of benchmark words before it is compared at all; less in proportion where
+    #: the block's shortest item has fewer words than a passage, and so with the cosine (by the root) for such an item.
     coverage: float = 0.55
     #: Share of an item's words that must be a common subsequence with the text.
     subsequence: float = 0.7
@@ -105,21 +106,27 @@ class _Passages:
         return out
 
     def known(self):
+        """Positions of benchmark words, and their blocks."""
         at = np.flatnonzero(self.ids)
-        return at, np.searchsorted(self.begin, at, side="right") - 1
+        return at, np.repeat(np.arange(len(self.begin)), self.size)[at]
 
-    def project(self, table: np.ndarray) -> np.ndarray:
-        """Rows of the normalised TF-IDF matrix times table (term x k, IDF included)."""
+    def project(self, table: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
+        """Rows of the normalised TF-IDF matrix times table (term x k, IDF included); of the windows `only`, or all."""
         at, block = self.known()
+        if only is not None:
+            asked = np.zeros(len(self.begin) + 1, bool)
+            asked[only] = asked[only + 1] = True  # a window's blocks; the one after a document's end does no harm
+            at, block = at[asked[block]], block[asked[block]]
         out = np.zeros((len(self.begin), table.shape[1]), np.float32)
         if len(at):
             first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             out[block[first]] = np.add.reduceat(table[self.ids[at]], first)
-        return self.pair(out) / self.norm[:, None]
+        out = self.pair(out)
+        return (out if only is None else out[only]) / (self.norm if only is None else self.norm[only])[:, None]
 
 
-def _slices(batch, size: int = 400_000):
-    """Pieces of a batch of (key, ids binary) of about size words, as flat ids and lengths."""
+def _slices(batch, size: int = 40_000):
+    """Pieces of a batch of (key, ids binary) of about size words, as flat ids and lengths; small ones, whose rows of floats stay in the cache."""
     keys, data = batch.column("k"), batch.column("ids")
     lens = np.diff(np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]) // 2
     a = 0
@@ -139,14 +146,18 @@ def tokenise(df: DataFrame, vocabulary: dict[str, int], key: str, text: str) ->
         for batch in batches:
             out = []
             for a in range(0, batch.num_rows, 200):
-                found = [np.fromiter((get(w, 0) for w in words(t)), np.uint16) for t in batch.column(1).slice(a, 200).to_pylist()]
+                found = [np.fromiter(map(get, words(t), repeat(0)), np.uint16) for t in batch.column(1).slice(a, 200).to_pylist()]
                 ids, lens = np.concatenate(found), np.array([len(x) for x in found])
                 begin, _ = _blocks(lens)
                 if len(ids):
-                    block = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(ids)]))
-                    pairs = np.unique(block.astype(np.int64) * size + ids)
-                    df_ += np.bincount(pairs % size, minlength=size)
                     total += len(begin)
+                    # a row for each block, its words sorted: of equal neighbours one counts; `size` pads
+                    rows = np.full((len(begin), BLOCK), size, np.uint16)
+                    n = np.diff(np.r_[begin, len(ids)])
+                    rows[np.arange(BLOCK) < n[:, None]] = ids
+                    rows.sort(axis=1)
+                    once = np.c_[np.ones(len(rows), bool), rows[:, 1:] != rows[:, :-1]]
+                    df_ += np.bincount(rows[once], minlength=size + 1)[:size]
                 out += [x.tobytes() for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.int64())], names=["k", "ids", "term", "n"])
         terms = np.r_[np.flatnonzero(df_), -1].astype(np.int32)
@@ -220,18 +231,30 @@ def search(tokens: DataFrame, items: list[tuple[int, list[int]]], latent: Latent
     """(k, item_id, overlap, cosine): documents that hold an item, with the largest share of its words found and its best cosine."""
     ids_of = [ids for _, ids in items]
     queries, owner = _queries(ids_of, latent)
+    full = np.array([min(1.0, len(ids) / (2 * BLOCK)) for ids in ids_of])
+    least, coverage = (settings.cosine * np.sqrt(full[owner])).astype(np.float32), settings.coverage * float(full.min(initial=1.0))
     answers = []
     for ids in ids_of:
         rare = sorted(set(ids), key=lambda x: (-latent.idf[x], x))
         answers.append(set(rare[: max(1, len(rare) // 3)]))
 
+    size = len(latent.idf)
+    members = np.zeros((len(ids_of), size), bool)
+    for i, ids in enumerate(ids_of):
+        members[i, ids] = True
+    times = [{x: ids.count(x) for x in ids} for ids in ids_of]
+
     def verify(ids: np.ndarray, item: int) -> float:
         a = ids_of[item]
-        share = lcs(a, ids) / len(a)
-        if share < settings.subsequence:
+        least = settings.subsequence * len(a)
+        own = ids[members[item, ids]]  # other words are in no common subsequence
+        if len(own) < least:
+            return 0.0
+        have = set(own.tolist())
+        if sum(x in have for x in answers[item]) < settings.answer * len(answers[item]) or sum(times[item][x] for x in have) < least:
             return 0.0
-        have = set(ids.tolist())
-        return share if sum(x in have for x in answers[item]) >= settings.answer * len(answers[item]) else 0.0
+        share = lcs(a, own) / len(a)
+        return share if share >= settings.subsequence else 0.0
 
     def run(batches):
         for batch in batches:
@@ -240,12 +263,12 @@ def search(tokens: DataFrame, items: list[tuple[int, list[int]]], latent: Latent
                 if not len(p.begin):
                     continue
                 known = np.add.reduceat(np.where(ids > 0, latent.idf[ids], 0), p.begin)
-                dense = np.flatnonzero(p.pair(known) >= settings.coverage * p.pair(p.mass))
+                dense = np.flatnonzero(p.pair(known) >= coverage * p.pair(p.mass))
                 near: dict[tuple[int, int], list] = {}
-                vectors = _unit(p.project(latent.vectors)[dense])
+                vectors = _unit(p.project(latent.vectors, dense))
                 for a in range(0, len(dense), 1024):
                     sims = vectors[a : a + 1024] @ queries.T
-                    r, q = np.nonzero(sims >= settings.cosine)
+                    r, q = np.nonzero(sims >= least)
                     for w, o, s in zip(dense[r + a].tolist(), owner[q].tolist(), sims[r, q].tolist(), strict=True):
                         at = near.setdefault((int(p.doc[w]), o), [0.0, set()])
                         at[0] = max(at[0], s)
@@ -287,7 +310,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         vocabulary = {w: n + 1 for n, w in enumerate(sorted({w for _, ws in split for w in ws}))}
         if not vocabulary:
             continue
-        if len(vocabulary) >= 1 << 16:
+        if len(vocabulary) >= (1 << 16) - 1:
             raise ValueError("too many words in a block of items; set items lower")
         items = [(i, [vocabulary[w] for w in ws]) for i, ws in split if ws]
         tokens, counts, blocks = tokenise(df, vocabulary, key, text)
