@@ -46,21 +46,42 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: dict[tuple, DataFrame] = {}
+
+
+def _shared(spark, sf_dir, name, build) -> DataFrame:
+    """An intermediate table that many queries read: persisted, and recomputed where it was lost or cleared."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
+    if key not in _kept:
+        _kept[key] = build()
+    df = _kept[key]
+    return df if df.is_cached else df.persist()
+
+
 def ev(spark, sf_dir):
-    return extract.events(event_turns(spark, sf_dir))
+    return _shared(spark, sf_dir, "events", lambda: extract.events(event_turns(spark, sf_dir)))
 
 
 def cand(spark, sf_dir):
-    return extract.candidates(extract.atoms(ev(spark, sf_dir)))
+    return _shared(spark, sf_dir, "candidates", lambda: extract.candidates(extract.atoms(ev(spark, sf_dir))))
 
 
 def acts(spark, sf_dir):
-    return reconcile.reconcile(cand(spark, sf_dir))
+    return _shared(spark, sf_dir, "actions", lambda: reconcile.reconcile(cand(spark, sf_dir)))
 
 
 def state(spark, sf_dir):
     a = acts(spark, sf_dir)
-    return ev(spark, sf_dir), reconcile.objects(a), reconcile.versions(a), reconcile.evidence_links(a)
+    made = [_shared(spark, sf_dir, n, lambda f=f: f(a)) for n, f in (("objects", reconcile.objects), ("versions", reconcile.versions), ("links", reconcile.evidence_links))]
+    return ev(spark, sf_dir), *made
+
+
+def session_rows(spark, sf_dir):
+    return _shared(spark, sf_dir, "sessions", lambda: snapshots.session_snapshots(*state(spark, sf_dir), "ev"))
+
+
+def entity_rows(spark, sf_dir):
+    return _shared(spark, sf_dir, "entities", lambda: snapshots.entity_snapshots(*state(spark, sf_dir), "ev"))
 
 
 def joined(c):
@@ -274,7 +295,7 @@ _SESSION_STATES = """, held AS (SELECT DISTINCT l.session_id, o.object_id, o.sub
 
 @query(O.q(O.ACTIONS + _SESSION_STATES, f"SELECT {O.stable_id('snap', repr('ev'), repr('session'), 'session_id')} AS snapshot_id, session_id AS scope_id, {O.summarize('t', 760)} AS summary, {O.summarize('s', 180)} AS synopsis, array_to_string(list_slice(ids, 1, 24), '|') AS object_ids, array_to_string(list_slice(evs, -24, -1), '|') AS event_ids, array_to_string(list_slice(evs, -12, -1), '|') AS child_ids, stamps[1] || '..' || stamps[-1] AS time_range, num_events FROM txt", True))
 def session_snapshot_summary(spark, sf_dir):
-    s = snapshots.session_snapshots(*(state(spark, sf_dir)), "ev")
+    s = session_rows(spark, sf_dir)
     return s.select("snapshot_id", "scope_id", "summary", "synopsis", joined("object_ids").alias("object_ids"), joined("event_ids").alias("event_ids"), joined("child_ids").alias("child_ids"), "time_range", "num_events")
 
 
@@ -285,7 +306,7 @@ _ENTITY_STATES = """, act AS (SELECT subject, list(summary ORDER BY slot, object
 
 @query(O.q(O.ACTIONS + _ENTITY_STATES, f"SELECT {O.stable_id('snap', repr('ev'), repr('entity'), 'subject')} AS snapshot_id, subject AS scope_id, {O.summarize('t', 760)} AS summary, {O.summarize('s', 180)} AS synopsis, array_to_string(list_slice(ids, 1, 32), '|') AS object_ids, array_to_string(evs, '|') AS event_ids, stamps[1] || '..' || stamps[-1] AS time_range FROM txt", True))
 def entity_snapshot(spark, sf_dir):
-    s = snapshots.entity_snapshots(*(state(spark, sf_dir)), "ev")
+    s = entity_rows(spark, sf_dir)
     return s.select("snapshot_id", "scope_id", "summary", "synopsis", joined("object_ids").alias("object_ids"), joined("event_ids").alias("event_ids"), "time_range")
 
 
@@ -298,8 +319,7 @@ def session_texts(spark, sf_dir):
 
 @query()
 def root_snapshot(spark, sf_dir):
-    e, o, v, l = state(spark, sf_dir)
-    return snapshots.root_snapshot(e, snapshots.session_snapshots(e, o, v, l, "ev"), snapshots.entity_snapshots(e, o, v, l, "ev"), "ev")
+    return snapshots.root_snapshot(ev(spark, sf_dir), session_rows(spark, sf_dir), entity_rows(spark, sf_dir), "ev")
 
 
 # ---------------------------------------------------------------- vectors and search
@@ -329,8 +349,7 @@ def _questions(spark):
 
 @query()
 def snapshot_top6(spark, sf_dir):
-    e, o, v, l = state(spark, sf_dir)
-    s = snapshots.session_snapshots(e, o, v, l, "ev").drop("num_events", "num_objects").unionByName(snapshots.entity_snapshots(e, o, v, l, "ev").drop("num_events", "num_objects"))
+    s = session_rows(spark, sf_dir).drop("num_events", "num_objects").unionByName(entity_rows(spark, sf_dir).drop("num_events", "num_objects"))
     return search.rank_snapshots(s, search.analyse(_questions(spark))).select("qid", "snapshot_id", "scope_id", "score", "rank")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions.text import sanitize_id, strip
 
-#: Columns of normalised turns; seq is the order of input.
+#: Columns of normalised turns; seq is the order of input over all sessions.
 TURN_COLUMNS = ["corpus_id", "session_id", "speaker", "text", "timestamp", "metadata", "seq"]
 #: 2024-01-01 in microseconds; the order number of event turns has room for a hundred days around it.
 _START = 1_704_067_200_000_000
@@ -28,28 +28,23 @@ def payload_turns(payload: Column | str) -> Column:
 
 
 def read_conversations(spark: SparkSession, path: str, corpus_id: str) -> DataFrame:
-    """Normalised turns of JSON files, a payload each; a payload without a list of turns fails the job."""
+    """Normalised turns of JSON files, a payload each, in the order of file names and places; a payload without a list of turns fails the job."""
     raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("file"))
     items = F.coalesce(payload_turns("payload"), F.raise_error(F.lit("payload has no list of turns")).cast("array<string>"))
-    rows = raw.select("file", F.posexplode(items).alias("pos", "item"))
-    return normalize_json_turns(rows.select("item", F.struct("file", "pos").alias("order")), corpus_id)
+    files = raw.select("file").distinct().withColumn("nth", F.row_number().over(Window.orderBy("file")).cast("long"))  # a row for each file
+    rows = raw.select("file", F.posexplode(items).alias("pos", "item")).join(files, "file")
+    return normalize_json_turns(rows.select("item", (F.shiftleft("nth", 32) + F.col("pos")).alias("seq")), corpus_id)
 
 
 def normalize_json_turns(items: DataFrame, corpus_id: str) -> DataFrame:
-    """Turns from rows (item JSON, order): aliases and defaults resolved, blank turns dropped, other keys kept as metadata."""
+    """Turns from rows (item JSON, seq): aliases and defaults resolved, blank turns dropped, other keys kept as metadata."""
     get = lambda k: F.nullif(F.get_json_object("item", f"$.{k}"), F.lit(""))
     rest = F.map_filter(F.from_json("item", "map<string,string>"), lambda k, v: ~k.isin(*_KNOWN))
     rows = items.select(
         F.lit(corpus_id).alias("corpus_id"), F.coalesce(get("session_id"), F.lit("session-1")).alias("session_id"), F.coalesce(get("speaker"), get("role"), F.lit("unknown")).alias("speaker"),
-        strip(F.coalesce(get("text"), get("content"), F.lit(""))).alias("text"), get("timestamp").alias("timestamp"), F.to_json(rest).alias("metadata"), "order",
+        strip(F.coalesce(get("text"), get("content"), F.lit(""))).alias("text"), get("timestamp").alias("timestamp"), F.to_json(rest).alias("metadata"), "seq",
     )
-    return number_inputs(rows.where("text != ''"), "order")
-
-
-def number_inputs(rows: DataFrame, *order: str) -> DataFrame:
-    """seq from the input's order within each session, which is all that later operators compare; no global sort."""
-    w = Window.partitionBy("corpus_id", "session_id").orderBy(*order)
-    return rows.withColumn("seq", F.row_number().over(w).cast("long") - 1).select(TURN_COLUMNS)
+    return rows.where("text != ''").select(TURN_COLUMNS)
 
 
 def dialogue_turns(samples: DataFrame) -> DataFrame:
@@ -59,8 +54,8 @@ def dialogue_turns(samples: DataFrame) -> DataFrame:
     rows = rows.select("sample_id", F.regexp_extract("name", r"\d+", 0).cast("int").alias("n"), F.try_element_at("m", F.concat("name", F.lit("_date_time"))).alias("timestamp"), "name", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "item"))
     get = lambda k: F.get_json_object("item", f"$.{k}")
     meta = F.to_json(F.struct(get("dia_id").alias("dia_id"), get("img_url").alias("img_url"), get("blip_caption").alias("blip_caption")))
-    rows = rows.select(sanitize_id("sample_id").alias("corpus_id"), F.col("name").alias("session_id"), F.coalesce(get("speaker"), F.lit("unknown")).alias("speaker"), strip(F.coalesce(get("text"), F.lit(""))).alias("text"), "timestamp", meta.alias("metadata"), F.struct("n", "pos").alias("order"))
-    return number_inputs(rows.where("text != ''"), "order")
+    rows = rows.select(sanitize_id("sample_id").alias("corpus_id"), F.col("name").alias("session_id"), F.coalesce(get("speaker"), F.lit("unknown")).alias("speaker"), strip(F.coalesce(get("text"), F.lit(""))).alias("text"), "timestamp", meta.alias("metadata"), (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("seq"))
+    return rows.where("text != ''").select(TURN_COLUMNS)
 
 
 def dialogue_questions(samples: DataFrame) -> DataFrame:
