@@ -128,11 +128,12 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 8, rate: float = 0
 def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 700, **options) -> Network:
     """Fit on the whole texts of about per_class rows of each label, drawn by a hash of key: the documented bound of what reaches the driver.
 
-    The draw is made on labels alone; its keys are then joined to the documents. Rows with a null label are left out.
+    The draw is made on labels alone; its distinct keys, whose number per_class bounds, are sent to all tasks, so that the
+    documents are not shuffled. Rows with a null label are left out, and a repeated key counts once.
     """
     drawn = class_sample(labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")), "y", "k", per_class)
-    rows = documents.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t")).join(drawn.dropDuplicates(["k"]), "k")
-    found = rows.select("k", "t", "y").toArrow()
+    rows = documents.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t")).join(F.broadcast(drawn.dropDuplicates(["k"])), "k")
+    found = rows.select("k", "t", "y").dropDuplicates(["k"]).toArrow()
     order = sorted(range(found.num_rows), key=lambda i: found.column("k")[i].as_py())
     texts, y = found.column("t").to_pylist(), np.array(found.column("y").to_pylist())
     return fit([texts[i] for i in order], y[order] if len(y) else y, **options)
