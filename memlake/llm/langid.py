@@ -147,7 +147,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, alpha:
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_class: int = 400, **options) -> Model:
-    """Fit on about per_class labelled rows of each language, drawn by a hash of key over all labelled rows: the documented bound of what reaches the driver."""
+    """Fit on about per_class labelled rows of each language, drawn by a hash of key over all labelled rows, a repeated key once: the documented bound of what reaches the driver."""
 
     def run(batches):
         for batch in batches:
@@ -155,7 +155,7 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float32()))], names=["lang", "f", "s"])
 
     labelled = df.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"), F.col(label).alias("lang"))
-    rows = class_sample(labelled, "lang", "k", per_class).select("lang", "text").mapInArrow(run, "lang string, f array<int>, s array<float>").toArrow()
+    rows = class_sample(labelled, "lang", "k", per_class).dropDuplicates(["k"]).select("lang", "text").mapInArrow(run, "lang string, f array<int>, s array<float>").toArrow()
     features, shares = rows.column("f").combine_chunks(), rows.column("s").combine_chunks()
     found = [(lang, f.values.to_numpy(), s.values.to_numpy()) for lang, f, s in zip(rows.column("lang").to_pylist(), features, shares, strict=True)]
     return fit(sorted(found, key=lambda r: (r[0], len(r[1]), r[1][:4].tolist(), float(r[2][0]))), **options)
