@@ -61,4 +61,16 @@ def op10_url_rules(spark, sf_dir):
 _ALL = (op1_token_ids, op2_embedding_dedup, op3_sentencepiece, op4_warc, op5_simhash, op6_decontaminate, op7_language, op8_secrets, op9_quality, op10_url_rules)
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {}
+_UNIT = "CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END"
+_COSINE = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": f"""WITH RECURSIVE e AS (SELECT vec_id, {_UNIT} AS v FROM embeddings),
+ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.v IS NOT NULL AND b.v IS NOT NULL AND {_COSINE} >= 0.95),
+ reach AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+ comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+ SELECT vec_id, coalesce(n.n, 0) AS n_links, comp.c AS component_id, vec_id = comp.c AS kept FROM e JOIN comp ON comp.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op4_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+ SELECT page_id, strlen(h) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((('0x' || substr(d, CAST(1 + 10 * (i // 8) AS BIGINT), 10))::BIGINT >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+ CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM f""",
+}
