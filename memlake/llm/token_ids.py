@@ -12,6 +12,7 @@ import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +102,8 @@ class WordEncoder:
     further, as the tokenizer's own pattern cuts it, so that capitals and punctuation don't multiply the pieces.
     """
 
-    CACHE = 400_000
+    #: Pieces kept in a worker; at the bound the later half goes, since the commonest pieces come early.
+    CACHE = 800_000
     #: The file's pattern of words, with the Latin-1 members of its classes.
     PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
     LETTERS, NUMBERS, SPACES = "a-zA-Zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
@@ -129,6 +131,11 @@ class WordEncoder:
         self.codes: dict[str | None, int] = {}
         self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _halve(self) -> None:
+        n = len(self.codes) // 2
+        self.codes = dict(islice(self.codes.items(), n))  # codes count up in the order of entry
+        self.flat, self.start, self.count = self.flat[: self.start[n]].copy(), self.start[:n].copy(), self.count[:n].copy()
+
     def _pieces(self, text: str) -> list[str]:
         if "<|" not in text:  # added tokens are found before lower-casing
             try:
@@ -141,7 +148,7 @@ class WordEncoder:
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, each with the end id, and their counts."""
         if len(self.codes) > self.CACHE:
-            self._reset()
+            self._halve()
         words: list[str | None] = []
         for t in texts:
             words += self._pieces(t)
