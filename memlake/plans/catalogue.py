@@ -55,7 +55,8 @@ def _shared(spark, sf_dir, name, build) -> DataFrame:
     if key not in _kept:
         _kept[key] = build()
     df = _kept[key]
-    return df if df.is_cached else df.persist()
+    level = df.storageLevel  # is_cached stays true after a cleared cache
+    return df if level.useMemory or level.useDisk else df.persist()
 
 
 def ev(spark, sf_dir):
