@@ -143,6 +143,25 @@ def keyword_repeats(spark, sf_dir):
     return w.where(~F.col("token").isin(T.KEYWORD_STOPWORDS)).groupBy("doc_id", "token").agg(F.count("*").alias("n")).where("n >= 2")
 
 
+# The three queries whose SQL holds ASCII texts alone, over whole tables: DuckDB's \\b is ASCII, so no SQL states these.
+
+
+@query()
+def extract_entities_whole(spark, sf_dir):
+    return conversation_turns(spark, sf_dir).select("session_id", "seq", joined(T.extract_entities("text")).alias("entities"))
+
+
+@query()
+def keyword_repeats_whole(spark, sf_dir):
+    w = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b[a-zA-Z][a-zA-Z0-9_-]{3,}\b"), 0)).alias("token"))
+    return w.where(~F.col("token").isin(T.KEYWORD_STOPWORDS)).groupBy("doc_id", "token").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+@query()
+def query_tokens_whole(spark, sf_dir):
+    return conversation_turns(spark, sf_dir).select("session_id", "seq", joined(F.array_sort(T.query_tokens("text"))).alias("tokens"))
+
+
 @query(O.q(O.EV_TURNS, f"SELECT seq, {O.kind(repr('observation'), 'text')} AS memory_kind, {O.status('text')} AS status FROM ev_turns"))
 def memory_kind(spark, sf_dir):
     from pyspark.sql import Window

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -158,3 +160,34 @@ def test_sources(spark):
     samples = spark.createDataFrame([("My Sample!", json.dumps(sample), json.dumps([{"question": "q", "answer": 7, "category": 2}]))], "sample_id string, conversation string, qa string")
     assert [(r.corpus_id, r.text, r.timestamp) for r in dialogue_turns(samples).orderBy("seq").collect()] == [("my_sample", "early", "8 May, 2023"), ("my_sample", "late", None)]
     assert [(r.qa_id, r.answer) for r in dialogue_questions(samples).collect()] == [("My Sample!-qa-1", "7")]
+
+
+def test_whole_tables_with_accented_texts(spark, tmp_path):
+    texts = ["Élodie Martin visite Zürich; Martin aime le café", "über Über UBER weiß Weise weise weise", "señor mañana mañana \"año nuevo\" Iechä Carolineü", "harbor harbor the the", "niñoword word word wordñ", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    kept = [(i, t) for i, t in enumerate(texts) if t]
+    counts = [(i, k, n) for i, t in kept for k, n in Counter(re.findall(r"\b[a-zA-Z][a-zA-Z0-9_-]{3,}\b", t.lower())).items() if n >= 2 and k not in T.KEYWORD_STOPWORDS]
+    assert {"martin", "weise", "harbor", "word"} == {k for _, k, _ in counts}
+    assert sorted((r.doc_id, r.token, r.n) for r in run("keyword_repeats_whole")) == sorted(counts)
+    want = {i: "|".join(sorted({w for w in re.sub(r"[^a-z0-9\s]", " ", t.lower()).split() if len(w) > 2})) for i, t in kept}
+    assert {r.seq: r.tokens for r in run("query_tokens_whole")} == want
+    found = {r.seq: r.entities for r in run("extract_entities_whole")}
+    assert found == {i: "|".join(plain_entities(t)) for i, t in kept} and found[2] == "o nuevo"
+
+
+def plain_entities(text):
+    """T.extract_entities in plain Python."""
+
+    def canonical(x):
+        x = re.sub(r"\([^)]*\)", " ", x.strip().lower().replace("_", " "))
+        return " ".join(w for w in re.sub(r"[^a-z0-9\s-]", " ", x).split() if w not in T.ENTITY_STOPWORDS)
+
+    phrases = re.findall(r"\b(?:[A-Z][a-zA-Z0-9_-]{1,}(?:\s+[A-Z][a-zA-Z0-9_-]{1,}){1,3})\b", text)
+    held = {w for p in phrases for w in canonical(p).split()}
+    single = [w for w in re.findall(r"\b[A-Z][a-zA-Z0-9_-]{2,}\b", text) if canonical(w) not in held]
+    n = Counter(w for w in re.findall(r"\b[a-zA-Z][a-zA-Z0-9_-]{3,}\b", text.lower()) if w not in T.KEYWORD_STOPWORDS)
+    every = map(canonical, [*re.findall(r'"([^"]{2,80})"', text), *phrases, *single, *(w for w, c in n.items() if c >= 2)])
+    noise = {*T.NOISE_WORDS, *T.KEYWORD_STOPWORDS}
+    return list(dict.fromkeys(x for x in every if x and not all(w in noise for w in re.split(r"[^a-z0-9]+", x) if w)))[:8]
