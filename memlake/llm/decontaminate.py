@@ -28,10 +28,8 @@ BLOCK = 8
 @dataclass(frozen=True)
 class Settings:
     rank: int = 48
+    #: Least cosine of a passage and an item's window; less, by the root, for an item of fewer words than a passage.
     cosine: float = 0.75
-    #: Share of a passage's IDF mass that must be of benchmark words before it is compared at all; less in proportion where
-    #: the block's shortest item has fewer words than a passage, and so with the cosine (by the root) for such an item.
-    coverage: float = 0.55
     #: Share of an item's words that must be a common subsequence with the text.
     subsequence: float = 0.7
     #: Share of the answer's words that the text must hold.
@@ -232,7 +230,7 @@ def search(tokens: DataFrame, items: list[tuple[int, list[int]]], latent: Latent
     ids_of = [ids for _, ids in items]
     queries, owner = _queries(ids_of, latent)
     full = np.array([min(1.0, len(ids) / (2 * BLOCK)) for ids in ids_of])
-    least, coverage = (settings.cosine * np.sqrt(full[owner])).astype(np.float32), settings.coverage * float(full.min(initial=1.0))
+    least = (settings.cosine * np.sqrt(full[owner])).astype(np.float32)
     answers = []
     for ids in ids_of:
         rare = sorted(set(ids), key=lambda x: (-latent.idf[x], x))
@@ -262,14 +260,13 @@ def search(tokens: DataFrame, items: list[tuple[int, list[int]]], latent: Latent
                 p = _Passages(ids, lens, latent.idf)
                 if not len(p.begin):
                     continue
-                known = np.add.reduceat(np.where(ids > 0, latent.idf[ids], 0), p.begin)
-                dense = np.flatnonzero(p.pair(known) >= coverage * p.pair(p.mass))
+                held = np.flatnonzero(p.pair(np.add.reduceat((ids > 0).astype(np.int64), p.begin)))  # others are at no angle to any item
                 near: dict[tuple[int, int], list] = {}
-                vectors = _unit(p.project(latent.vectors, dense))
-                for a in range(0, len(dense), 1024):
+                vectors = _unit(p.project(latent.vectors, held))
+                for a in range(0, len(held), 1024):
                     sims = vectors[a : a + 1024] @ queries.T
-                    r, q = np.nonzero(sims >= least)
-                    for w, o, s in zip(dense[r + a].tolist(), owner[q].tolist(), sims[r, q].tolist(), strict=True):
+                    r, q = np.divmod(np.flatnonzero(sims >= least), len(owner))
+                    for w, o, s in zip(held[r + a].tolist(), owner[q].tolist(), sims[r, q].tolist(), strict=True):
                         at = near.setdefault((int(p.doc[w]), o), [0.0, set()])
                         at[0] = max(at[0], s)
                         at[1].add(w)
@@ -277,13 +274,10 @@ def search(tokens: DataFrame, items: list[tuple[int, list[int]]], latent: Latent
                 out = []
                 for (d, o), (s, where) in near.items():
                     lo, hi = int(starts[p.docs[d]]), int(starts[p.docs[d]] + lens[p.docs[d]])
-                    around, best, done = len(ids_of[o]) + BLOCK, 0.0, lo
-                    for w in sorted(where):
+                    around, best = len(ids_of[o]) + BLOCK, 0.0
+                    for w in where:
                         b = int(p.begin[w])
-                        if b + 2 * BLOCK <= done:
-                            continue
-                        done = min(hi, b + 2 * BLOCK + around)
-                        best = max(best, verify(ids[max(lo, b - around) : done], o))
+                        best = max(best, verify(ids[max(lo, b - around) : min(hi, b + 2 * BLOCK + around)], o))
                     if best:
                         out.append((keys[int(p.docs[d])].as_py(), items[o][0], best, s))
                 if out:

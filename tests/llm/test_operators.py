@@ -226,6 +226,29 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df, bench.where("false")).count() == 0
 
 
+def test_decontamination_is_free_of_corpus_size(spark):
+    rng = np.random.default_rng(16)
+    lexicon = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)]
+    common = lexicon[:60]
+    prose = lambda n: [str(w) for w in np.where(rng.random(n) < 0.6, rng.choice(common, n), rng.choice(lexicon, n))]
+    items = [prose(40) for _ in range(5)]
+    docs = []
+    for i in range(40):
+        w = prose(200)
+        if i < 20:  # a quarter of the words, frequent ones that hold no answer, are others, outside the benchmark
+            changed = rng.permutation([j for j, x in enumerate(items[i % 5]) if x in common])[:10].tolist()
+            leak = [f"zz{j}" if j in changed else x for j, x in enumerate(items[i % 5])]
+            w[i * 5 : i * 5] = leak
+        docs.append((i, " ".join(w)))
+    vocabulary = {w: n + 1 for n, w in enumerate(sorted({w for x in items for w in x}))}
+    tokens, counts, blocks = decontaminate.tokenise(spark.createDataFrame(docs, "doc_id long, text string"), vocabulary, "doc_id", "text")
+    coded = [(i, [vocabulary[w] for w in x]) for i, x in enumerate(items)]
+    for times in (1, 1000, 1_000_000):  # the same corpus over and over
+        latent = decontaminate.latent_space(tokens, counts * times, blocks * times, 24)
+        found = decontaminate.search(tokens, coded, latent, decontaminate.Settings(rank=24)).collect()
+        assert {(r.k, r.item_id) for r in found} == {(i, i % 5) for i in range(20)}
+
+
 def test_lcs():
     rng = np.random.default_rng(7)
     for _ in range(50):
