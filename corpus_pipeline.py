@@ -2,15 +2,16 @@
 
 Each stage reads all that its predecessor kept. All but the last give the columns of documents; the last gives a row
 for each document that is left. Extra columns of the input pass through. Null texts: their language is undetermined,
-so stage 1 rejects them. Rows with a null doc_id pass stage 2 singly and are judged by their texts elsewhere; of repeated
-rows with one doc_id all that stage 2 keeps go on. An empty table gives an empty result. No stage samples or caps rows.
+so stage 1 rejects them. Rows are judged by doc_id and text together, so rows that share a doc_id, or have none, stand or
+fall by their own texts; a row is known by both, and of rows that are alike in both stage 2 keeps one. An empty table
+gives an empty result. No stage samples or caps rows.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm import decontaminate, langid, piece_bpe, secret_scan, simhash
@@ -37,16 +38,26 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return docs.mapInArrow(run, docs.schema)
 
 
+def _digest() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+
+
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each SimHash component."""
-    dropped = simhash.components(docs.select("doc_id", "text")).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(written(dropped, "dropped"), "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each SimHash component: of its smallest doc_id (null only where it has no other), then of the smallest digest."""
+    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _digest().alias("digest")))
+    judged = simhash.components(keyed.select("_key", "text"), "_key")
+    judged = judged.groupBy(F.col("_key")).agg(F.first(F.col("_key") == F.col("component_id")).alias("keep"), F.count("*").alias("n"))
+    judged = written(judged.where("not keep or n > 1"), "judged")
+    single = keyed.join(judged, "_key", "left_anti")
+    repeated = keyed.join(judged.where("keep"), "_key", "left_semi").dropDuplicates(["_key"])
+    return single.unionByName(repeated).select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Drops documents that hold a benchmark item, by their texts alone."""
+    keyed = docs.withColumn("_digest", _digest())
+    found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), "_digest").select("_digest").distinct()
+    return keyed.join(found, "_digest", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from memlake.llm._shared import drop_written, written
 
@@ -160,11 +161,12 @@ def tokenise(df: DataFrame, vocabulary: dict[str, int], key: str, text: str) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.int64())], names=["k", "ids", "term", "n"])
         terms = np.r_[np.flatnonzero(df_), -1].astype(np.int32)
         n = np.r_[df_[df_ > 0], total]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(terms), batch_kind), pa.nulls(len(terms), pa.binary()), pa.array(terms), pa.array(n)], names=["k", "ids", "term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(terms), none), pa.nulls(len(terms), pa.binary()), pa.array(terms), pa.array(n)], names=["k", "ids", "term", "n"])
 
-    batch_kind = pa.int64()
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    tokens = written(rows.mapInArrow(run, "k long, ids binary, term int, n long"), "terms")
+    kind = df.schema[key].dataType
+    none = to_arrow_type(kind)
+    rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    tokens = written(rows.mapInArrow(run, f"k {kind.simpleString()}, ids binary, term int, n long"), "terms")
     counts = np.zeros(size + 1, np.int64)  # the last: blocks
     for r in tokens.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most a row for each benchmark word
         counts[r["term"]] = r["n"]
@@ -281,9 +283,9 @@ def search(tokens: DataFrame, items: list[tuple[int, list[int]]], latent: Latent
                     if best:
                         out.append((keys[int(p.docs[d])].as_py(), items[o][0], best, s))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["k", "item_id", "overlap", "cosine"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (keys.type, pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["k", "item_id", "overlap", "cosine"])
 
-    return tokens.mapInArrow(run, "k long, item_id long, overlap double, cosine double")
+    return tokens.mapInArrow(run, f"k {tokens.schema['k'].dataType.simpleString()}, item_id long, overlap double, cosine double")
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -314,5 +316,5 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         found = hits if found is None else found.union(hits)
         kept.append(hits)
     if found is None:
-        found = spark.createDataFrame([], "k long, item_id long, overlap double, cosine double")
+        found = spark.createDataFrame([], f"k {df.schema[key].dataType.simpleString()}, item_id long, overlap double, cosine double")
     return found.withColumnRenamed("k", key)

@@ -54,3 +54,16 @@ def test_pipeline_odd_rows(spark, tmp_path, sf_dir):
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/e/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/e").count() == 0
     assert langid.UNDETERMINED == "und"
+
+
+def test_rows_of_one_id_and_of_none(spark, tmp_path):
+    item = "which river flows past the old mill before it meets the northern sea near the harbour of stone and salt"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    a, b, c = "a first text about gardens and their walls", "some other words on ships that sail at night", "the third one tells of bread and of ovens"
+    rows = [(1, a), (5, a), (5, b), (7, b), (None, c), (None, c), (9, "a row that stands twice"), (9, "a row that stands twice"), (None, b)]
+    near = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, near, str(tmp_path)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (5, b), (None, c), (9, "a row that stands twice")], key=str)
+    leaks = spark.createDataFrame([(None, f"{a} {item} {b}"), (None, a), (3, f"{b} {item}"), (3, c), (4, None)], "doc_id long, text string")
+    kept = corpus_pipeline.drop_benchmark_leaks(spark, leaks, str(tmp_path)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(None, a), (3, c), (4, None)], key=str)
