@@ -5,7 +5,8 @@ Passages are windows of two adjoining blocks of words, over every whole document
 passages' TF-IDF matrix A gives the latent space: each task sketches its rows, the sketches A'(A O) are summed by term,
 and a Nystrom step on the small matrices yields singular vectors. Passages close by cosine to a window of a benchmark item
 are candidates; the longest common subsequence of the item's words with the text around the passage, and the presence of
-the item's rarest words (its answer), decide. So edited and re-ordered copies are caught as verbatim ones are.
+the item's rarest words (its answer), decide. So edited copies are caught as verbatim ones are; copies
+whose parts are re-ordered, or that quote less than the share `subsequence` of an item, are not.
 """
 
 from __future__ import annotations
