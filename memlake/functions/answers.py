@@ -1,4 +1,4 @@
-"""Answer metrics and answer views as Column expressions."""
+"""Answer metrics and parts of answer views (line scores, trimmed texts) as Column expressions."""
 
 from __future__ import annotations
 
