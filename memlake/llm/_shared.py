@@ -4,20 +4,28 @@ from __future__ import annotations
 
 import os
 import posixpath
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_root: dict[str, str] = {}
+_open: list[list[str]] = []
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The shared folder that the session names in spark.checkpoint.dir; a folder of our own only where it is unset.
+
+    Our own folder is the driver's alone, so a session whose tasks run elsewhere must name one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
         _own_root[app] = "file://" + tempfile.mkdtemp(prefix="memlake-")
@@ -25,7 +33,10 @@ def work_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{work_root(spark)}/memlake-{tag}-{uuid.uuid4().hex[:12]}"
+    folder = f"{work_root(spark)}/memlake-{tag}-{uuid.uuid4().hex[:12]}"
+    for made in _open:
+        made.append(folder)
+    return folder
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -36,15 +47,44 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(*tables: DataFrame) -> None:
     """Delete the folders of written() tables that no later plan reads."""
     for df in tables:
-        spark = df.sparkSession
         for f in {posixpath.dirname(x) for x in df.inputFiles()}:
-            if "/memlake-" not in f:
-                continue
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            if "/memlake-" in f:
+                _delete(df.sparkSession, f)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the folders that the driver names within the block at its end, but for those of tables given to the yielded keep()."""
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(posixpath.dirname(x) for x in df.inputFiles())
+        return df
+
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield keep
+    finally:
+        _open.remove(made)
+        names = {posixpath.basename(k) for k in kept}
+        for f in made:
+            if posixpath.basename(f) not in names:
+                _delete(spark, f)
+
+
+def broadcastable(df: DataFrame) -> bool:
+    """Whether the files of a written table are below the size up to which Spark broadcasts a side of a join."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ findings are appended to the ledger and joined back to every path that ever held
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm._shared import new_folder
+from memlake.llm._shared import broadcastable, new_folder, written
 
 Match = Callable[[str], list[tuple[int, int]]]
 
@@ -83,8 +84,12 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return blobs.select("blob", "todo", "body").mapInArrow(run, f"blob string, rule string, found {_FINDING}")
 
 
+def _one_body(held: DataFrame) -> DataFrame:
+    return held.groupBy("blob").agg(F.first("body").alias("body"))
+
+
 class Ledger:
-    """A Parquet folder of (blob, rule, found), to which each update adds a part; an absent folder is an empty ledger."""
+    """Parquet folders of (blob, rule, found), one for each update; an absent folder is an empty ledger."""
 
     def __init__(self, spark, path: str | None = None):
         self.spark, self.path = spark, path or new_folder(spark, "ledger")
@@ -95,26 +100,27 @@ class Ledger:
 
     def read(self) -> DataFrame:
         schema = f"blob string, rule string, found {_FINDING}"
-        return self.spark.read.schema(schema).parquet(self.path) if self._exists() else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/run=*") if self._exists() else self.spark.createDataFrame([], schema)
 
     def update(self, held: DataFrame, rules: tuple[Rule, ...] = RULES) -> int:
         """Scan the pairs of held's blobs (of versions()) and rules that the ledger lacks, append them, and count them.
 
-        One row stands for each unseen blob: the smallest path that holds it, found by a pre-aggregated minimum over
-        the digests alone; only such rows' texts are scanned. Repeated (path, blob) rows are scanned once more at most.
+        Of a blob's rows, however many and of whatever paths, one body is kept, by an aggregation that drops copies before
+        they are shuffled; so each pair is scanned once. What the ledger holds is told by digests alone: where the blobs
+        with something to scan are few enough for Spark to broadcast them, bodies of all others never move.
         """
         ids = F.array(*(F.lit(r.id) for r in rules))
-        first = held.groupBy("blob").agg(F.min("path").alias("path"))
         if self._exists():
             seen = self.read().groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-            first = first.join(seen, "blob", "left").withColumn("todo", F.array_except(ids, F.coalesce("seen", F.array().cast("array<string>"))))
+            todo = held.select("blob").distinct().join(seen, "blob", "left").select("blob", F.array_except(ids, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
+            todo = written(todo.where(F.size("todo") > 0), "todo")
+            fresh = held.join(todo.select("blob"), "blob", "left_semi") if broadcastable(todo) else held
+            bodies = _one_body(fresh).join(todo, "blob")
         else:
-            first = first.withColumn("todo", ids)
-        first = first.where(F.size("todo") > 0).select(F.col("path").alias("p"), F.col("blob").alias("b"), "todo")
-        bodies = held.join(first.hint("shuffle_hash"), (held.path.eqNullSafe(first.p)) & (held.blob == first.b)).select("blob", "todo", "body")
-        before = self.read().count() if self._exists() else 0
-        scan(bodies, rules).write.mode("append").parquet(self.path)
-        return self.read().count() - before
+            bodies = _one_body(held).withColumn("todo", ids)
+        part = f"{self.path}/run={uuid.uuid4().hex}"
+        scan(bodies, rules).write.parquet(part)
+        return self.spark.read.parquet(part).count()
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """(blob, found): blobs with findings of these rule versions, spans by start and then rule order."""
