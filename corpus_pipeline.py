@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm import decontaminate, langid, piece_bpe, secret_scan, simhash
-from memlake.llm._shared import table, written
+from memlake.llm._shared import drop_written, scratch, table, written
 
 #: Least calibrated probability of the predicted language.
 LEAST_SCORE = 0.5
@@ -92,7 +92,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:  # a stage's own tables go when its output is written, and so does its input
+            docs = keep(written(stage(spark, docs, sf_dir), name))
+        if before is not None:
+            drop_written(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
