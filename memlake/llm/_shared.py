@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +97,19 @@ def tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def byte_slices(column, most: int = 4 << 20):
+    """Bounds (a, b) of consecutive slices of an Arrow column of texts, of at most `most` bytes or one row, and at most 1,000 rows."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    a, total = 0, 0
+    for b, n in enumerate(sizes.tolist()):
+        if b > a and (total + n > most or b - a == 1000):
+            yield a, b
+            a, total = b, 0
+        total += n
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
 # ---------------------------------------------------------------- files that executors write and read
 
 

@@ -3,16 +3,21 @@
 Terms are the benchmark's own words; all other words of the corpus are one unknown term that only lengthens vectors.
 Passages are windows of two adjoining blocks of words, over every whole document. A distributed randomised SVD of the
 passages' TF-IDF matrix A gives the latent space: each task sketches its rows, the sketches A'(A O) are summed by term,
-and a Nystrom step on the small matrices yields singular vectors. Passages close by cosine to a window of a benchmark item
-are candidates; the longest common subsequence of the item's words with the text around the passage, and the presence of
-the item's rarest words (its answer), decide. So edited copies are caught as verbatim ones are; copies
-whose parts are re-ordered, or that quote less than the share `subsequence` of an item, are not.
+and a Nystrom step on the small matrices yields singular vectors. Vocabulary, frequencies and space are the whole benchmark's,
+so what is found of an item depends on no other item's length and on no grouping of items.
+
+Passages close by cosine to a window of a benchmark item are candidates. A candidate that holds few of the item's words is
+dropped; the text around the others is searched for the item: for its longest common subsequence, and, where that is too
+short, for the item's pieces one by one, wherever each stands, so that parts may be swapped. The item's rarest words, its
+answer, must be there too. A copy with more than 1 - `subsequence` of its words replaced, or a quote of less than the
+share `subsequence` of an item, is not reported.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 from itertools import repeat
 
 import numpy as np
@@ -21,23 +26,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from memlake.llm._shared import drop_written, written
+from memlake.llm._shared import byte_slices, drop_written, written
 
 _WORD = re.compile(r"\w+")
+_ID = np.dtype(np.uint32)
 BLOCK = 8
 
 
 @dataclass(frozen=True)
 class Settings:
-    rank: int = 48
+    rank: int = 64
     #: Least cosine of a passage and an item's window; less, by the root, for an item of fewer words than a passage.
-    cosine: float = 0.75
-    #: Share of an item's words that must be a common subsequence with the text.
-    subsequence: float = 0.7
+    cosine: float = 0.7
+    #: Least share of a passage's words (of the item's, where it is shorter) that are the item's words.
+    own: float = 0.4
+    #: Share of an item's words that must be found in order, or piece by piece, around a passage.
+    subsequence: float = 0.5
+    #: Words that must be found so in any case, or all of an item with fewer.
+    words: int = 8
     #: Share of the answer's words that the text must hold.
-    answer: float = 0.6
-    #: Items handled at once; more are handled block after block.
-    items: int = 1000
+    answer: float = 0.5
+    #: Items searched for in one pass over the corpus, fewer where they are long or the vocabulary is large; results don't depend on it.
+    items: int = 500
+
+
+#: Most distinct words of a benchmark: the driver holds a row of the space's rank for each, 150 MB at this bound.
+MOST_TERMS = 250_000
 
 
 @dataclass
@@ -76,20 +90,17 @@ def _blocks(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Passages:
     """Passages of a batch of documents: window i is block i with the next of its document, or block i alone at the end."""
 
-    def __init__(self, ids: np.ndarray, lens: np.ndarray, idf: np.ndarray):
+    def __init__(self, ids: np.ndarray, lens: np.ndarray):
         keep = lens > 0
-        self.docs, self.ids, self.idf = np.flatnonzero(keep), ids, idf
+        self.docs, self.ids = np.flatnonzero(keep), ids
         self.begin, n = _blocks(lens[keep])
         self.doc = np.repeat(np.arange(len(n)), n)
         self.last = np.zeros(len(self.begin), bool)
         self.last[np.cumsum(n) - 1] = True
         self.size = np.diff(np.r_[self.begin, len(ids)])
-        w = idf[ids]
-        self.mass, self.square = self._sum(w), self._sum(w * w)
-        self.norm = np.sqrt(np.maximum(self.pair(self.square), 1e-12)).astype(np.float32)
-
-    def _sum(self, x):
-        return np.add.reduceat(x, self.begin) if len(self.begin) else x[:0]
+        #: A row for each block; 0, the unknown term, pads.
+        self.rows = np.zeros((len(self.begin), BLOCK), np.intp)
+        self.rows[np.arange(BLOCK) < self.size[:, None]] = ids
 
     def pair(self, blocks: np.ndarray) -> np.ndarray:
         """Sums of each window's blocks."""
@@ -105,35 +116,37 @@ class _Passages:
         out[inner + 1] += windows[inner]
         return out
 
-    def known(self):
-        """Positions of benchmark words, and their blocks."""
-        at = np.flatnonzero(self.ids)
-        return at, np.repeat(np.arange(len(self.begin)), self.size)[at]
-
-    def project(self, table: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
-        """Rows of the normalised TF-IDF matrix times table (term x k, IDF included); of the windows `only`, or all."""
-        at, block = self.known()
-        if only is not None:
-            asked = np.zeros(len(self.begin) + 1, bool)
-            asked[only] = asked[only + 1] = True  # a window's blocks; the one after a document's end does no harm
-            at, block = at[asked[block]], block[asked[block]]
-        out = np.zeros((len(self.begin), table.shape[1]), np.float32)
-        if len(at):
-            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            out[block[first]] = np.add.reduceat(table[self.ids[at]], first)
-        out = self.pair(out)
-        return (out if only is None else out[only]) / (self.norm if only is None else self.norm[only])[:, None]
+    def norm(self, idf: np.ndarray) -> np.ndarray:
+        """Lengths of the windows' TF-IDF rows, each word counted by itself."""
+        square = (idf * idf)[self.rows].sum(1) - (BLOCK - self.size) * float(idf[0]) ** 2
+        return np.sqrt(np.maximum(self.pair(square), 1e-12)).astype(np.float32)
+
+    def project(self, table: np.ndarray) -> np.ndarray:
+        """Sums over each window's words of rows of table, whose row 0 must be zeros."""
+        out, one = table[self.rows[:, 0]], np.empty((len(self.rows), table.shape[1]), table.dtype)
+        for j in range(1, BLOCK):
+            out += np.take(table, self.rows[:, j], axis=0, out=one, mode="clip")
+        return self.pair(out)
+
+    def gather(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The transpose of project: terms, and for each the sum of its blocks' rows of blocks."""
+        terms, local = np.unique(self.rows, return_inverse=True)
+        local, columns = local.reshape(self.rows.shape).T.copy(), np.ascontiguousarray(blocks.T)
+        out = np.empty((len(terms), len(columns)))
+        for c, weights in enumerate(columns):
+            out[:, c] = sum(np.bincount(at, weights, len(terms)) for at in local)
+        return terms[terms > 0], out[terms > 0]
 
 
 def _slices(batch, size: int = 40_000):
     """Pieces of a batch of (key, ids binary) of about size words, as flat ids and lengths; small ones, whose rows of floats stay in the cache."""
     keys, data = batch.column("k"), batch.column("ids")
-    lens = np.diff(np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]) // 2
+    lens = np.diff(np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]) // _ID.itemsize
     a = 0
     while a < len(lens):
         b = max(a + 1, int(np.searchsorted(np.cumsum(lens[a:]), size, side="right")) + a)
         raw = b"".join(data.slice(a, b - a).to_pylist())
-        yield keys.slice(a, b - a), np.frombuffer(raw, np.uint16), lens[a:b].astype(np.int64)
+        yield keys.slice(a, b - a), np.frombuffer(raw, _ID), lens[a:b].astype(np.int64)
         a = b
 
 
@@ -145,14 +158,14 @@ def tokenise(df: DataFrame, vocabulary: dict[str, int], key: str, text: str) ->
         get, df_, total = vocabulary.get, np.zeros(size, np.int64), 0
         for batch in batches:
             out = []
-            for a in range(0, batch.num_rows, 200):
-                found = [np.fromiter(map(get, words(t), repeat(0)), np.uint16) for t in batch.column(1).slice(a, 200).to_pylist()]
+            for a, b in byte_slices(batch.column(1)):
+                found = [np.fromiter(map(get, words(t), repeat(0)), _ID) for t in batch.column(1).slice(a, b - a).to_pylist()]
                 ids, lens = np.concatenate(found), np.array([len(x) for x in found])
                 begin, _ = _blocks(lens)
                 if len(ids):
                     total += len(begin)
                     # a row for each block, its words sorted: of equal neighbours one counts; `size` pads
-                    rows = np.full((len(begin), BLOCK), size, np.uint16)
+                    rows = np.full((len(begin), BLOCK), size, _ID)
                     n = np.diff(np.r_[begin, len(ids)])
                     rows[np.arange(BLOCK) < n[:, None]] = ids
                     rows.sort(axis=1)
@@ -175,10 +188,10 @@ def tokenise(df: DataFrame, vocabulary: dict[str, int], key: str, text: str) ->
 
 
 def latent_space(tokens: DataFrame, counts: np.ndarray, blocks: int, rank: int, seed: int = 11) -> Latent:
-    """Randomised SVD of all passages: sketches are summed by term, whose number the benchmark bounds."""
-    idf = np.log((1 + blocks) / (1 + counts)).astype(np.float32) + 1
-    idf[0] = np.log(1 + blocks) + 1  # unknown words are rare ones
+    """Randomised SVD of all passages: sketches are summed by term, whose number the benchmark bounds. An unknown word weighs as the mean word of the benchmark does."""
     size = len(counts)
+    idf = np.log((1 + blocks) / (1 + counts)).astype(np.float32) + 1
+    idf[0] = idf[1:].mean() if size > 1 else 1
     k = min(rank + 8, size)
     omega = np.random.default_rng(seed).standard_normal((size, k)).astype(np.float32)
     omega[0] = 0
@@ -188,134 +201,177 @@ def latent_space(tokens: DataFrame, counts: np.ndarray, blocks: int, rank: int,
         z = np.zeros((size, k))
         for batch in batches:
             for _, ids, lens in _slices(batch):
-                p = _Passages(ids, lens, idf)
-                if not len(p.begin):
-                    continue
-                back = p.spread(p.project(table) / p.norm[:, None])
-                at, block = p.known()
-                order = np.argsort(ids[at], kind="stable")
-                terms, rows = ids[at][order], back[block[order]]
-                first = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if len(terms) else np.zeros(0, int)
-                if len(first):
-                    z[terms[first]] += np.add.reduceat(rows, first) * idf[terms[first], None]
+                p = _Passages(ids, lens)
+                if len(p.begin):
+                    terms, sums = p.gather(p.spread(p.project(table) / (p.norm(idf) ** 2)[:, None]))
+                    z[terms] += sums * idf[terms, None]
         seen = np.flatnonzero(np.abs(z).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), *(pa.array(z[seen, i]) for i in range(k))], names=["term", *(f"z{i}" for i in range(k))])
 
     sketch = tokens.mapInArrow(run, "term int, " + ", ".join(f"z{i} double" for i in range(k)))
-    z = np.zeros((size, k))
-    for r in sketch.groupBy("term").agg(*(F.sum(f"z{i}").alias(f"z{i}") for i in range(k))).collect():
-        z[r["term"]] = r[1:]
+    z, summed = np.zeros((size, k)), sketch.groupBy("term").agg(*(F.sum(f"z{i}").alias(f"z{i}") for i in range(k))).toArrow()
+    z[summed.column("term").to_numpy()] = np.array([summed.column(f"z{i}").to_numpy() for i in range(k)]).T.reshape(-1, k)
     small = omega.T.astype(np.float64) @ z
     shift = 1e-9 * max(1.0, float(np.abs(small).max()))
     values, vectors = np.linalg.eigh((small + small.T) / 2 + shift * np.eye(k))
     good = values > shift
     u, s, _ = np.linalg.svd(z @ vectors[:, good] / np.sqrt(values[good]), full_matrices=False)
     u, s = u[:, :rank], s[:rank]
-    return Latent(idf, (u * idf[:, None]).astype(np.float32), np.sqrt(s))
+    return Latent(idf, (u * idf[:, None]).astype(np.float32), s)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def _queries(items: list[list[int]], latent: Latent, step: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Latent unit vectors of the items' windows at every step-th word, and each one's item."""
+def _queries(items: list[list[int]], latent: Latent, step: int = 4, over: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Latent unit vectors of the items' windows at every step-th word, and each one's item. Windows reach over an item's ends by up to `over` words, as passages do; but they hold half a passage's words of it, or all."""
     rows, of = [], []
     for i, ids in enumerate(items):
-        for a in range(0, max(1, len(ids) - 2 * BLOCK + step), step):
-            part = [x for x in ids[a : a + 2 * BLOCK] if x]
-            rows.append(latent.vectors[part].sum(0) if part else np.zeros(latent.vectors.shape[1])), of.append(i)
+        for a in range(-min(over, max(0, len(ids) - BLOCK)), max(1, len(ids) - 2 * BLOCK + step + over), step):
+            part = ids[max(0, a) : a + 2 * BLOCK]
+            if len(part) >= min(BLOCK, len(ids)):
+                rows.append(latent.vectors[part].sum(0)), of.append(i)
     return _unit(np.array(rows, np.float32)), np.array(of)
 
 
+class _Items:
+    """A block of items, as tables over the vocabulary."""
+
+    def __init__(self, ids_of: list[list[int]], latent: Latent, settings: Settings):
+        self.ids_of, self.settings = ids_of, settings
+        self.queries, owner = _queries(ids_of, latent)
+        self.first = np.searchsorted(owner, np.arange(len(ids_of)))
+        self.words = np.array([len(x) for x in ids_of])
+        self.cosine = (settings.cosine * np.sqrt(np.minimum(1.0, self.words / (2 * BLOCK)))).astype(np.float32)
+        self.need = np.maximum(settings.subsequence * self.words, np.minimum(settings.words, self.words))
+        self.own = np.ceil(settings.own * np.minimum(2 * BLOCK, self.words)).astype(int)
+        distinct = [sorted(set(x)) for x in ids_of]
+        #: Of each item and term: the term's place among the item's distinct words, from 1; 0 for others.
+        width = 1 + max(map(len, distinct))
+        self.place = np.zeros((len(ids_of), len(latent.idf)), np.min_scalar_type(width))
+        self.times, self.answer = np.zeros((len(ids_of), width), np.int32), np.zeros((len(ids_of), width), bool)
+        for i, (ids, words) in enumerate(zip(ids_of, distinct, strict=True)):
+            self.place[i, words] = np.arange(1, len(words) + 1)
+            for x in ids:
+                self.times[i, self.place[i, x]] += 1
+            rare = sorted(words, key=lambda x: (-latent.idf[x], x))
+            self.answer[i, self.place[i, rare[: max(1, len(rare) // 3)]]] = True
+        self.share = lru_cache(maxsize=1 << 16)(self._share)
+
+    def candidates(self, vectors: np.ndarray):
+        """Windows, items and cosines of the pairs that are close enough; each pair once."""
+        step = max(1, (1 << 21) // len(self.queries))
+        for a in range(0, len(vectors), step):
+            best = np.maximum.reduceat(vectors[a : a + step] @ self.queries.T, self.first, axis=1)
+            w, o = np.divmod(np.flatnonzero(best >= self.cosine), len(self.ids_of))
+            yield w + a, o, best[w, o]
+
+    def holds_words(self, p: _Passages, w: np.ndarray, o: np.ndarray) -> np.ndarray:
+        """Whether each window holds enough of its item's words."""
+        n = (self.place[o[:, None], p.rows[w]] > 0).sum(1)
+        after = np.flatnonzero(~p.last[w])
+        n[after] += (self.place[o[after, None], p.rows[w[after] + 1]] > 0).sum(1)
+        return n >= self.own[o]
+
+    def holds_item(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, o: np.ndarray) -> np.ndarray:
+        """Whether each stretch of text holds, in any order, as much of its item and of the item's answer as it must: no less than share() finds."""
+        out = np.zeros(len(o), bool)
+        step = max(1, (1 << 20) // max(int((hi - lo).max(initial=1)), self.times.shape[1]))
+        for a in range(0, len(o), step):
+            l, h, i = lo[a : a + step], hi[a : a + step], o[a : a + step]
+            at = l[:, None] + np.arange(int((h - l).max()))
+            place = np.where(at < h[:, None], self.place[i[:, None], ids[np.minimum(at, len(ids) - 1)]], 0)
+            have = np.zeros((len(i), self.times.shape[1]), bool)
+            have[np.arange(len(i))[:, None], place] = True
+            have[:, 0] = False
+            enough = (have * self.times[i]).sum(1) >= self.need[i]
+            out[a : a + step] = enough & ((have & self.answer[i]).sum(1) >= self.settings.answer * self.answer[i].sum(1))
+        return out
+
+    def _share(self, o: int, stretch: bytes) -> float:
+        """Share of an item's words that stand in order in a stretch of text, or, where that is too little, of its pieces' words near each other; 0 where both are."""
+        item, text = self.ids_of[o], np.frombuffer(stretch, _ID)
+        at = np.flatnonzero(self.place[o, text])  # other words are in no common subsequence
+        own = text[at]
+        found = lcs(item, own)
+        if found < self.need[o]:
+            found = sum(max(lcs(piece, own[(at >= t) & (at < t + 4 * BLOCK)]) for t in range(0, max(1, len(text) - 2 * BLOCK), BLOCK)) for piece in pieces(item))
+        return found / len(item) if found >= self.need[o] else 0.0
+
+
+def pieces(item: list[int]) -> list[list[int]]:
+    """An item in pieces of a passage's length; a last one of less than half of it belongs to the one before."""
+    cuts = list(range(0, len(item), 2 * BLOCK))
+    if len(cuts) > 1 and len(item) - cuts[-1] < BLOCK:
+        cuts.pop()
+    return [item[a:b] for a, b in zip(cuts, [*cuts[1:], len(item)], strict=True)]
+
+
 def search(tokens: DataFrame, items: list[tuple[int, list[int]]], latent: Latent, settings: Settings) -> DataFrame:
-    """(k, item_id, overlap, cosine): documents that hold an item, with the largest share of its words found and its best cosine."""
+    """(k, item_id, overlap, cosine): documents that hold an item, with the largest share of its words found and the best cosine of the passages that led to it."""
     ids_of = [ids for _, ids in items]
-    queries, owner = _queries(ids_of, latent)
-    full = np.array([min(1.0, len(ids) / (2 * BLOCK)) for ids in ids_of])
-    least = (settings.cosine * np.sqrt(full[owner])).astype(np.float32)
-    answers = []
-    for ids in ids_of:
-        rare = sorted(set(ids), key=lambda x: (-latent.idf[x], x))
-        answers.append(set(rare[: max(1, len(rare) // 3)]))
-
-    size = len(latent.idf)
-    members = np.zeros((len(ids_of), size), bool)
-    for i, ids in enumerate(ids_of):
-        members[i, ids] = True
-    times = [{x: ids.count(x) for x in ids} for ids in ids_of]
-
-    def verify(ids: np.ndarray, item: int) -> float:
-        a = ids_of[item]
-        least = settings.subsequence * len(a)
-        own = ids[members[item, ids]]  # other words are in no common subsequence
-        if len(own) < least:
-            return 0.0
-        have = set(own.tolist())
-        if sum(x in have for x in answers[item]) < settings.answer * len(answers[item]) or sum(times[item][x] for x in have) < least:
-            return 0.0
-        share = lcs(a, own) / len(a)
-        return share if share >= settings.subsequence else 0.0
 
     def run(batches):
+        block = _Items(ids_of, latent, settings)
         for batch in batches:
             for keys, ids, lens in _slices(batch):
-                p = _Passages(ids, lens, latent.idf)
+                p = _Passages(ids, lens)
                 if not len(p.begin):
                     continue
-                held = np.flatnonzero(p.pair(np.add.reduceat((ids > 0).astype(np.int64), p.begin)))  # others are at no angle to any item
-                near: dict[tuple[int, int], list] = {}
-                vectors = _unit(p.project(latent.vectors, held))
-                for a in range(0, len(held), 1024):
-                    sims = vectors[a : a + 1024] @ queries.T
-                    r, q = np.divmod(np.flatnonzero(sims >= least), len(owner))
-                    for w, o, s in zip(held[r + a].tolist(), owner[q].tolist(), sims[r, q].tolist(), strict=True):
-                        at = near.setdefault((int(p.doc[w]), o), [0.0, set()])
-                        at[0] = max(at[0], s)
-                        at[1].add(w)
-                starts = np.cumsum(lens) - lens
-                out = []
-                for (d, o), (s, where) in near.items():
-                    lo, hi = int(starts[p.docs[d]]), int(starts[p.docs[d]] + lens[p.docs[d]])
-                    around, best = len(ids_of[o]) + BLOCK, 0.0
-                    for w in where:
-                        b = int(p.begin[w])
-                        best = max(best, verify(ids[max(lo, b - around) : min(hi, b + 2 * BLOCK + around)], o))
-                    if best:
-                        out.append((keys[int(p.docs[d])].as_py(), items[o][0], best, s))
-                if out:
+                starts = (np.cumsum(lens) - lens)[p.docs]
+                ends = starts + lens[p.docs]
+                best: dict[tuple[int, int], tuple[float, float]] = {}
+                for w, o, s in block.candidates(_unit(p.project(latent.vectors))):
+                    sure = block.holds_words(p, w, o)
+                    w, o, s = w[sure], o[sure], s[sure]
+                    around = block.words[o] + BLOCK
+                    lo, hi = np.maximum(starts[p.doc[w]], p.begin[w] - around), np.minimum(ends[p.doc[w]], p.begin[w] + 2 * BLOCK + around)
+                    sure = np.flatnonzero(block.holds_item(ids, lo, hi, o))
+                    for d, i, a, b, c in zip(p.doc[w[sure]].tolist(), o[sure].tolist(), lo[sure].tolist(), hi[sure].tolist(), s[sure].tolist(), strict=True):
+                        if share := block.share(i, ids[a:b].tobytes()):
+                            had = best.get((d, i), (0.0, 0.0))
+                            best[d, i] = max(share, had[0]), max(c, had[1])
+                if best:
+                    out = [(keys[int(p.docs[d])].as_py(), items[i][0], *found) for (d, i), found in best.items()]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (keys.type, pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["k", "item_id", "overlap", "cosine"])
 
     return tokens.mapInArrow(run, f"k {tokens.schema['k'].dataType.simpleString()}, item_id long, overlap double, cosine double")
 
 
+def _passes(items: list[tuple[int, list[int]]], most: int, words: int = 100_000):
+    """Runs of at most `most` items and about as many words: what a task holds of the items at once."""
+    part, size = [], 0
+    for item in items:
+        if part and (len(part) == most or size + len(item[1]) > words):
+            yield part
+            part, size = [], 0
+        part.append(item)
+        size += len(item[1])
+    yield part
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(key, item_id, overlap, cosine): a row for each document and each benchmark item that it holds; clean documents have none.
 
     Items without words (null or empty texts) are held by nothing, and an item of fewer words than a passage is sought
-    whole. Null and empty documents are clean; documents with a null key are reported under a null key; repeated rows each
-    give their rows; an empty table or benchmark gives none; other columns aren't read. The benchmark is read to the
-    driver in blocks of `items` items, each with a latent space of its own; the corpus is never collected.
+    whole; of items that are alike in number and text one is sought. Null and empty documents are clean; documents with a
+    null key are reported under a null key; repeated rows each give their rows; an empty table or benchmark gives none; other
+    columns aren't read. The benchmark, of at most MOST_TERMS distinct words, is read to the driver; its items are searched for
+    in blocks of `items`, one pass over the tokenised corpus each. The corpus is never collected.
     """
-    spark, found, kept = df.sparkSession, None, []
-    listed = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null")
-    total = listed.count()
-    parts = -(-total // settings.items)
-    for part in range(parts):
-        rows = listed.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part).orderBy("i", "t").collect()
-        split = [(r["i"], words(r["t"])) for r in rows]
-        vocabulary = {w: n + 1 for n, w in enumerate(sorted({w for _, ws in split for w in ws}))}
-        if not vocabulary:
-            continue
-        if len(vocabulary) >= (1 << 16) - 1:
-            raise ValueError("too many words in a block of items; set items lower")
-        items = [(i, [vocabulary[w] for w in ws]) for i, ws in split if ws]
-        tokens, counts, blocks = tokenise(df, vocabulary, key, text)
-        latent = latent_space(tokens, counts, blocks, settings.rank)
-        hits = written(search(tokens, items, latent, settings), "hits")
-        drop_written(tokens)
-        found = hits if found is None else found.union(hits)
-        kept.append(hits)
-    if found is None:
-        found = spark.createDataFrame([], f"k {df.schema[key].dataType.simpleString()}, item_id long, overlap double, cosine double")
-    return found.withColumnRenamed("k", key)
+    spark, found, schema = df.sparkSession, [], f"k {df.schema[key].dataType.simpleString()}, item_id long, overlap double, cosine double"
+    listed = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+    split = [(r["i"], words(r["t"])) for r in listed.orderBy("i", "t").collect()]
+    vocabulary = {w: n + 1 for n, w in enumerate(sorted({w for _, ws in split for w in ws}))}
+    if len(vocabulary) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} distinct words in the benchmark; pass it in parts")
+    items = [(i, [vocabulary[w] for w in ws]) for i, ws in split if ws]
+    if not items:
+        return spark.createDataFrame([], schema).withColumnRenamed("k", key)
+    tokens, counts, blocks = tokenise(df, vocabulary, key, text)
+    latent = latent_space(tokens, counts, blocks, settings.rank)
+    for part in _passes(items, min(settings.items, max(1, (1 << 24) // len(vocabulary)))):
+        found.append(written(search(tokens, part, latent, settings), "hits"))
+    drop_written(tokens)
+    return reduce(DataFrame.union, found).withColumnRenamed("k", key)

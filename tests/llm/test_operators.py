@@ -226,38 +226,121 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df, bench.where("false")).count() == 0
 
 
-def test_decontamination_is_free_of_corpus_size(spark):
+def _prose(rng, lexicon, n):
+    return [str(w) for w in np.where(rng.random(n) < 0.6, rng.choice(lexicon[:60], n), rng.choice(lexicon, n))]
+
+
+def _lexicon(rng):
+    return ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)]
+
+
+def slow_lcs(a, b):
+    t = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1, j + 1] = t[i, j] + 1 if x == y else max(t[i, j + 1], t[i + 1, j])
+    return int(t[-1, -1])
+
+
+def test_decontamination_against_all_pairs(spark):
+    """Every passage with every window of every item, by dense algebra; the rank is that of the whole matrix, so the SVD is exact."""
+    rng = np.random.default_rng(26)
+    lexicon, D, B = _lexicon(rng)[:90], decontaminate, decontaminate.BLOCK
+    prose = lambda n: [str(w) for w in rng.choice(lexicon, n)]
+    items = [prose(n) for n in (5, 12, 16, 25, 40, 70)]
+    texts = []
+    for i in range(50):
+        w, leak = prose(int(rng.integers(0, 90))), list(items[i % 6])
+        if i % 5 == 1:
+            leak = leak[len(leak) // 2 :] + leak[: len(leak) // 2]
+        for j in rng.permutation(len(leak))[: len(leak) * (i % 7) // 10]:
+            leak[j] = "other" if i % 2 else str(rng.choice(lexicon))
+        at = int(rng.integers(0, len(w) + 1))
+        texts.append(w[:at] + (leak if i % 4 else []) + w[at:])
+    S = D.Settings(rank=200, items=2)
+    vocabulary = {w: n + 1 for n, w in enumerate(sorted({w for x in items for w in x}))}
+    blocks = [(d, a, w[a : a + B]) for d, w in enumerate(texts) for a in range(0, len(w), B)]
+    size = len(vocabulary) + 1
+    df = np.zeros(size)
+    for _, _, w in blocks:
+        df[list({vocabulary.get(x, 0) for x in w})] += 1
+    idf = np.log((1 + len(blocks)) / (1 + df)) + 1
+    idf[0] = idf[1:].mean()
+    windows = [(d, a, texts[d][a : a + 2 * B]) for d, a, _ in blocks]
+    bags = np.array([np.bincount([vocabulary.get(x, 0) for x in w], minlength=size) for _, _, w in windows]) * idf
+    length = np.sqrt([sum(idf[vocabulary.get(x, 0)] ** 2 for x in w) for _, _, w in windows])
+    known = bags.copy()
+    known[:, 0] = 0
+    u, s, v = np.linalg.svd(known / length[:, None], full_matrices=False)
+    basis = v[s > 1e-6]
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-9)
+    vectors = [unit(basis @ x) for x in known]
+    want = {}
+    for i, item in enumerate(items):
+        n = len(item)
+        rare = sorted(set(item), key=lambda x: (-np.float32(idf[vocabulary[x]]), vocabulary[x]))
+        answer, need = rare[: max(1, len(rare) // 3)], max(S.subsequence * n, min(S.words, n))
+        queries = []
+        for a in range(-min(6, max(0, n - B)), max(1, n - 2 * B + 10), 4):
+            part = item[max(0, a) : a + 2 * B]
+            if len(part) >= min(B, n):
+                queries.append(unit(basis @ (np.bincount([vocabulary[x] for x in part], minlength=size) * idf)))
+        for (d, a, w), x in zip(windows, vectors, strict=True):
+            cosine = max(q @ x for q in queries)
+            if cosine < S.cosine * min(1, n / (2 * B)) ** 0.5 or sum(y in item for y in w) < np.ceil(S.own * min(2 * B, n)):
+                continue
+            around = texts[d][max(0, a - n - B) : a + 3 * B + n]
+            if sum(y in around for y in answer) < S.answer * len(answer):
+                continue
+            found = slow_lcs(item, around)
+            if found < need:
+                found = sum(max(slow_lcs(p, around[t : t + 4 * B]) for t in range(0, max(1, len(around) - 2 * B), B)) for p in D.pieces(item))
+            if found >= need:
+                had = want.get((d, i), (0, 0))
+                want[d, i] = max(found / n, had[0]), max(cosine, had[1])
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.overlap, r.cosine) for r in D.contaminated(docs, bench, settings=S).collect()}
+    assert set(got) == set(want) and len(want) > 20
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and abs(got[k][1] - want[k][1]) < 1e-3 for k in want)
+    whole = D.contaminated(docs, bench, settings=D.Settings(rank=200)).collect()
+    assert {(r.doc_id, r.item_id): r.overlap for r in whole} == {k: o for k, (o, _) in got.items()}
+
+
+def test_decontamination_of_paraphrases(spark):
+    """Recall of edited copies, and what is free of the corpus's size: the same corpus over and over."""
     rng = np.random.default_rng(16)
-    lexicon = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)]
-    common = lexicon[:60]
-    prose = lambda n: [str(w) for w in np.where(rng.random(n) < 0.6, rng.choice(common, n), rng.choice(lexicon, n))]
-    items = [prose(40) for _ in range(5)]
-    docs = []
-    for i in range(40):
-        w = prose(200)
-        if i < 20:  # a quarter of the words, frequent ones that hold no answer, are others, outside the benchmark
-            changed = rng.permutation([j for j, x in enumerate(items[i % 5]) if x in common])[:10].tolist()
-            leak = [f"zz{j}" if j in changed else x for j, x in enumerate(items[i % 5])]
-            w[i * 5 : i * 5] = leak
-        docs.append((i, " ".join(w)))
+    lexicon = _lexicon(rng)
+    items = [_prose(rng, lexicon, int(n)) for n in rng.integers(15, 60, 40)]
+    edits = {"as is": 0.0, "tenth": 0.1, "quarter": 0.25, "swapped": 0.0, "rotated": 0.0}
+    docs, want = [], {}
+    for name, share in edits.items():
+        for i, item in enumerate(items):
+            leak, w = list(item), _prose(rng, lexicon, 150)
+            for j in rng.permutation(len(leak))[: round(share * len(leak))]:
+                leak[j] = str(rng.choice(lexicon)) if i % 2 else f"zz{j}"
+            cut = {"swapped": len(leak) // 2, "rotated": len(leak) // 3}.get(name, 0)
+            at = int(rng.integers(0, 100))
+            want[len(docs)] = name, i
+            docs.append((len(docs), " ".join(w[:at] + leak[cut:] + leak[:cut] + w[at:])))
+    clean = range(len(docs), len(docs) + 100)
+    docs += [(d, " ".join(_prose(rng, lexicon, 200))) for d in clean]
     vocabulary = {w: n + 1 for n, w in enumerate(sorted({w for x in items for w in x}))}
     tokens, counts, blocks = decontaminate.tokenise(spark.createDataFrame(docs, "doc_id long, text string"), vocabulary, "doc_id", "text")
     coded = [(i, [vocabulary[w] for w in x]) for i, x in enumerate(items)]
-    for times in (1, 1000, 1_000_000):  # the same corpus over and over
-        latent = decontaminate.latent_space(tokens, counts * times, blocks * times, 24)
-        found = decontaminate.search(tokens, coded, latent, decontaminate.Settings(rank=24)).collect()
-        assert {(r.k, r.item_id) for r in found} == {(i, i % 5) for i in range(20)}
+    for times in (1, 1_000_000):
+        latent = decontaminate.latent_space(tokens, counts * times, blocks * times, 64)
+        found = {(r.k, r.item_id) for r in decontaminate.search(tokens, coded, latent, decontaminate.Settings()).collect()}
+        assert {d for d, _ in found} <= set(want)
+        for name in edits:
+            assert np.mean([(d, i) in found for d, (n, i) in want.items() if n == name]) >= 0.9, name
 
 
 def test_lcs():
     rng = np.random.default_rng(7)
     for _ in range(50):
         a, b = rng.integers(0, 6, rng.integers(1, 80)).tolist(), rng.integers(0, 6, rng.integers(0, 80))
-        t = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                t[i + 1, j + 1] = t[i, j] + 1 if x == y else max(t[i, j + 1], t[i + 1, j])
-        assert decontaminate.lcs(a, b) == t[-1, -1]
+        assert decontaminate.lcs(a, b) == slow_lcs(a, b)
 
 
 # ---------------------------------------------------------------- 7, 9
