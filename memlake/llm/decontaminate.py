@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import lru_cache, reduce
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from memlake.llm._shared import byte_slices, drop_written, written
 
 _WORD = re.compile(r"\w+")
-_ID = np.dtype(np.uint32)
 BLOCK = 8
 
 
@@ -130,42 +129,46 @@ class _Passages:
 
     def gather(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The transpose of project: terms, and for each the sum of its blocks' rows of blocks."""
-        terms, local = np.unique(self.rows, return_inverse=True)
-        local, columns = local.reshape(self.rows.shape).T.copy(), np.ascontiguousarray(blocks.T)
-        out = np.empty((len(terms), len(columns)))
-        for c, weights in enumerate(columns):
-            out[:, c] = sum(np.bincount(at, weights, len(terms)) for at in local)
+        terms, local = np.unique(self.rows.T, return_inverse=True)
+        local, columns = local.ravel(), np.ascontiguousarray(blocks.T, np.float64)
+        out = np.array([np.bincount(local, np.tile(weights, BLOCK), len(terms)) for weights in columns]).T
         return terms[terms > 0], out[terms > 0]
 
 
-def _slices(batch, size: int = 40_000):
+def id_type(terms: int) -> np.dtype:
+    """The type of ids below terms."""
+    return np.dtype(np.uint16 if terms <= 1 << 16 else np.uint32)
+
+
+def _slices(batch, kind: np.dtype, size: int = 40_000):
     """Pieces of a batch of (key, ids binary) of about size words, as flat ids and lengths; small ones, whose rows of floats stay in the cache."""
     keys, data = batch.column("k"), batch.column("ids")
-    lens = np.diff(np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]) // _ID.itemsize
+    lens = np.diff(np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]) // kind.itemsize
     a = 0
     while a < len(lens):
         b = max(a + 1, int(np.searchsorted(np.cumsum(lens[a:]), size, side="right")) + a)
         raw = b"".join(data.slice(a, b - a).to_pylist())
-        yield keys.slice(a, b - a), np.frombuffer(raw, _ID), lens[a:b].astype(np.int64)
+        yield keys.slice(a, b - a), np.frombuffer(raw, kind), lens[a:b].astype(np.int64)
         a = b
 
 
 def tokenise(df: DataFrame, vocabulary: dict[str, int], key: str, text: str) -> tuple[DataFrame, np.ndarray, int]:
     """The documents' words as term ids, written once; block frequencies of all terms over the whole corpus; the number of blocks."""
     size = len(vocabulary) + 1
+    ids_as = id_type(size + 1)
 
     def run(batches):
         get, df_, total = vocabulary.get, np.zeros(size, np.int64), 0
         for batch in batches:
             out = []
             for a, b in byte_slices(batch.column(1)):
-                found = [np.fromiter(map(get, words(t), repeat(0)), _ID) for t in batch.column(1).slice(a, b - a).to_pylist()]
+                found = [np.fromiter(map(get, words(t), repeat(0)), ids_as) for t in batch.column(1).slice(a, b - a).to_pylist()]
                 ids, lens = np.concatenate(found), np.array([len(x) for x in found])
                 begin, _ = _blocks(lens)
                 if len(ids):
                     total += len(begin)
                     # a row for each block, its words sorted: of equal neighbours one counts; `size` pads
-                    rows = np.full((len(begin), BLOCK), size, _ID)
+                    rows = np.full((len(begin), BLOCK), size, ids_as)
                     n = np.diff(np.r_[begin, len(ids)])
                     rows[np.arange(BLOCK) < n[:, None]] = ids
                     rows.sort(axis=1)
@@ -189,7 +192,7 @@ def tokenise(df: DataFrame, vocabulary: dict[str, int], key: str, text: str) ->
 
 def latent_space(tokens: DataFrame, counts: np.ndarray, blocks: int, rank: int, seed: int = 11) -> Latent:
     """Randomised SVD of all passages: sketches are summed by term, whose number the benchmark bounds. An unknown word weighs as the mean word of the benchmark does."""
-    size = len(counts)
+    size, kind = len(counts), id_type(len(counts) + 1)
     idf = np.log((1 + blocks) / (1 + counts)).astype(np.float32) + 1
     idf[0] = idf[1:].mean() if size > 1 else 1
     k = min(rank + 8, size)
@@ -200,7 +203,7 @@ def latent_space(tokens: DataFrame, counts: np.ndarray, blocks: int, rank: int,
     def run(batches):
         z = np.zeros((size, k))
         for batch in batches:
-            for _, ids, lens in _slices(batch):
+            for _, ids, lens in _slices(batch, kind):
                 p = _Passages(ids, lens)
                 if len(p.begin):
                     terms, sums = p.gather(p.spread(p.project(table) / (p.norm(idf) ** 2)[:, None]))
@@ -239,7 +242,7 @@ class _Items:
     """A block of items, as tables over the vocabulary."""
 
     def __init__(self, ids_of: list[list[int]], latent: Latent, settings: Settings):
-        self.ids_of, self.settings = ids_of, settings
+        self.ids_of, self.settings, self.kind = ids_of, settings, id_type(len(latent.idf) + 1)
         self.queries, owner = _queries(ids_of, latent)
         self.first = np.searchsorted(owner, np.arange(len(ids_of)))
         self.words = np.array([len(x) for x in ids_of])
@@ -262,16 +265,25 @@ class _Items:
     def candidates(self, vectors: np.ndarray):
         """Windows, items and cosines of the pairs that are close enough; each pair once."""
         step = max(1, (1 << 21) // len(self.queries))
+        bounds = list(pairwise([*self.first.tolist(), len(self.queries)]))
         for a in range(0, len(vectors), step):
-            best = np.maximum.reduceat(vectors[a : a + step] @ self.queries.T, self.first, axis=1)
-            w, o = np.divmod(np.flatnonzero(best >= self.cosine), len(self.ids_of))
-            yield w + a, o, best[w, o]
+            cosines = self.queries @ vectors[a : a + step].T
+            best = np.empty((len(bounds), cosines.shape[1]), cosines.dtype)
+            for i, (lo, hi) in enumerate(bounds):
+                cosines[lo:hi].max(0, out=best[i])
+            o, w = np.divmod(np.flatnonzero(best >= self.cosine[:, None]), best.shape[1])
+            yield w + a, o, best[o, w]
+
+    def _words(self, p: _Passages, blocks: np.ndarray, o: np.ndarray) -> np.ndarray:
+        at = p.rows[blocks]
+        at += (o * self.place.shape[1])[:, None]
+        return np.count_nonzero(np.take(self.place, at), axis=1)
 
     def holds_words(self, p: _Passages, w: np.ndarray, o: np.ndarray) -> np.ndarray:
         """Whether each window holds enough of its item's words."""
-        n = (self.place[o[:, None], p.rows[w]] > 0).sum(1)
+        n = self._words(p, w, o)
         after = np.flatnonzero(~p.last[w])
-        n[after] += (self.place[o[after, None], p.rows[w[after] + 1]] > 0).sum(1)
+        n[after] += self._words(p, w[after] + 1, o[after])
         return n >= self.own[o]
 
     def holds_item(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, o: np.ndarray) -> np.ndarray:
@@ -281,7 +293,8 @@ class _Items:
         for a in range(0, len(o), step):
             l, h, i = lo[a : a + step], hi[a : a + step], o[a : a + step]
             at = l[:, None] + np.arange(int((h - l).max()))
-            place = np.where(at < h[:, None], self.place[i[:, None], ids[np.minimum(at, len(ids) - 1)]], 0)
+            terms = np.where(at < h[:, None], np.take(ids, at, mode="clip"), 0).astype(np.intp)
+            place = np.take(self.place, terms + (i * self.place.shape[1])[:, None])
             have = np.zeros((len(i), self.times.shape[1]), bool)
             have[np.arange(len(i))[:, None], place] = True
             have[:, 0] = False
@@ -291,7 +304,7 @@ class _Items:
 
     def _share(self, o: int, stretch: bytes) -> float:
         """Share of an item's words that stand in order in a stretch of text, or, where that is too little, of its pieces' words near each other; 0 where both are."""
-        item, text = self.ids_of[o], np.frombuffer(stretch, _ID)
+        item, text = self.ids_of[o], np.frombuffer(stretch, self.kind)
         at = np.flatnonzero(self.place[o, text])  # other words are in no common subsequence
         own = text[at]
         found = lcs(item, own)
@@ -310,19 +323,22 @@ def pieces(item: list[int]) -> list[list[int]]:
 
 def search(tokens: DataFrame, items: list[tuple[int, list[int]]], latent: Latent, settings: Settings) -> DataFrame:
     """(k, item_id, overlap, cosine): documents that hold an item, with the largest share of its words found and the best cosine of the passages that led to it."""
-    ids_of = [ids for _, ids in items]
+    ids_of, kind = [ids for _, ids in items], id_type(len(latent.idf) + 1)
 
     def run(batches):
         block = _Items(ids_of, latent, settings)
         for batch in batches:
-            for keys, ids, lens in _slices(batch):
+            for keys, ids, lens in _slices(batch, kind):
                 p = _Passages(ids, lens)
                 if not len(p.begin):
                     continue
                 starts = (np.cumsum(lens) - lens)[p.docs]
                 ends = starts + lens[p.docs]
                 best: dict[tuple[int, int], tuple[float, float]] = {}
-                for w, o, s in block.candidates(_unit(p.project(latent.vectors))):
+                # a passage with fewer benchmark words than the least that holds_words() asks for can be no item's candidate
+                some = np.flatnonzero(p.pair(np.count_nonzero(p.rows, axis=1)) >= block.own.min())
+                for w, o, s in block.candidates(_unit(p.project(latent.vectors)[some])):
+                    w = some[w]
                     sure = block.holds_words(p, w, o)
                     w, o, s = w[sure], o[sure], s[sure]
                     around = block.words[o] + BLOCK
