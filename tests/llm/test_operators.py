@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -456,6 +457,53 @@ def test_mined_rules(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_rules.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert got == {i: "block" if i % 3 == 0 and i % 2 else "allow" for i in range(300)}
-    pruned = url_rules.mine(spark.createDataFrame([(["a", "b"], "block")] * 9 + [(["c"], "allow")] * 9, "items array<string>, verdict string")).where("verdict = 'block'").collect()
-    assert sorted(r.need for r in pruned) == [["a"], ["b"]]
-    assert F is not None
+    labelled = lambda rows: spark.createDataFrame(rows, "items array<string>, verdict string")
+    assert url_rules.mine(labelled([(["a"], "block")] * 19 + [(["b"], "allow")] * 19)).count() == 0
+    pruned = url_rules.mine(labelled([(["a", "b", "u"], "block")] * 30 + [(["c", "u"], "allow")] * 30 + [(None, "allow"), ([], "block")])).collect()
+    assert {(r.verdict, tuple(r.need)) for r in pruned} == {("block", ("a", "b")), ("allow", ("c",))}
+
+
+def test_mined_rules_against_counting(spark):
+    """Every set of tokens counted; a rule stands for its closed set, and what a rule decides is the same as all sets would."""
+    rng, names = np.random.default_rng(31), "abcdefg"
+    rows = []
+    for _ in range(900):
+        held = [x for x, p in zip(names, (0.5, 0.4, 0.5, 0.3, 0.6, 0.2, 0.5), strict=True) if rng.random() < p]
+        bad = rng.random() < (0.95 if {"a", "b"} <= set(held) else 0.02 if {"c", "d"} <= set(held) else 0.4)
+        rows.append((held + (["h"] if "f" in held else []), "block" if bad else "allow"))
+    labelled = spark.createDataFrame(rows, "items array<string>, verdict string").repartition(3)
+    got = {(r.verdict, frozenset(r.need)): (r.sure, r.hits) for r in url_rules.mine(labelled).collect()}
+    z, all_, total = 2.58, {}, len(rows)
+    for n in range(1, 8):
+        for need in itertools.combinations(names, n):
+            met = [v for held, v in rows if set(need) <= set(held)]
+            for verdict in ("block", "allow"):
+                k, m = met.count(verdict), len(met)
+                if k < 20:
+                    continue
+                p = k / m
+                sure = (p + z * z / (2 * m) - z * (p * (1 - p) / m + z * z / (4 * m * m)) ** 0.5) / (1 + z * z / m)
+                if sure >= 0.6 and sure > sum(v == verdict for _, v in rows) / total:
+                    all_[verdict, frozenset(need)] = sure, k
+    want = {(v, s | {"h"} if "f" in s else s): x for (v, s), x in all_.items() if not any(w == v and o < s and y[0] >= x[0] for (w, o), y in all_.items())}
+    assert got.keys() == want.keys() and len(want) > 1
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+    sets = spark.createDataFrame([(sorted(set(h)),) for h, _ in rows], "items array<string>")
+    decided = {frozenset(r["items"]): r.verdict for r in url_rules.matched(sets, url_rules.mine(labelled)).collect()}
+    for held, _ in rows:
+        fit = [(x[0], x[1], v) for (v, s), x in all_.items() if s <= set(held)]
+        assert decided.get(frozenset(held)) == (max(fit)[2] if fit else None)
+
+
+def test_long_urls(spark):
+    long = "http://h.example.io/" + "/".join(f"seg{i}x" for i in range(200))
+    rows = [(i, f"{long}/{i}" if i < 60 else f"http://k.example.io/p/{i}?{'&'.join(f'f{j}=1' for j in range(i % 40))}") for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i >= 60), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert got == {i: "block" if i < 60 else "allow" for i in range(120)}
+
+
+def test_urls_nulls(spark):
+    labels = spark.createDataFrame([(1, None, None), (2, 0, None), (2, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    rows = spark.createDataFrame([("/x/1",), ("/x/2.html",), ("/x/2",), (None,), ("/99999999999999999999",)], "path string").withColumn("items", F.array(F.lit("t")))
+    assert sorted(r.verdict for r in url_rules.labelled_urls(rows, labels).collect()) == ["block", "block"]
