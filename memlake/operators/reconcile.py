@@ -2,16 +2,19 @@
 
 A decision reads its own object's state alone, so objects are independent. Objects of the multi policy hold one value:
 their first candidate adds it, all others repeat it; that is a pre-aggregated minimum joined back, whose hot keys Spark
-can split. Singleton objects need a fold in order: SQL's aggregate() over each key's sorted candidates, or, for keys too
-large for one array and for decisions that ask a model, rows that stream through a task sorted by key.
+can split. Singleton objects need a fold in order: rows stream, sorted by key, through tasks that hold one current version
+each, so a key may have any number of candidates. reconcile_singleton() states the same fold in SQL's aggregate(), for
+sessions without Python workers and short keys: it gathers a key's candidates in one array.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from memlake.functions.ids import stable_id
 from memlake.functions.text import token_overlap, words_array
@@ -73,75 +76,74 @@ def reconcile_singleton(candidates: DataFrame, current: DataFrame | None = None)
     return rows.join(decided, ["object_id", *ORDER])
 
 
+def _compare(cur: str, nv: str) -> tuple[str | None, str | None]:
+    """What two different values of a singleton decide by themselves, or nothing."""
+    if cur in nv:
+        return "PATCH", "candidate_more_specific"
+    if nv in cur:
+        return "NONE", "existing_more_specific"
+    a, b = ({t for t in x.split() if len(t) > 1} for x in (cur, nv))
+    low = (len(a & b) / len(a | b) if a and b else 0.0) <= LOW_OVERLAP
+    return ("SUPERSEDE", "singleton_slot_low_overlap") if low else (None, None)
+
+
 def reconcile_streaming_fold(candidates: DataFrame, model: Callable[[dict, dict], str | None] | None = None, current: DataFrame | None = None) -> DataFrame:
-    """The fold with a model for ambiguous cases, and for keys too large for one array: rows stream sorted by key, one current version is held.
+    """The fold over rows that stream sorted by key, with a model for ambiguous cases: action, reason, version_id, previous_version_id of each candidate.
 
-    model(current, candidate) gives PATCH, SUPERSEDE, TENTATIVE or NONE; anything else means no answer.
+    model(current, candidate) gives PATCH, SUPERSEDE, TENTATIVE or NONE; anything else means no answer. Rows pass through as
+    they are, with the decision and what names the version before and after it, so nothing is joined back.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     rows = candidates.where("policy = 'singleton'")
     if current is not None:
-        rows = rows.join(current.select("object_id", F.col("cur_nv").alias("_cur")), "object_id", "left")
+        rows = rows.join(current.select("object_id", F.col("cur_nv").alias("_cur"), F.col("latest_version_id").alias("_held")), "object_id", "left")
     else:
-        rows = rows.withColumn("_cur", F.lit(None).cast("string"))
-
-    def words(x):
-        return {t for t in x.split() if len(t) > 1}
+        rows = rows.withColumns({"_cur": F.lit(None).cast("string"), "_held": F.lit(None).cast("string")})
 
-    def one(cur, nv, status):
+    def one(cur, nv, status, compare):
         if cur is None:
             return "ADD", "new_object"
         if cur == nv:
             return "NONE", "same_normalized_value"
         if status != "active":
             return "TENTATIVE", "candidate_not_active"
-        if cur in nv:
-            return "PATCH", "candidate_more_specific"
-        if nv in cur:
-            return "NONE", "existing_more_specific"
-        a, b = words(cur), words(nv)
-        if (len(a & b) / len(a | b) if a and b else 0.0) <= LOW_OVERLAP:
-            return "SUPERSEDE", "singleton_slot_low_overlap"
+        action, reason = compare(cur, nv)
+        if action:
+            return action, reason
         said = model({"normalized_value": cur}, {"normalized_value": nv}) if model else None
         if said in ("PATCH", "SUPERSEDE", "TENTATIVE"):
             return said, "llm_reconciled"
         return ("NONE", "llm_duplicate") if said == "NONE" else ("SUPERSEDE", "default_supersede")
 
+    version = pa.struct([("event_id", pa.string()), ("action", pa.string()), ("nv", pa.string())])
+
     def run(batches):
-        key, cur = None, None
-        for pdf in batches:
-            actions, reasons = [], []
-            for obj, nv, status, seed in zip(pdf["object_id"], pdf["normalized_value"], pdf["status"], pdf["_cur"], strict=True):
+        key, cur, last = None, None, None
+        compare = lru_cache(maxsize=1 << 16)(_compare)
+        for batch in batches:
+            actions, reasons, before, after = [], [], [], []
+            for obj, event, nv, status, seed in zip(*(batch.column(c).to_pylist() for c in ("object_id", "event_id", "normalized_value", "status", "_cur")), strict=True):
                 if obj != key:
-                    key, cur = obj, None if pd.isna(seed) else seed
-                action, reason = one(cur, nv, status)
+                    key, cur, last = obj, seed, None
+                action, reason = one(cur, nv, status, compare)
+                before.append(last)
                 if action in ("ADD", "PATCH", "SUPERSEDE"):
-                    cur = nv
-                actions.append(action), reasons.append(reason)
-            yield pdf[["object_id", *ORDER]].assign(action=actions, reason=reasons)
-
-    small = rows.select("object_id", *ORDER, "normalized_value", "status", "_cur").repartition("object_id").sortWithinPartitions("object_id", *ORDER)
-    decided = small.mapInPandas(run, "object_id string, seq long, atom_pos int, slot_pos int, event_id string, action string, reason string")
-    return rows.drop("_cur").join(decided, ["object_id", *ORDER])
+                    cur, last = nv, {"event_id": event, "action": action, "nv": nv}
+                after.append(last), actions.append(action), reasons.append(reason)
+            added = [pa.array(actions, pa.string()), pa.array(reasons, pa.string()), pa.array(before, version), pa.array(after, version)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "action", "reason", "_before", "_after"])
+
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL("action string, reason string, _before struct<event_id:string,action:string,nv:string>, _after struct<event_id:string,action:string,nv:string>").fields])
+    done = rows.repartition("object_id").sortWithinPartitions("object_id", *ORDER).mapInArrow(run, schema)
+    named = lambda v: F.coalesce(F.when(F.col(v).isNotNull(), stable_id("ver", F.col("object_id"), F.col(v)["event_id"], F.col(v)["action"], F.col(v)["nv"])), F.col("_held"))
+    own = F.when(F.col("action") != "NONE", stable_id("ver", "object_id", "event_id", "action", "normalized_value"))
+    return done.withColumns({"version_id": F.coalesce(own, named("_after")), "previous_version_id": F.when(F.col("action").isin("PATCH", "SUPERSEDE"), named("_before"))}).drop("_cur", "_held", "_before", "_after")
 
 
 def reconcile(candidates: DataFrame, current: DataFrame | None = None, model: Callable | None = None) -> DataFrame:
-    """Candidates with action, reason, version_id and previous_version_id."""
-    singleton = reconcile_streaming_fold(candidates, model, current) if model else reconcile_singleton(candidates, current)
-    return reconcile_multi(candidates, current).unionByName(with_versions(singleton, current))
-
-
-def with_versions(actions: DataFrame, current: DataFrame | None = None) -> DataFrame:
-    """version_id: the version that a candidate's evidence points to; previous_version_id of effective updates; valid_to of what they replace."""
-    own = F.when(F.col("action") != "NONE", stable_id("ver", "object_id", "event_id", "action", "normalized_value"))
-    rows = actions.withColumn("own_version", own)
-    effective = F.when(F.col("action").isin("ADD", "PATCH", "SUPERSEDE"), F.col("own_version"))
-    w = Window.partitionBy("object_id").orderBy(*ORDER)
-    rows = rows.withColumns({"latest": F.last(effective, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "before": F.last(effective, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
-    if current is not None:
-        rows = rows.join(current.select("object_id", F.col("latest_version_id").alias("held")), "object_id", "left").withColumns({"latest": F.coalesce("latest", "held"), "before": F.coalesce("before", "held")}).drop("held")
-    return rows.withColumns({"version_id": F.coalesce("own_version", "latest"), "previous_version_id": F.when(F.col("action").isin("PATCH", "SUPERSEDE"), F.col("before"))}).drop("latest", "before", "own_version")
+    """Candidates with action, reason, version_id (the version that a candidate's evidence points to) and previous_version_id (of effective updates)."""
+    return reconcile_multi(candidates, current).unionByName(reconcile_streaming_fold(candidates, model, current))
 
 
 def versions(actions: DataFrame) -> DataFrame:
@@ -165,10 +167,14 @@ def objects(actions: DataFrame) -> DataFrame:
     firsts = F.min_by(F.struct("corpus_id", "subject", "slot", "policy", "memory_kind", "event_id"), _order()).alias("f")
     last = F.max_by("version_id", F.when(F.col("action") != "TENTATIVE", _order())).alias("latest_version_id")
     seen = F.max_by("event_id", _order()).alias("updated_at_event_id")
-    refs = F.array_sort(F.collect_list(F.when(F.col("action") != "TENTATIVE", F.struct(*ORDER, "canonical_entities")))).alias("refs")
-    rows = made.groupBy("object_id").agg(firsts, last, seen, refs)
-    subject = F.array("f.subject")
-    canonical = F.slice(F.array_distinct(F.filter(F.concat(subject, F.flatten(F.transform("refs", lambda x: x["canonical_entities"]))), lambda x: x != "")), 1, 8)
+    rows = made.groupBy("object_id").agg(firsts, last, seen)
+    # The subject, then the evidence's references by first occurrence: of each its first place alone is kept.
+    each = made.where("action != 'TENTATIVE'").select("object_id", _order().alias("at"), F.posexplode("canonical_entities").alias("pos", "ref")).where("ref != ''")
+    place = each.groupBy("object_id", "ref").agg(F.min(F.struct("at", "pos")).alias("at"))
+    place = place.withColumn("n", F.row_number().over(Window.partitionBy("object_id").orderBy("at", "ref"))).where("n <= 8")
+    refs = place.groupBy("object_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "ref"))), lambda x: x["ref"]).alias("refs"))
+    rows = rows.join(refs, "object_id", "left")
+    canonical = F.slice(F.array_distinct(F.filter(F.concat(F.array("f.subject"), F.coalesce("refs", words_array([]))), lambda x: x != "")), 1, 8)
     return rows.select("object_id", "f.corpus_id", "f.subject", "f.slot", "f.policy", "f.memory_kind", F.lit("active").alias("status"), "latest_version_id", canonical.alias("canonical_entities"), F.col("f.event_id").alias("created_at_event_id"), "updated_at_event_id", words_array([]).alias("aliases"))
 
 

@@ -63,11 +63,16 @@ def temporal_score(hints: Column, anchor: Column) -> Column:
     return hit(hints["year"], F.year(anchor), 0.18) + hit(hints["month"], F.month(anchor), 0.28) + hit(hints["day"], F.dayofmonth(anchor), 0.36)
 
 
-def rank_events(events: DataFrame, questions: DataFrame, selected: DataFrame | None = None, metadata_text: Column | None = None) -> DataFrame:
-    """All events scored for each question, and their day."""
+def searchable_events(events: DataFrame, embed: Embed | None = None, metadata_text: Column | None = None) -> DataFrame:
+    """Events with what a search reads of them, computed once at ingest: event_terms, anchor and, with a model, embedding."""
     terms = T.query_terms(F.concat_ws(" ", F.col("text"), F.array_join("canonical_entity_refs", " "), *([metadata_text] if metadata_text is not None else [])))
     rows = events.withColumns({"event_terms": terms, "anchor": parse_anchor("timestamp")})
-    both = _meet(rows, questions)
+    return rows.withColumn("embedding", embed(F.col("surface"))) if embed else rows
+
+
+def rank_events(events: DataFrame, questions: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """All of searchable_events() scored for each question, and their day."""
+    both = _meet(events, questions)
     score = 0.55 * T.term_overlap(F.col("terms"), F.col("event_terms")) + temporal_score(F.col("hints"), F.col("anchor")) + F.when(F.array_contains("entities", F.lower(T.strip("speaker"))), 0.22).otherwise(0.0)
     if "embedding" in events.columns:
         score = score + 0.9 * cosine("q_embedding", "embedding")
@@ -78,11 +83,14 @@ def rank_events(events: DataFrame, questions: DataFrame, selected: DataFrame | N
 
 
 def evidence_spans(ranked: DataFrame, k: int = 8) -> DataFrame:
-    """Top k spans of each question. Diverse questions first take the best of each day (undated ones are never held back), then the rest."""
+    """Top k spans of each question. Diverse questions first take the best of each day (undated ones are never held back), then the rest.
+
+    A row that k rows of its question and day go before can't be among them; those are dropped before the shuffle.
+    """
     order = [F.col("score").desc(), "session_id", "turn_index", "event_id"]
-    by_day = F.row_number().over(Window.partitionBy("qid", "day").orderBy(*order))
-    later = F.when(F.col("diverse") & F.col("day").isNotNull() & (by_day > 1), 1).otherwise(0)
-    return _best(ranked.withColumn("later", later), k, "later", *order)
+    rows = ranked.withColumn("_d", F.row_number().over(Window.partitionBy("qid", "day").orderBy(*order))).where(F.col("_d") <= k)
+    later = F.when(F.col("diverse") & F.col("day").isNotNull() & (F.col("_d") > 1), 1).otherwise(0)
+    return _best(rows.withColumn("later", later), k, "later", *order).drop("_d")
 
 
 def expand_objects(top: DataFrame, objects: DataFrame, latest: DataFrame) -> DataFrame:
@@ -113,5 +121,6 @@ def search(questions: DataFrame, tables: dict[str, DataFrame], embed: Embed | No
     q = analyse(questions, embed)
     top = rank_snapshots(tables["snapshots"], q)
     recent = entity_events(tables["events"], tables["links"], tables["objects"])
-    ranked = rank_events(tables["events"], q, select_events(top, recent))
+    events = tables["events"] if "event_terms" in tables["events"].columns else searchable_events(tables["events"], embed)
+    ranked = rank_events(events, q, select_events(top, recent))
     return {"pages": top, "raw_spans": evidence_spans(ranked, spans), "atoms": expand_objects(top, tables["objects"], latest_versions(tables["objects"], tables["versions"]))}

@@ -1,12 +1,15 @@
 """Session, entity and root snapshots as bounded group-wise summaries.
 
 Texts enter a snapshot in a fixed order until its character limit is reached, and a text takes at least one character:
-so of each group only the first few hundred rows can matter. They are picked by a partial window limit before any
-array is made, which bounds what a task gathers however large a session or an entity is.
+so of each group only the first few hundred rows can matter to it. They are picked by a partial window limit before any
+array is made, which bounds what a task gathers however large a session or an entity is. References are merged over all
+texts: each reference's first place in a group is a pre-aggregated minimum, and the first few by place stay.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,21 +29,21 @@ def _gather(df: DataFrame, by: list[str], order: list[str], value: str, name: st
     return df.groupBy(*by).agg(F.transform(sorted_, lambda x: x["_v"]).alias(name))
 
 
-def _gather_texts(df: DataFrame, by: list[str], order: list, text: str, name: str) -> DataFrame:
-    """Texts in order, and their references, found once for each row before rows are gathered."""
-    rows = df.withColumn("_r", T.memory_references(F.array(text), 18))
-    sorted_ = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_v"), "_r")))
-    rows = rows.groupBy(*by).agg(sorted_.alias("_a"))
-    return rows.select(*by, F.transform("_a", lambda x: x["_v"]).alias(name), F.flatten(F.transform("_a", lambda x: x["_r"])).alias(f"{name}_refs"))
+def _merged_refs(texts: list[tuple[DataFrame, list[str], str]], by: list[str], limit: int = REFS, name: str = "entity_refs") -> DataFrame:
+    """(by, name): the first `limit` distinct references of the tables (rows, order, text) of texts, one table after another, each in its order."""
+    found = []
+    for part, (rows, order, text) in enumerate(texts):
+        each = rows.select(*by, F.struct(F.lit(0).alias("_"), *order).alias("at"), F.posexplode(T.memory_references(F.array(text), 18)).alias("pos", "ref"))
+        first = each.groupBy(*by, "ref").agg(F.min(F.struct("at", "pos")).alias("at"))
+        found.append(first.withColumn("part", F.lit(part)))
+    # A part's places are its own; all parts' first references are ranked within the part, then across parts.
+    ranked = [_top(f, by, ["at"], limit).select(*by, "ref", "part", "_n") for f in found]
+    every = reduce(DataFrame.union, ranked).groupBy(*by, "ref").agg(F.min(F.struct("part", "_n")).alias("at"))
+    return _gather(_top(every, by, ["at"], limit), by, ["at"], "ref", name)
 
 
-def _text_columns(first: str, second: str, subject: Column | None = None) -> dict[str, Column]:
-    texts = F.concat(first, second)
-    refs = F.concat(F.col(f"{first}_refs"), F.col(f"{second}_refs"))
-    if subject is not None:
-        refs = F.concat(T.memory_references(F.array(subject), 18), refs)
-    refs = T.canonicalize_entities(refs, REFS)
-    return {"summary": T.summarize_texts(texts, SUMMARY), "synopsis": T.synopsis(F.concat(F.slice(first, 1, 4), F.slice(second, 1, 4)), SYNOPSIS), "entity_refs": refs}
+def _text_columns(first: str, second: str) -> dict[str, Column]:
+    return {"summary": T.summarize_texts(F.concat(first, second), SUMMARY), "synopsis": T.synopsis(F.concat(F.slice(first, 1, 4), F.slice(second, 1, 4)), SYNOPSIS), "entity_refs": _array("entity_refs")}
 
 
 def time_range(first: Column, last: Column) -> Column:
@@ -61,16 +64,18 @@ def session_snapshots(events: DataFrame, objects: DataFrame, versions: DataFrame
     by = ["corpus_id", "session_id"]
     held = session_objects(links, objects, versions)
     order = ["subject", "slot", "object_id"]
-    active = _gather_texts(_top(held.where("status = 'active'"), by, order, SUMMARY), by, order, "summary", "states")
+    on = held.where("status = 'active'")
+    active = _gather(_top(on, by, order, SUMMARY), by, order, "summary", "states")
     ids = _gather(_top(held, by, order, 24), by, order, "object_id", "object_ids")
     counts = held.groupBy(*by).agg(F.count("*").alias("num_objects"))
     said = events.withColumn("line", F.concat_ws(": ", "speaker", "text"))
-    lines = _gather_texts(_top(said, by, ["turn_index"], SUMMARY), by, ["turn_index"], "line", "lines")
+    lines = _gather(_top(said, by, ["turn_index"], SUMMARY), by, ["turn_index"], "line", "lines")
+    refs = _merged_refs([(on, order, "summary"), (said, ["turn_index"], "line")], by)
     tail = _top(said, by, [F.col("turn_index").desc()], 24)
     ends = tail.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("turn_index", "event_id", "raw_span_id"))).alias("tail"))
     dated = events.groupBy(*by).agg(F.count("*").alias("num_events"), F.min_by("timestamp", F.when(F.col("timestamp").isNotNull(), F.col("turn_index"))).alias("t0"), F.max_by("timestamp", F.when(F.col("timestamp").isNotNull(), F.col("turn_index"))).alias("t1"))
-    rows = dated.join(lines, by).join(ends, by).join(active, by, "left").join(ids, by, "left").join(counts, by, "left")
-    rows = rows.select(*by, "num_events", F.coalesce("num_objects", F.lit(0)).alias("num_objects"), "t0", "t1", "tail", "lines", "lines_refs", _array("states"), _array("states_refs"), _array("object_ids")).withColumns(_text_columns("states", "lines"))
+    rows = dated.join(lines, by).join(ends, by).join(active, by, "left").join(ids, by, "left").join(counts, by, "left").join(refs, by, "left")
+    rows = rows.select(*by, "num_events", F.coalesce("num_objects", F.lit(0)).alias("num_objects"), "t0", "t1", "tail", "lines", _array("states"), _array("object_ids"), "entity_refs").withColumns(_text_columns("states", "lines"))
     ids_of = F.transform("tail", lambda x: x["event_id"])
     return rows.select(
         stable_id("snap", F.col("corpus_id"), F.lit("session"), F.col("session_id")).alias("snapshot_id"), "corpus_id", stable_id("snap", F.col("corpus_id"), F.lit("root")).alias("parent_id"),
@@ -97,15 +102,16 @@ def entity_snapshots(events: DataFrame, objects: DataFrame, versions: DataFrame,
     by = ["corpus_id", "subject"]
     order = ["slot", "object_id", "_from", "version_id"]
     held = versions.where("status = 'active'").join(objects.select("object_id", "subject", "slot"), "object_id").withColumn("_from", F.coalesce("valid_from", F.lit("")))
-    active = _gather_texts(_top(held, by, order, SUMMARY), by, order, "summary", "states")
+    active = _gather(_top(held, by, order, SUMMARY), by, order, "summary", "states")
     ids = _gather(_top(objects, by, ["slot", "object_id"], 32), by, ["slot", "object_id"], "object_id", "object_ids")
     counts = objects.groupBy(*by).agg(F.count("*").alias("num_objects"))
-    recent = entity_events(events, links, objects).withColumn("line", F.concat_ws(": ", "speaker", "text")).withColumn("refs", T.memory_references(F.array("line"), 18))
+    recent = entity_events(events, links, objects).withColumns({"line": F.concat_ws(": ", "speaker", "text"), "_last": -F.col("rank")})
+    refs = _merged_refs([(counts, [], "subject"), (held, order, "summary"), (recent, ["_last"], "line")], by)
     # Twelve at most; reversed: the last by rank comes first.
-    recent = recent.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "event_id", "raw_span_id", "line", "timestamp", "refs"))).alias("recent"))
-    rows = counts.join(ids, by).join(active, by, "left").join(recent, by, "left")
-    rows = rows.withColumn("recent", F.coalesce("recent", F.array().cast(rows.schema["recent"].dataType))).select(*by, "num_objects", "object_ids", _array("states"), _array("states_refs"), "recent", F.transform("recent", lambda x: x["line"]).alias("lines"), F.flatten(F.transform("recent", lambda x: x["refs"])).alias("lines_refs"))
-    rows = rows.withColumns(_text_columns("states", "lines", F.col("subject")))
+    recent = recent.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("_last").alias("r"), "event_id", "raw_span_id", "line", "timestamp"))).alias("recent"))
+    rows = counts.join(ids, by).join(active, by, "left").join(recent, by, "left").join(refs, by, "left")
+    rows = rows.withColumn("recent", F.coalesce("recent", F.array().cast(rows.schema["recent"].dataType))).select(*by, "num_objects", "object_ids", _array("states"), "recent", F.transform("recent", lambda x: x["line"]).alias("lines"), "entity_refs")
+    rows = rows.withColumns(_text_columns("states", "lines"))
     stamps = F.filter(F.transform("recent", lambda x: x["timestamp"]), lambda x: x.isNotNull() & (x != ""))
     return rows.select(
         stable_id("snap", F.col("corpus_id"), F.lit("entity"), F.col("subject")).alias("snapshot_id"), "corpus_id", stable_id("snap", F.col("corpus_id"), F.lit("root")).alias("parent_id"),

@@ -126,48 +126,23 @@ def semantic_refs(spark, sf_dir):
     return ev(spark, sf_dir).select("event_id", joined("semantic_refs").alias("refs"))
 
 
-_ASCII = "regexp_full_match(text, '[\\x00-\\x7F]*')"
-
-
-@query(O.q(f"{O.CONV_TURNS}, src AS (SELECT session_id, seq, text FROM conv_turns WHERE {_ASCII}), {O.entity_ctes('src', 'text', 'e')}", "SELECT session_id, seq, array_to_string(ents, '|') AS entities FROM e"))
+@query(O.q(f"{O.CONV_TURNS}, {O.entity_ctes('conv_turns', 'text', 'e', True)}", "SELECT session_id, seq, array_to_string(ents, '|') AS entities FROM e"))
 def extract_entities(spark, sf_dir):
-    t = conversation_turns(spark, sf_dir).where(F.col("text").rlike("^[\\x00-\\x7F]*$"))
-    return t.select("session_id", "seq", joined(T.extract_entities("text")).alias("entities"))
-
-
-@query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\b[a-zA-Z][a-zA-Z0-9_-]{{3,}}\\b')) AS token FROM documents WHERE {_ASCII})
- SELECT doc_id, token, count(*) AS n FROM w WHERE token NOT IN {O._in(T.KEYWORD_STOPWORDS)} GROUP BY ALL HAVING count(*) >= 2""")
-def keyword_repeats(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where(F.col("text").rlike("(?s)^[\\x00-\\x7F]*$"))
-    w = d.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-zA-Z][a-zA-Z0-9_-]{3,}\b"), 0)).alias("token"))
-    return w.where(~F.col("token").isin(T.KEYWORD_STOPWORDS)).groupBy("doc_id", "token").agg(F.count("*").alias("n")).where("n >= 2")
-
-
-# The three queries whose SQL holds ASCII texts alone, over whole tables: DuckDB's \\b is ASCII, so no SQL states these.
+    return conversation_turns(spark, sf_dir).select("session_id", "seq", joined(T.extract_entities("text")).alias("entities"))
 
 
-@query()
-def extract_entities_whole(spark, sf_dir):
-    return conversation_turns(spark, sf_dir).select("session_id", "seq", joined(T.extract_entities("text")).alias("entities"))
+_KEYWORDS = O.hyphens(rf"regexp_extract_all({O.unicode('lower(text)')}, '\b[a-zA-Z][a-zA-Z0-9_-]{{3,}}\b')")
 
 
-@query()
-def keyword_repeats_whole(spark, sf_dir):
+@query(f"WITH w AS (SELECT doc_id, unnest({_KEYWORDS}) AS token FROM documents) SELECT doc_id, token, count(*) AS n FROM w WHERE length(token) > 3 AND token NOT IN {O._in(T.KEYWORD_STOPWORDS)} GROUP BY ALL HAVING count(*) >= 2")
+def keyword_repeats(spark, sf_dir):
     w = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b[a-zA-Z][a-zA-Z0-9_-]{3,}\b"), 0)).alias("token"))
     return w.where(~F.col("token").isin(T.KEYWORD_STOPWORDS)).groupBy("doc_id", "token").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-@query()
-def query_tokens_whole(spark, sf_dir):
-    return conversation_turns(spark, sf_dir).select("session_id", "seq", joined(F.array_sort(T.query_tokens("text"))).alias("tokens"))
-
-
-@query(O.q(O.EV_TURNS, f"SELECT seq, {O.kind(repr('observation'), 'text')} AS memory_kind, {O.status('text')} AS status FROM ev_turns"))
+@query(O.q(O.EV_TURNS, f"SELECT (epoch_us(moment) - 1704067200000000) * 1000000 + event_no AS seq, {O.kind(repr('observation'), 'text')} AS memory_kind, {O.status('text')} AS status FROM ev_turns"))
 def memory_kind(spark, sf_dir):
-    from pyspark.sql import Window
-
-    t = event_turns(spark, sf_dir).repartition(1)
-    return t.withColumn("seq", F.row_number().over(Window.orderBy("seq")).cast("long")).select("seq", T.memory_kind(F.lit("observation"), "text").alias("memory_kind"), T.atom_status("text").alias("status"))
+    return event_turns(spark, sf_dir).select("seq", T.memory_kind(F.lit("observation"), "text").alias("memory_kind"), T.atom_status("text").alias("status"))
 
 
 @query(f"SELECT a.p_partkey AS a, b.p_partkey AS b, round({O.jaccard('a.p_name', 'b.p_name')}, 6) AS overlap FROM part a JOIN part b ON a.p_partkey + 1 = b.p_partkey")
@@ -177,10 +152,9 @@ def token_jaccard_pairs(spark, sf_dir):
     return a.join(b, F.col("a") + 1 == F.col("b")).select("a", "b", F.round(T.token_overlap("x", "y"), 6).alias("overlap"))
 
 
-@query(O.q(f"{O.CONV_TURNS}, t AS (SELECT session_id, seq, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: length(x) > 2))) AS q FROM conv_turns WHERE {_ASCII})", "SELECT session_id, seq, array_to_string(q, '|') AS tokens FROM t"))
+@query(O.q(f"{O.CONV_TURNS}, t AS (SELECT session_id, seq, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: length(x) > 2))) AS q FROM conv_turns)", "SELECT session_id, seq, array_to_string(q, '|') AS tokens FROM t"))
 def query_tokens(spark, sf_dir):
-    t = conversation_turns(spark, sf_dir).where(F.col("text").rlike("^[\\x00-\\x7F]*$"))
-    return t.select("session_id", "seq", joined(F.array_sort(T.query_tokens("text"))).alias("tokens"))
+    return conversation_turns(spark, sf_dir).select("session_id", "seq", joined(F.array_sort(T.query_tokens("text"))).alias("tokens"))
 
 
 @query(O.q(O.CONV_TURNS, "SELECT session_id, seq, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM conv_turns"))
@@ -225,12 +199,17 @@ def reconcile_multi(spark, sf_dir):
 
 @query(O.q(O.ACTIONS, _ACTION_SQL.format("singleton"), True))
 def reconcile_singleton_actions(spark, sf_dir):
-    return reconcile.reconcile_singleton(cand(spark, sf_dir)).select("object_id", "event_id", "atom_id", "slot", "action", "reason")
+    return reconcile.reconcile_streaming_fold(cand(spark, sf_dir)).select("object_id", "event_id", "atom_id", "slot", "action", "reason")
 
 
 @query(O.q(O.ACTIONS, _ACTION_SQL.format("singleton"), True))
+def reconcile_array_fold(spark, sf_dir):
+    return reconcile.reconcile_singleton(cand(spark, sf_dir)).select("object_id", "event_id", "atom_id", "slot", "action", "reason")
+
+
+@query(O.q(O.ACTIONS, _ACTION_SQL.format("singleton").replace("reason FROM", "reason, version_id FROM"), True))
 def reconcile_streaming_fold(spark, sf_dir):
-    return reconcile.reconcile_streaming_fold(cand(spark, sf_dir)).select("object_id", "event_id", "atom_id", "slot", "action", "reason")
+    return reconcile.reconcile_streaming_fold(cand(spark, sf_dir)).select("object_id", "event_id", "atom_id", "slot", "action", "reason", "version_id")
 
 
 @query(O.q(O.ACTIONS, "SELECT action, reason, count(*) AS n FROM acts GROUP BY action, reason", True))
@@ -307,27 +286,16 @@ def ingest_report(spark, sf_dir):
 # ---------------------------------------------------------------- snapshots
 
 
-_SESSION_STATES = """, held AS (SELECT DISTINCT l.session_id, o.object_id, o.subject, o.slot, v.summary, v.status FROM links l JOIN objs o USING (object_id) JOIN vers v ON v.version_id = o.latest_version_id),
- st AS (SELECT session_id, list(summary ORDER BY subject, slot, object_id) FILTER (WHERE status = 'active') AS states, list(object_id ORDER BY subject, slot, object_id) AS ids FROM held GROUP BY session_id),
- li AS (SELECT session_id, list(speaker || ': ' || text ORDER BY turn_index) AS lines, list(event_id ORDER BY turn_index) AS evs, list(timestamp ORDER BY turn_index) AS stamps, count(*) AS num_events FROM events_x GROUP BY session_id),
- both_ AS (SELECT li.*, coalesce(states, []) AS states, coalesce(ids, []) AS ids FROM li LEFT JOIN st USING (session_id)), txt AS (SELECT *, list_concat(states, lines) AS t, list_concat(list_slice(states, 1, 4), list_slice(lines, 1, 4)) AS s FROM both_)"""
-
-
-@query(O.q(O.ACTIONS + _SESSION_STATES, f"SELECT {O.stable_id('snap', repr('ev'), repr('session'), 'session_id')} AS snapshot_id, session_id AS scope_id, {O.summarize('t', 760)} AS summary, {O.summarize('s', 180)} AS synopsis, array_to_string(list_slice(ids, 1, 24), '|') AS object_ids, array_to_string(list_slice(evs, -24, -1), '|') AS event_ids, array_to_string(list_slice(evs, -12, -1), '|') AS child_ids, stamps[1] || '..' || stamps[-1] AS time_range, num_events FROM txt", True))
+@query(O.q(O.SESSIONS, "SELECT snapshot_id, scope_id, summary, synopsis, array_to_string(object_ids, '|') AS object_ids, array_to_string(event_ids, '|') AS event_ids, array_to_string(child_ids, '|') AS child_ids, array_to_string(refs, '|') AS entity_refs, time_range, num_events FROM sess", True))
 def session_snapshot_summary(spark, sf_dir):
     s = session_rows(spark, sf_dir)
-    return s.select("snapshot_id", "scope_id", "summary", "synopsis", joined("object_ids").alias("object_ids"), joined("event_ids").alias("event_ids"), joined("child_ids").alias("child_ids"), "time_range", "num_events")
-
+    return s.select("snapshot_id", "scope_id", "summary", "synopsis", *(joined(c).alias(c) for c in ("object_ids", "event_ids", "child_ids", "entity_refs")), "time_range", "num_events")
 
-_ENTITY_STATES = """, act AS (SELECT subject, list(summary ORDER BY slot, object_id, coalesce(valid_from, ''), version_id) AS states FROM vers WHERE status = 'active' GROUP BY subject),
- ids AS (SELECT subject, list(object_id ORDER BY slot, object_id) AS ids FROM objs GROUP BY subject), rec AS (SELECT subject, list(speaker || ': ' || text ORDER BY rank DESC) AS lines, list(event_id ORDER BY rank DESC) AS evs, list(timestamp ORDER BY rank DESC) AS stamps FROM ent_ev WHERE rank <= 12 GROUP BY subject),
- txt AS (SELECT i.subject, i.ids, evs, stamps, list_concat(coalesce(states, []), coalesce(lines, [])) AS t, list_concat(list_slice(coalesce(states, []), 1, 4), list_slice(coalesce(lines, []), 1, 4)) AS s FROM ids i LEFT JOIN act USING (subject) LEFT JOIN rec USING (subject))"""
 
-
-@query(O.q(O.ACTIONS + _ENTITY_STATES, f"SELECT {O.stable_id('snap', repr('ev'), repr('entity'), 'subject')} AS snapshot_id, subject AS scope_id, {O.summarize('t', 760)} AS summary, {O.summarize('s', 180)} AS synopsis, array_to_string(list_slice(ids, 1, 32), '|') AS object_ids, array_to_string(evs, '|') AS event_ids, stamps[1] || '..' || stamps[-1] AS time_range FROM txt", True))
+@query(O.q(f"{O.ACTIONS}, {O.ENTITIES}", "SELECT snapshot_id, scope_id, summary, synopsis, array_to_string(object_ids, '|') AS object_ids, array_to_string(event_ids, '|') AS event_ids, array_to_string(refs, '|') AS entity_refs, time_range FROM enty", True))
 def entity_snapshot(spark, sf_dir):
     s = entity_rows(spark, sf_dir)
-    return s.select("snapshot_id", "scope_id", "summary", "synopsis", joined("object_ids").alias("object_ids"), joined("event_ids").alias("event_ids"), "time_range")
+    return s.select("snapshot_id", "scope_id", "summary", "synopsis", *(joined(c).alias(c) for c in ("object_ids", "event_ids", "entity_refs")), "time_range")
 
 
 @query(O.q(f"{O.CONV_TURNS}, l AS (SELECT session_id, list(speaker || ': ' || text ORDER BY seq) AS t FROM conv_turns GROUP BY session_id)", f"SELECT session_id, {O.summarize('t', 760)} AS summary FROM l"))
@@ -337,9 +305,10 @@ def session_texts(spark, sf_dir):
     return rows.select("session_id", T.summarize_texts("lines", 760).alias("summary"))
 
 
-@query()
+@query(O.q(f"{O.SESSIONS}, {O.ENTITIES}, {O.ROOT}", "SELECT snapshot_id, synopsis, summary, array_to_string(event_ids, '|') AS event_ids, array_to_string(child_ids, '|') AS child_ids, array_to_string(refs, '|') AS entity_refs, time_range, num_events, num_sessions, num_entities FROM root", True))
 def root_snapshot(spark, sf_dir):
-    return snapshots.root_snapshot(ev(spark, sf_dir), session_rows(spark, sf_dir), entity_rows(spark, sf_dir), "ev")
+    r = snapshots.root_snapshot(ev(spark, sf_dir), session_rows(spark, sf_dir), entity_rows(spark, sf_dir), "ev")
+    return r.select("snapshot_id", "synopsis", "summary", *(joined(c).alias(c) for c in ("event_ids", "child_ids", "entity_refs")), "time_range", "num_events", "num_sessions", "num_entities")
 
 
 # ---------------------------------------------------------------- vectors and search
@@ -363,20 +332,39 @@ def label_centroid_sim(spark, sf_dir):
     return c.toDF("a", "v").join(b, F.col("a") < F.col("b")).select("a", "b", F.round(cosine("v", "w"), 4).alias("similarity"))
 
 
+_QUESTIONS = [("q1", "Where does User12 live?"), ("q2", "How many cities did User3 visit for stress relief in January 2024?"), ("q3", "Which job failed with Code2?")]
+
+
 def _questions(spark):
-    return spark.createDataFrame([("q1", "Where does User12 live?"), ("q2", "How many cities did User3 visit for stress relief in January 2024?"), ("q3", "Which job failed with Code2?")], "qid string, question string")
+    return spark.createDataFrame(_QUESTIONS, "qid string, question string")
 
 
-@query()
-def snapshot_top6(spark, sf_dir):
+def mock_embedding(c):
+    """A stand-in for an embedding model: counts of a few words, and the number of words."""
+    low = F.lower(F.coalesce(T.as_column(c), F.lit("")))
+    counts = [(F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w) for w in O.MOCK_WORDS]
+    return F.array(*counts, F.size(T.tokens(T.collapse(low))).cast("double"))
+
+
+def _searched(spark, sf_dir):
+    """Analysed questions, their top snapshots, and the events ready for search."""
+    q = search.analyse(_questions(spark), mock_embedding)
     s = session_rows(spark, sf_dir).drop("num_events", "num_objects").unionByName(entity_rows(spark, sf_dir).drop("num_events", "num_objects"))
-    return search.rank_snapshots(s, search.analyse(_questions(spark))).select("qid", "snapshot_id", "scope_id", "score", "rank")
+    events = _shared(spark, sf_dir, "searchable", lambda: search.searchable_events(ev(spark, sf_dir), mock_embedding))
+    return q, search.rank_snapshots(s.withColumn("embedding", mock_embedding("summary")), q), events
 
 
-@query()
+@query(O.q(f"{O.SESSIONS}, {O.ENTITIES}, {O.questions(_QUESTIONS)}, {O.TOP6}", "SELECT qid, snapshot_id, scope_id, score, rank FROM top6", True))
+def snapshot_top6(spark, sf_dir):
+    return _searched(spark, sf_dir)[1].select("qid", "snapshot_id", "scope_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(O.q(f"{O.SESSIONS}, {O.ENTITIES}, {O.questions(_QUESTIONS)}, {O.TOP6}, {O.RANKED}", "SELECT qid, event_id, day, score, rank FROM spans", True))
 def hybrid_event_rank(spark, sf_dir):
-    ranked = search.rank_events(ev(spark, sf_dir), search.analyse(_questions(spark)))
-    return search.evidence_spans(ranked).select("qid", "event_id", "day", "score", "rank")
+    q, top, events = _searched(spark, sf_dir)
+    _, o, _, l = state(spark, sf_dir)
+    ranked = search.rank_events(events, q, search.select_events(top, snapshots.entity_events(ev(spark, sf_dir), l, o)))
+    return search.evidence_spans(ranked).select("qid", "event_id", "day", "score", F.col("rank").cast("long").alias("rank"))
 
 
 # ---------------------------------------------------------------- edges
@@ -388,7 +376,7 @@ def mention_edges(spark, sf_dir):
     return edges.graph_edges(e, extract.atoms(e)).where("relation = 'mentions'").select("edge_id", "src", "dst", "confidence")
 
 
-@query()
+@query(O.q(O.EDGES, "SELECT edge_id, src, relation, dst, confidence FROM edges WHERE relation IN ('co_occurs_with', 'contradicts', 'supports')"))
 def cooccurrence_edges(spark, sf_dir):
     e = ev(spark, sf_dir)
     return edges.graph_edges(e, extract.atoms(e)).where("relation in ('co_occurs_with', 'contradicts', 'supports')").select("edge_id", "src", "relation", "dst", "confidence")

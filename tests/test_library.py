@@ -109,6 +109,12 @@ def test_fold_forms_agree_and_invariants(spark, sf_dir):
     c = extract.candidates(extract.atoms(extract.events(event_turns(spark, sf_dir)))).persist()
     key = lambda df: sorted((r.object_id, r.seq, r.slot_pos, r.action, r.reason) for r in df.collect())
     assert key(reconcile.reconcile_singleton(c)) == key(reconcile.reconcile_streaming_fold(c))
+    # Each case of the decision table, in both forms.
+    values = ["red hat", "red hat", "big red hat", "red hat", "blue shoe", "blue shoe now", "red", "", "blue thing shoe x", "a shoe blue red now"]
+    rows = [("c", "s", f"e{i}", f"a{i}", "o" if i % 2 else "p", values[i * j % 10], ("active", "uncertain")[i * j % 7 == 3], i, 0, 0, "singleton") for j in (1, 3, 7) for i in range(40)]
+    table = spark.createDataFrame([(*r[:7], n, *r[8:]) for n, r in enumerate(rows)], "corpus_id string, session_id string, event_id string, atom_id string, object_id string, normalized_value string, status string, seq long, atom_pos int, slot_pos int, policy string")
+    assert key(reconcile.reconcile_singleton(table)) == key(reconcile.reconcile_streaming_fold(table))
+    assert {r.reason for r in reconcile.reconcile_singleton(table).select("reason").distinct().collect()} >= {"new_object", "same_normalized_value", "candidate_more_specific", "existing_more_specific", "candidate_not_active", "singleton_slot_low_overlap", "default_supersede"}
     a = reconcile.reconcile(c).persist()
     n = c.count()
     assert a.count() == n == reconcile.evidence_links(a).count()
@@ -170,10 +176,10 @@ def test_whole_tables_with_accented_texts(spark, tmp_path):
     kept = [(i, t) for i, t in enumerate(texts) if t]
     counts = [(i, k, n) for i, t in kept for k, n in Counter(re.findall(r"\b[a-zA-Z][a-zA-Z0-9_-]{3,}\b", t.lower())).items() if n >= 2 and k not in T.KEYWORD_STOPWORDS]
     assert {"martin", "weise", "harbor", "word"} == {k for _, k, _ in counts}
-    assert sorted((r.doc_id, r.token, r.n) for r in run("keyword_repeats_whole")) == sorted(counts)
+    assert sorted((r.doc_id, r.token, r.n) for r in run("keyword_repeats")) == sorted(counts)
     want = {i: "|".join(sorted({w for w in re.sub(r"[^a-z0-9\s]", " ", t.lower()).split() if len(w) > 2})) for i, t in kept}
-    assert {r.seq: r.tokens for r in run("query_tokens_whole")} == want
-    found = {r.seq: r.entities for r in run("extract_entities_whole")}
+    assert {r.seq: r.tokens for r in run("query_tokens")} == want
+    found = {r.seq: r.entities for r in run("extract_entities")}
     assert found == {i: "|".join(plain_entities(t)) for i, t in kept} and found[2] == "o nuevo"
 
 
