@@ -97,12 +97,12 @@ def tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def byte_slices(column, most: int = 4 << 20):
-    """Bounds (a, b) of consecutive slices of an Arrow column of texts, of at most `most` bytes or one row, and at most 1,000 rows."""
+def byte_slices(column, most: int = 4 << 20, rows: int = 1000):
+    """Bounds (a, b) of consecutive slices of an Arrow column of texts, of at most `most` bytes or one row, and at most `rows` rows."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     a, total = 0, 0
     for b, n in enumerate(sizes.tolist()):
-        if b > a and (total + n > most or b - a == 1000):
+        if b > a and (total + n > most or b - a == rows):
             yield a, b
             a, total = b, 0
         total += n
@@ -198,13 +198,13 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def class_sample(df: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
-    """At most about per_class rows of each label, chosen by a hash of key; the bound is the caller's documented parameter.
+def class_sample(df: DataFrame, label: str, key: str, per_class: int, most_classes: int = 200) -> DataFrame:
+    """At most about per_class rows of each label, chosen by a hash of key; both bounds are the caller's documented parameters.
 
     Class counts come from label alone (a pruned scan); then one scan keeps rows whose hash falls below
-    the class's fraction. Rows with a null label are left out.
+    the class's fraction. Rows with a null label are left out, and so are labels beyond the most_classes commonest.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect() if r[0] is not None}
+    counts = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.col("count").desc(), label).limit(most_classes).collect()}
     if not counts:
         return df.where(F.lit(False))
     u = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -149,21 +149,21 @@ def components(df: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector:
     """(key, n_links, component_id, kept) of every row, exactly, by links of cosine >= `cosine` in double precision.
 
     Pivots: one for each `cell` distinct vectors, 8 to max_pivots, chosen by hash; they alone are sent to all tasks.
-    Equal vectors are one class, compared once and counted as often as they occur. Vectors that are null, empty,
-    zero or hold null or non-finite components link with nothing; shorter vectors count as padded with zeros. A null
-    key takes its class's results where another row has a key, else null; repeated rows each give a row and count
-    as others; an empty table gives none; other columns aren't read.
+    Equal vectors are one class, compared once and counted as often as they occur, whatever their keys. Vectors that are
+    null, empty, zero or hold null or non-finite components link with nothing; shorter vectors count as padded with zeros.
+    Rows with a null key are compared as any others, but name no component: one of null keys alone has a null component_id, whose
+    rows are all kept. Repeated rows each give a row and count as others; an empty table gives none; other columns aren't read.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v"))
     sound = F.coalesce((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    classes = written(rows.where(sound & F.col("k").isNotNull()).groupBy("v").agg(F.min("k").alias("rep"), F.count("*").alias("n")), "classes")
+    classes = written(rows.where(sound).groupBy("v").agg(F.min("k").alias("least"), F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id()), "classes")
     total, dims = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     alone = rows.where(~sound).select(F.col("k").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"), F.lit(True).alias("kept"))
     if not total:
-        return alone.union(rows.where(sound).select("k", F.lit(0).cast("long"), "k", F.lit(True)))
+        return alone
     wanted = min(max_pivots, max(8, math.ceil(total / cell)))
-    picked = classes.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("v").toArrow().column("v").combine_chunks()
+    picked = classes.orderBy(F.xxhash64("v"), "least", "rep").limit(wanted).select("v").toArrow().column("v").combine_chunks()
     pivots = _matrix(picked if isinstance(picked, pa.Array) else picked.chunk(0), dims)
     placed = written(assign(classes, pivots, math.sqrt(2 - 2 * cosine)), "placed")
     # At most max_pivots rows.
@@ -184,7 +184,10 @@ def components(df: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector:
     found = written(block_join(dealt.repartition("key").sortWithinPartitions("key", "role"), cosine, dims), "found")
     links = written(found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links")), "sums")
     comp = connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")
-    known = written(classes.join(links, "rep", "left").join(comp, "rep", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "known")
-    drop_written(placed, found, links, classes)
-    linked = rows.where(sound).join(known, "v", "left").select(F.col("k").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "k").alias("component_id"))
-    return linked.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True))).union(alone)
+    of = classes.select("rep", "least", "v", "n").join(links, "rep", "left").join(comp, "rep", "left")
+    of = written(of.select("v", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "of")
+    least = written(of.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    known = written(of.join(least, "component").select("v", "n_links", "component_id"), "known")
+    drop_written(placed, found, links, classes, of, least)
+    linked = rows.where(sound).join(known, "v").select(F.col("k").alias(key), "n_links", "component_id")
+    return linked.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id"))).union(alone)

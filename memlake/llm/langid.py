@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Features are hashed character bigrams and trigrams of the lower-cased text, weighted by their share of the text
-times their inverse document frequency. Weights are learned by follow-the-regularised-leader (FTRL-proximal) with
+times their inverse document frequency, which is counted over all learnable documents. Weights are learned by follow-the-regularised-leader (FTRL-proximal) with
 L1 and L2 penalties, which leaves most of them zero; a temperature fitted on rows kept out of training calibrates the
 probabilities. A text's score is linear in its n-grams, so whole texts of any length stream through in pieces.
 """
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm._shared import class_sample, crc_mod
+from memlake.llm._shared import byte_slices, class_sample, crc_mod
 
 UNDETERMINED = "und"
 BITS = 16
@@ -99,14 +99,42 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, scale: float = 30.0, seed: int = 7) -> Model:
-    """FTRL-proximal over (language, features, shares); a fifth of the rows sets the temperature alone."""
+def document_frequencies(df: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+    """How many whole texts hold each feature, and the number of texts; tasks' sums are added by feature."""
+
+    def run(batches):
+        total, n, seen = np.zeros(1 << BITS, np.int64), 0, np.zeros(1 << BITS, bool)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                p = _points(t)
+                held = [ngrams(p, order) for order in _ORDERS]
+                for h in held:
+                    seen[h] = True
+                total += seen
+                for h in held:
+                    seen[h] = False
+            n += batch.num_rows
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[total[at], n])], names=["feature", "n"])
+
+    out, n = np.zeros(1 << BITS, np.int64), 0
+    rows = df.where(F.length(text) > 0).select(F.col(text).cast("string").alias("t"))
+    for r in rows.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # at most a row for each feature
+        if r["feature"] < 0:
+            n = r["n"]
+        else:
+            out[r["feature"]] = r["n"]
+    return out, n
+
+
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], frequencies: tuple[np.ndarray, int] | None = None, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, scale: float = 30.0, seed: int = 7) -> Model:
+    """FTRL-proximal over (language, features, shares); a fifth of the rows sets the temperature alone. frequencies: of document_frequencies(); else the rows' own."""
     languages = sorted({r[0] for r in rows})
     k, size = len(languages), 1 << BITS
     if not rows:
         return Model([], np.zeros((size, 0), np.float32), np.zeros(0), 1.0)
-    df = np.bincount(np.concatenate([r[1] for r in rows]), minlength=size)
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    df, total = frequencies or (np.bincount(np.concatenate([r[1] for r in rows]), minlength=size), len(rows))
+    idf = np.log((1 + total) / (1 + df)) + 1
     order = np.random.default_rng(seed).permutation(len(rows))
     held, used = order[: len(rows) // 5], order[len(rows) // 5 :]
     z, n = np.zeros((size, k)), np.zeros((size, k))
@@ -147,7 +175,10 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, alpha:
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_class: int = 400, **options) -> Model:
-    """Fit on about per_class labelled rows of each language, drawn by a hash of key over all labelled rows, a repeated key once: the documented bound of what reaches the driver."""
+    """Fit on about per_class labelled rows of each language, drawn by a hash of key over all labelled rows: the documented bound of what reaches the driver.
+
+    Of rows with one key the one of least language and text counts; only the 200 commonest languages are learned.
+    """
 
     def run(batches):
         for batch in batches:
@@ -155,10 +186,11 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float32()))], names=["lang", "f", "s"])
 
     labelled = df.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"), F.col(label).alias("lang"))
-    rows = class_sample(labelled, "lang", "k", per_class).dropDuplicates(["k"]).select("lang", "text").mapInArrow(run, "lang string, f array<int>, s array<float>").toArrow()
+    drawn = class_sample(labelled, "lang", "k", per_class).groupBy("k").agg(F.min(F.struct("lang", "text")).alias("r"))
+    rows = drawn.select("r.lang", "r.text").mapInArrow(run, "lang string, f array<int>, s array<float>").toArrow()
     features, shares = rows.column("f").combine_chunks(), rows.column("s").combine_chunks()
     found = [(lang, f.values.to_numpy(), s.values.to_numpy()) for lang, f, s in zip(rows.column("lang").to_pylist(), features, shares, strict=True)]
-    return fit(sorted(found, key=lambda r: (r[0], len(r[1]), r[1][:4].tolist(), float(r[2][0]))), **options)
+    return fit(sorted(found, key=lambda r: (r[0], len(r[1]), r[1][:4].tolist(), float(r[2][0]))), document_frequencies(labelled), **options)
 
 
 def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,8 +203,8 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                cut = batch.slice(a, 256)
+            for a, b in byte_slices(batch.column(1), rows=256):
+                cut = batch.slice(a, b - a)
                 names, score = model.predict(cut.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(names, pa.string()), pa.array(score)], names=["k", "lang_pred", "score"])
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm._shared import class_sample, crc_mod
+from memlake.llm._shared import byte_slices, class_sample, crc_mod
 
 EMBED, WIDTH, STRIDE, FILTERS, CHUNK = 6, 8, 2, 24, 256
 _BATCH = 1 << 20
@@ -125,15 +125,16 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 8, rate: float = 0
     return net
 
 
-def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 700, **options) -> Network:
-    """Fit on the whole texts of about per_class rows of each label, drawn by a hash of key: the documented bound of what reaches the driver.
+def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 700, most_bytes: int = 200_000, **options) -> Network:
+    """Fit on the whole texts, of at most most_bytes each, of about per_class rows of each label, drawn by a hash of key: the documented bounds of what reaches the driver.
 
     The draw is made on labels alone; its distinct keys, whose number per_class bounds, are sent to all tasks, so that the
-    documents are not shuffled. Rows with a null label are left out, and a repeated key counts once.
+    documents are not shuffled. Rows with a null label are left out; a repeated key counts once, with its least label and text.
     """
     drawn = class_sample(labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")), "y", "k", per_class)
-    rows = documents.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t")).join(F.broadcast(drawn.dropDuplicates(["k"])), "k")
-    found = rows.select("k", "t", "y").dropDuplicates(["k"]).toArrow()
+    keys = drawn.groupBy("k").agg(F.min("y").alias("y"))
+    rows = documents.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t")).where(F.octet_length("t") <= most_bytes)
+    found = rows.join(F.broadcast(keys), "k").groupBy("k", "y").agg(F.min("t").alias("t")).toArrow()
     order = sorted(range(found.num_rows), key=lambda i: found.column("k")[i].as_py())
     texts, y = found.column("t").to_pylist(), np.array(found.column("y").to_pylist())
     return fit([texts[i] for i in order], y[order] if len(y) else y, **options)
@@ -148,8 +149,8 @@ def score(df: DataFrame, net: Network, key: str = "doc_id", text: str = "text")
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                cut = batch.slice(a, 64)
+            for a, b in byte_slices(batch.column(1), rows=64):
+                cut = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(net.score([t or b"" for t in cut.column(1).to_pylist()]))], names=["k", "score"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -3,7 +3,8 @@
 A shard holds the documents of one range of keys: a header, the keys, the boundaries, the concatenated ids. The
 i-th boundary is the number of ids up to the end of document i. With n boundaries over u ids, each keeps
 log2(u/n) low bits in a packed array and its high part in unary in a bit vector: about 2 + log2(u/n) bits a
-document, no 64-bit table. select() finds a boundary from counts of ones sampled every 64 words.
+document, no 64-bit table. Keys, which ascend too, are held the same way above the least of them. select() finds one value,
+and select_range() a run of them, from counts of ones sampled every 64 words: neither decodes the rest.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm._shared import drop_written, get_file, new_folder, put_file, tasks, written
+from memlake.llm._shared import byte_slices, drop_written, get_file, new_folder, put_file, tasks, written
 
 MAGIC = b"EFTOKEN1"
-_HEAD = struct.Struct("<8sQQQBBQQ")  # magic, documents, ids, null keys, bytes an id, low bits, bytes of low, of high
+_HEAD = struct.Struct("<8sQQQqBBBxxxxxQQQQ")  # magic, documents, ids, null keys, least key, bytes an id, low bits of boundaries, of keys, bytes of low, of high, of keys' low, of high
 _EVERY = 64  # words of high bits between two sampled counts
 
 
@@ -40,10 +42,11 @@ class EliasFano:
         values = np.asarray(values, np.uint64)
         n, u = len(values), int(values[-1]) if len(values) else 0
         bits = max(0, (u // n).bit_length() - 1) if n else 0
-        low = np.packbits(((values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+        shifts = np.arange(bits, dtype=np.uint64)
+        runs = [np.packbits(((values[a : a + 8192, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for a in range(0, n, 8192)]
         high = np.zeros((u >> bits) + n, np.uint8)
         high[(values >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = 1
-        return cls(n, bits, low, np.packbits(high, bitorder="little"))
+        return cls(n, bits, np.concatenate(runs) if runs else np.zeros(0, np.uint8), np.packbits(high, bitorder="little"))
 
     def select(self, i: int) -> int:
         """The i-th value, from the sampled counts and one stretch of words."""
@@ -64,35 +67,65 @@ class EliasFano:
             value |= (int(self.low[(a + j) >> 3]) >> ((a + j) & 7) & 1) << j
         return value
 
-    def all(self) -> np.ndarray:
-        """All values at once."""
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (at - np.arange(self.n)) << self.low_bits
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return high + (bits.astype(np.int64) << np.arange(self.low_bits)).sum(1, dtype=np.int64) if self.low_bits else high
+    def select_range(self, a: int, b: int) -> np.ndarray:
+        """Values a to b - 1 as unsigned numbers, from the stretch of words between two sampled counts."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        if a == b:
+            return np.zeros(0, np.uint64)
+        first, last = np.searchsorted(self.ones, [a, b - 1], side="right") - 1
+        stretch = self.words[first * _EVERY : (last + 1) * _EVERY]
+        at = np.flatnonzero(np.unpackbits(stretch.view(np.uint8), bitorder="little")) + first * _EVERY * 64
+        skip = a - int(self.ones[first])
+        high = (at[skip : skip + b - a] - np.arange(a, b)).astype(np.uint64) << np.uint64(self.low_bits)
+        if not self.low_bits:
+            return high
+        lo = a * self.low_bits
+        raw = np.unpackbits(self.low[lo >> 3 : -(-b * self.low_bits // 8)], bitorder="little")[lo & 7 :][: (b - a) * self.low_bits]
+        return high | (raw.reshape(-1, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
 def pack(keys: np.ndarray, nulls: int, counts: np.ndarray, ids: np.ndarray, width: int) -> list[bytes]:
-    ef = EliasFano.build(np.cumsum(counts))
-    head = _HEAD.pack(MAGIC, len(counts), len(ids), nulls, width, ef.low_bits, len(ef.low), len(ef.high))
-    return [head, keys.astype("<i8").tobytes(), ef.low.tobytes(), ef.high.tobytes(), ids.astype(f"<u{width}").tobytes()]
+    """A shard of documents whose keys ascend after `nulls` null ones."""
+    ends, known = EliasFano.build(np.cumsum(counts)), keys[nulls:].astype(np.int64)
+    least = int(known[0]) if len(known) else 0
+    above = EliasFano.build(known.view(np.uint64) - np.int64(least).astype(np.uint64))  # modulo 2**64
+    head = _HEAD.pack(MAGIC, len(counts), len(ids), nulls, least, width, ends.low_bits, above.low_bits, len(ends.low), len(ends.high), len(above.low), len(above.high))
+    return [head, above.low.tobytes(), above.high.tobytes(), ends.low.tobytes(), ends.high.tobytes(), ids.astype(f"<u{width}").tobytes()]
 
 
 class Shard:
     def __init__(self, data: bytes):
-        magic, self.docs, self.size, self.nulls, width, bits, low, high = _HEAD.unpack_from(data)
+        magic, self.docs, self.size, self.nulls, self.least, width, bits, key_bits, low, high, key_low, key_high = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        at = _HEAD.size
-        self.keys = np.frombuffer(data, "<i8", self.docs, at)
-        at += 8 * self.docs
-        self.ends = EliasFano(self.docs, bits, np.frombuffer(data, np.uint8, low, at), np.frombuffer(data, np.uint8, high, at + low))
-        self.ids = np.frombuffer(data, f"<u{width}", self.size, at + low + high)
+        at, parts = _HEAD.size, []
+        for n in (key_low, key_high, low, high):
+            parts.append(np.frombuffer(data, np.uint8, n, at))
+            at += n
+        self.above, self.ends = EliasFano(self.docs - self.nulls, key_bits, *parts[:2]), EliasFano(self.docs, bits, *parts[2:])
+        self.ids = np.frombuffer(data, f"<u{width}", self.size, at)
 
     def document(self, i: int) -> np.ndarray:
         """Ids of the i-th document, by two selects."""
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
+    def boundaries(self, a: int, b: int) -> np.ndarray:
+        """Where documents a to b - 1 begin, and where the last of them ends."""
+        ends = self.ends.select_range(max(0, a - 1), b).astype(np.int64)
+        return ends if a else np.r_[0, ends]
+
+    def keys(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of documents a to b - 1, and which are null."""
+        known = self.above.select_range(max(0, a - self.nulls), max(0, b - self.nulls)) + np.int64(self.least).astype(np.uint64)
+        null = np.arange(a, b) < self.nulls
+        return np.r_[np.zeros(int(null.sum()), np.int64), known.view(np.int64)], null
+
+    def find(self, key: int) -> range:
+        """Places of the documents of a key, by selects alone."""
+        place = lambda k: self.nulls + bisect_left(range(self.above.n), k, key=lambda i: self.above.select(i) + self.least)
+        return range(place(key), place(key + 1))
+
 
 class WordEncoder:
     """The library's ids of whole texts, with each distinct word encoded once.
@@ -200,8 +233,8 @@ def write_shards(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text:
             return row
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                cut = batch.slice(a, 500)
+            for a, b in byte_slices(batch.column(1)):
+                cut = batch.slice(a, b - a)
                 flat, n = encoder.encode([t or "" for t in cut.column(1).to_pylist()], end_id)
                 nulls += cut.column(0).null_count
                 keys.append(cut.column(0).fill_null(0).to_numpy(zero_copy_only=False)), counts.append(n), ids.append(flat.astype(f"u{encoder.width}"))
@@ -216,20 +249,18 @@ def write_shards(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text:
 
 
 def read_shards(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) of every document, from the shard files and the Elias-Fano boundaries in them."""
+    """(key, start, n_tokens, ids_crc32) of every document, from the shard files, by selects in their Elias-Fano boundaries and keys."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(get_file(row["path"]))
-                ends = shard.ends.all()
-                starts = np.r_[0, ends[:-1]]
-                for a in range(0, shard.docs, 20_000):
-                    b = min(shard.docs, a + 20_000)
-                    data = shard.ids[int(starts[a]) : int(ends[b - 1])].astype("<u4").tobytes()
-                    view, lo = memoryview(data), int(starts[a])
-                    crc = [zlib.crc32(view[4 * (s - lo) : 4 * (e - lo)]) for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard.keys[a:b], mask=np.arange(a, b) < shard.nulls), pa.array(starts[a:b] + row["base"]), pa.array(ends[a:b] - starts[a:b]), pa.array(crc, pa.int64())], names=["k", "start", "n_tokens", "ids_crc32"])
+                for a in range(0, shard.docs, 10_000):
+                    b = min(shard.docs, a + 10_000)
+                    cuts = shard.boundaries(a, b)
+                    keys, null = shard.keys(a, b)
+                    crc = [zlib.crc32(shard.ids[s:e].astype("<u4")) for s, e in pairwise(cuts.tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, mask=null), pa.array(cuts[:-1] + row["base"]), pa.array(np.diff(cuts)), pa.array(crc, pa.int64())], names=["k", "start", "n_tokens", "ids_crc32"])
 
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))

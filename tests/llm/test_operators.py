@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -67,10 +68,19 @@ def test_elias_fano():
     rng = np.random.default_rng(2)
     for values in ([], [0], [0, 0, 5], [7] * 5, np.cumsum(rng.integers(0, 50, 3000)), np.cumsum(rng.integers(0, 2, 9000)), np.cumsum(rng.integers(0, 10**6, 500))):
         ef = token_ids.EliasFano.build(np.array(values, np.int64))
-        assert ef.all().tolist() == list(values)
+        assert ef.select_range(0, len(values)).tolist() == list(values)
+        assert all(ef.select_range(a, b).tolist() == list(values[a:b]) for a in range(0, len(values), 97) for b in (a, a + 1, min(len(values), a + 5000)) if b <= len(values))
         assert [ef.select(i) for i in range(len(values))] == list(values)
     with pytest.raises(IndexError):
         ef.select(500)
+    keys = np.array([0, 0, -(2**63), -7, -7, 5, 2**62, 2**63 - 1])
+    ids = [np.arange(n) for n in (3, 1, 0, 4, 2, 9, 1, 1)]
+    shard = token_ids.Shard(b"".join(token_ids.pack(keys, 2, np.array([len(x) for x in ids]), np.concatenate(ids), 2)))
+    assert [shard.document(i).tolist() for i in range(8)] == [x.tolist() for x in ids]
+    got, null = shard.keys(1, 8)
+    assert got[1:].tolist() == keys[2:].tolist() and null.tolist() == [True] + [False] * 6
+    assert shard.boundaries(3, 6).tolist() == [4, 8, 10, 19]
+    assert [list(shard.find(k)) for k in (-7, 5, 6, -(2**63))] == [[3, 4], [5], [], [2]]
 
 
 def test_token_ids(odd):
@@ -110,6 +120,9 @@ def test_embeddings(spark):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.components(df, **options).collect()}
         assert got == want
     assert embed_dedup.components(df.where("false")).count() == 0
+    unnamed = spark.createDataFrame([(7, [1.0, 0.0]), (4, [1.0, 0.02]), (None, [1.0, 0.01]), (None, [2.0, 0.0]), (None, [0.0, 1.0]), (None, [0.0, 1.0]), (None, None)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, embed_dedup.components(unnamed).collect()), key=str)
+    assert got == sorted([(7, 3, 4, False), (4, 3, 4, True), (None, 3, 4, False), (None, 3, 4, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True)], key=str)
 
 
 # ---------------------------------------------------------------- 3
@@ -182,6 +195,14 @@ def test_simhash(spark, odd):
     got = {(r.doc_id, r.f) for r in simhash.components(odd).select("doc_id", simhash.hex16("fp").alias("f")).collect()}
     assert got == {(k, f"{slow_fingerprint(t):016x}") for k, t in pairs_of(odd)}
     assert simhash.components(odd.where("false")).count() == 0
+    keyed = pairs_of(odd)
+    fps = [slow_fingerprint(t) for _, t in keyed]
+    comp = components(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2])
+    least = {}
+    for c, (k, _) in zip(comp, keyed, strict=True):
+        least[c] = min((x for x in (least.get(c), k) if x is not None), default=None)
+    got = simhash.components(odd).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(((k, least[c]) for c, (k, _) in zip(comp, keyed, strict=True)), key=str)
 
 
 @pytest.mark.parametrize("bucket", [1, 3, 64])
@@ -337,6 +358,15 @@ def test_decontamination_of_paraphrases(spark):
             assert np.mean([(d, i) in found for d, (n, i) in want.items() if n == name]) >= 0.9, name
 
 
+def test_words():
+    rng = np.random.default_rng(41)
+    for top in (128, 256, 700, 70_000):
+        for _ in range(200):
+            text = "".join(map(chr, rng.integers(0, top, 60))).encode("utf-8", "replace").decode()
+            assert decontaminate.words(text) == re.findall(r"\w+", text.lower())
+    assert decontaminate.words(None) == decontaminate.words(" \n") == []
+
+
 def test_lcs():
     rng = np.random.default_rng(7)
     for _ in range(50):
@@ -361,6 +391,59 @@ def test_language(spark, sf_dir, odd):
     assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
 
 
+def test_language_frequencies_and_training(spark):
+    texts = ["das ist ein Haus", "das Haus ist alt", "the house is old", "", None, "this is a house", "ein altes Haus", "an old one"] * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got, n = langid.document_frequencies(df)
+    held = [set(langid.counts(t)[0].tolist()) for t in texts if t]
+    assert n == len(held) and {i: int(c) for i, c in enumerate(got) if c} == {f: sum(f in h for h in held) for f in set().union(*held)}
+    # The learner, coordinate by coordinate in plain Python.
+    rows = [("de" if "as" in t or "ein" in t else "en", *langid.counts(t)) for t in texts if t]
+    model = langid.fit(rows, (got, n), epochs=2)
+    alpha, beta, l1, l2, scale, seed = 0.3, 1.0, 0.02, 0.02, 30.0, 7
+    idf = [math.log((1 + n) / (1 + c)) + 1 for c in got]
+    z, s, langs = {}, {}, ["de", "en"]
+    weight = lambda at: 0.0 if abs(z.get(at, 0.0)) <= l1 else -(z[at] - math.copysign(l1, z[at])) / ((beta + math.sqrt(s[at])) / alpha + l2)
+    used = np.random.default_rng(seed).permutation(len(rows))[len(rows) // 5 :]
+    for epoch in range(2):
+        for i in np.random.default_rng(seed + epoch).permutation(used):
+            lang, features, shares = rows[i]
+            x = {int(f): float(v) * idf[f] * scale for f, v in zip(features, shares, strict=True)} | {"bias": 1.0}
+            w = {(f, k): weight((f, k)) for f in x for k in langs}
+            score = [sum(x[f] * w[f, k] for f in x) for k in langs]
+            e = [math.exp(v - max(score)) for v in score]
+            for k, p in zip(langs, e, strict=True):
+                g = p / sum(e) - (k == lang)
+                for f in x:
+                    d, old = g * x[f], s.get((f, k), 0.0)
+                    z[f, k] = z.get((f, k), 0.0) + d - (math.sqrt(old + d * d) - math.sqrt(old)) / alpha * w[f, k]
+                    s[f, k] = old + d * d
+    want = np.zeros((1 << langid.BITS, 2))
+    for f, k in z:
+        if f != "bias":
+            want[f, langs.index(k)] = weight((f, k)) * idf[f] * scale
+    assert np.allclose(model.table, want, atol=1e-4) and np.allclose(model.bias, [weight(("bias", k)) for k in langs], atol=1e-6)
+    assert 0 < (want != 0).sum() < want.size / 10
+
+
+def test_quality_against_plain_convolution():
+    rng = np.random.default_rng(12)
+    net = quality.Network.start(4)
+    net.bias[:] = rng.standard_normal(quality.FILTERS) * 0.1
+    for text in (b"", b"a", bytes(rng.integers(0, 256, 700).astype(np.uint8)), b"xyz " * 300):
+        body = [b + 1 for b in text]
+        pools = []
+        for c in range(max(1, -(-len(body) // quality.CHUNK))):
+            best = np.full(quality.FILTERS, -np.inf)
+            for i in range(0, quality.CHUNK, quality.STRIDE):
+                at = c * quality.CHUNK + i
+                window = [body[at + j] if at + j < len(body) else 0 for j in range(quality.WIDTH)]
+                best = np.maximum(best, np.concatenate([net.embed[b] for b in window]) @ net.filters)
+            pools.append(np.maximum(best + net.bias, 0))
+        x = np.r_[np.mean(pools, 0), np.max(pools, 0)]
+        assert abs(net.score([text])[0] - 1 / (1 + math.exp(-(x @ net.head + net.offset[0])))) < 1e-5
+
+
 def test_language_pieces(spark, sf_dir, monkeypatch):
     texts = ["", "x", LONG[:5000], "das ist ein Text", LONG[:777]]
     rng = np.random.default_rng(8)
