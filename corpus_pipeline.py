@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm import decontaminate, langid, piece_bpe, secret_scan, simhash
-from memlake.llm._shared import drop_written, scratch, table, written
+from memlake.llm._shared import byte_slices, drop_written, scratch, table, written
 
 #: Least calibrated probability of the predicted language.
 LEAST_SCORE = 0.5
@@ -28,8 +28,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                cut = batch.slice(a, 256)
+            for a, b in byte_slices(batch.column(at), rows=256):
+                cut = batch.slice(a, b - a)
                 found, score = model.predict(cut.column(at).to_pylist())
                 columns = [pa.array(found, pa.string()) if i == lang else cut.column(i) for i in range(len(names))]
                 keep = pa.array([x != langid.UNDETERMINED and s >= LEAST_SCORE for x, s in zip(found, score.tolist(), strict=True)], pa.bool_())
