@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from memlake.operators import lookups, search
 from memlake.sources.store import Store
@@ -13,12 +12,12 @@ from memlake.sources.turns import read_conversations
 
 
 class MemoryService:
-    """embed: a Column function from text to array<double>; model: reconciles ambiguous conflicts. Both are optional."""
+    """embed: a Column function from text to array<double>, asked once for each event and snapshot; model: reconciles ambiguous conflicts; replies: a Column function from a turn to a model's reply that lists atoms. All are optional."""
 
     MODES = ("online", "migration")
 
-    def __init__(self, spark: SparkSession, path: str, embed: Callable[[Column], Column] | None = None, model: Callable | None = None):
-        self.spark, self.store, self.embed, self.model = spark, Store(spark, path), embed, model
+    def __init__(self, spark: SparkSession, path: str, embed: Callable[[Column], Column] | None = None, model: Callable | None = None, replies: Callable[[Column], Column] | None = None):
+        self.spark, self.store, self.embed, self.model, self.replies = spark, Store(spark, path, embed=embed), embed, model, replies
 
     def append_json(self, corpus_id: str, path: str, mode: str = "online") -> bool:
         return self.append_turns(read_conversations(self.spark, path, corpus_id), mode)
@@ -27,19 +26,30 @@ class MemoryService:
         """Both modes run one code path; the name is only checked."""
         if mode not in self.MODES:
             raise ValueError(f"mode must be one of {self.MODES}")
-        return self.store.append(turns, model=self.model)
+        return self.store.append(turns, model=self.model, replies=self.replies)
+
+    def prepare_turns(self, turns: DataFrame, path: str) -> None:
+        """Everything of an append that needs no state, kept at path for append_prepared()."""
+        self.store.save_prepared(self.store.prepare(turns, self.replies), path)
+
+    def append_prepared(self, path: str) -> bool:
+        return self.store.append_prepared(self.store.load_prepared(path), model=self.model)
+
+    def report(self) -> tuple[DataFrame, DataFrame]:
+        return self.store.report()
 
     def _tables(self) -> dict[str, DataFrame]:
-        t = {"snapshots": self.store.snapshots(), "events": self.store.table("events"), "objects": self.store.objects(), "versions": self.store.versions(), "links": self.store.links()}
-        if self.embed:
-            t["snapshots"] = t["snapshots"].withColumn("embedding", self.embed(F.col("summary")))
-            t["events"] = t["events"].withColumn("embedding", self.embed(F.col("surface")))
-        return t
+        return {"snapshots": self.store.snapshots(), "events": self.store.table("events"), "objects": self.store.objects(), "versions": self.store.versions(), "links": self.store.links()}
+
+    def _asked(self, questions: DataFrame | str) -> DataFrame:
+        return self.spark.createDataFrame([("q", questions)], "qid string, question string") if isinstance(questions, str) else questions
 
     def search(self, questions: DataFrame | str, spans: int = 8) -> dict[str, DataFrame]:
-        if isinstance(questions, str):
-            questions = self.spark.createDataFrame([("q", questions)], "qid string, question string")
-        return search.search(questions, self._tables(), self.embed, spans)
+        return search.search(self._asked(questions), self._tables(), self.embed, spans)
+
+    def answer_views(self, questions: DataFrame | str, spans: int = 8) -> DataFrame:
+        """(qid, question, view, text): what a model that answers is given."""
+        return search.answer_views(self._asked(questions), self.search(questions, spans))
 
     def root(self, corpus_id: str) -> DataFrame:
         return lookups.snapshot(self.store.snapshots(), corpus_id, "root", corpus_id)
@@ -64,4 +74,4 @@ class MemoryService:
         return lookups.subjects(self.store.objects())
 
     def corpora(self) -> DataFrame:
-        return self.store.table("events").select("corpus_id").distinct()
+        return lookups.corpora(self.store.snapshots(), self.store.table("events"))

@@ -1,4 +1,4 @@
-"""Answer metrics and parts of answer views (line scores, trimmed texts) as Column expressions."""
+"""Answer metrics, and answer views: lines of evidence scored, chosen and rendered; Column expressions."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from memlake.functions.text import as_column, collapse, contains_any, extract_entities, query_tokens, semantic_references, strip
+from memlake.functions.temporal import is_inference_query, is_temporal_query
+from memlake.functions.text import as_column, collapse, contains_any, extract_entities, let, query_tokens, semantic_references, strip
 
+# Answers that abstain, categories of questions, and the tokens that a message and a prompt add.
 ABSTENTIONS = ("", "unknown", "unanswerable", "not enough information", "insufficient information")
 CATEGORIES = {"1": "multi_hop", "2": "temporal", "3": "open_domain", "4": "single_hop", "5": "adversarial"}
 NON_ADVERSARIAL = ("1", "2", "3", "4")
@@ -102,15 +104,74 @@ def trim_text(c: Column | str, max_chars: int) -> Column:
     return F.when(F.length(x) <= max_chars, x).otherwise(F.concat(F.rtrim(F.substring(x, 1, max_chars - 3)), F.lit("...")))
 
 
+# What a line is scored by, the limits of each section, and the sections' names in the order they are rendered.
+MONTH_NAMES = "january february march april may june july august september october november december".split()
+INFERENCE_MARKERS = ("identity", "goal", "preference", "plan", "support", "career", "education", "study", "wants to")
+SECTIONS = {"raw_evidence": "Direct Evidence", "facts": "Facts", "relations": "Relations", "page_summaries": "Context"}
+
+
 def answer_line_score(question: Column | str, line: Column | str, section: str, temporal: Column, inference: Column) -> Column:
-    """How well a line of evidence serves a question."""
+    """How well a line of evidence serves a question; question: a text, or a struct (entities, tokens) of one."""
+    if isinstance(question, str):
+        question = question_parts(question)
     text = F.coalesce(as_column(line), F.lit(""))
     low = F.lower(text)
-    entities = extract_entities(text)
-    score = F.size(F.array_intersect(query_tokens(question), query_tokens(text))) * 1.5
-    score = score + F.size(F.filter(extract_entities(question), lambda e: F.array_contains(entities, e) | low.contains(e))) * 2.5
-    months = "january february march april may june july august september october november december".split()
-    score = score + F.when(temporal, F.when(text.rlike(r"(?U)\b(19|20)\d{2}\b"), 2.0).otherwise(0.0) + F.when(contains_any(low, months), 1.5).otherwise(0.0) + F.when(text.contains("[") & text.contains("]"), 1.0).otherwise(0.0)).otherwise(0.0)
+    score = F.size(F.array_intersect(question["tokens"], query_tokens(text))) * 1.5
+    named = let(extract_entities(text), lambda held: F.size(F.filter(question["entities"], lambda e: F.array_contains(held, e) | low.contains(e))))
+    score = score + named * 2.5
+    score = score + F.when(temporal, F.when(text.rlike(r"(?U)\b(19|20)\d{2}\b"), 2.0).otherwise(0.0) + F.when(contains_any(low, MONTH_NAMES), 1.5).otherwise(0.0) + F.when(text.contains("[") & text.contains("]"), 1.0).otherwise(0.0)).otherwise(0.0)
     bonus = {"facts": 1.5, "page_summaries": 1.0}.get(section, 0.0)
-    score = score + F.when(inference, bonus + F.when(contains_any(low, ["identity", "goal", "preference", "plan", "support", "career", "education", "study", "wants to"]), 1.0).otherwise(0.0)).otherwise(0.0)
+    score = score + F.when(inference, bonus + F.when(contains_any(low, INFERENCE_MARKERS), 1.0).otherwise(0.0)).otherwise(0.0)
     return score + (0.75 if section == "raw_evidence" else 0.0)
+
+
+def question_parts(question: Column | str) -> Column:
+    return F.struct(extract_entities(question).alias("entities"), query_tokens(question).alias("tokens"))
+
+
+def unique_lines(lines: Column | str, limit: Column | int) -> Column:
+    """Non-empty lines whose lower-cased text no earlier one has, the first `limit`."""
+    kept = let(F.filter(as_column(lines), lambda x: x != ""), lambda a: let(F.transform(a, F.lower), lambda lows: F.filter(a, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)))
+    return F.slice(kept, F.lit(1), limit if isinstance(limit, Column) else F.lit(limit))
+
+
+def answer_lines(question: Column | str, lines: Column | str, section: str, limit: Column | int, max_chars: int) -> Column:
+    """The best of an array of lines for a question, trimmed: by score, then place; distinct; the first `limit`."""
+    temporal, inference = is_temporal_query(question), is_inference_query(question)
+
+    def chosen(parts: Column) -> Column:
+        trimmed = F.transform(as_column(lines), lambda x: trim_text(x, max_chars))
+        scored = F.transform(trimmed, lambda x, i: F.struct((-answer_line_score(parts, x, section, temporal, inference)).alias("score"), i.alias("at"), x.alias("line")))
+        return unique_lines(F.transform(F.array_sort(scored), lambda x: x["line"]), limit)
+
+    return let(question_parts(question), chosen)
+
+
+def answer_view(question: Column | str, pages: Column | str, facts: Column | str, spans: Column | str) -> Column:
+    """Struct of sections, of pages (title, synopsis, summary), facts (strings) and spans (timestamp, speaker, text): a question's bounded evidence."""
+    said = lambda c: F.nullif(c, F.lit(""))
+    empty = F.array().cast("array<string>")
+    page_lines = F.filter(F.transform(as_column(pages), lambda p: F.concat(F.coalesce(p["title"], F.lit("None")), F.lit(": "), F.coalesce(said(p["synopsis"]), said(p["summary"])))), lambda x: x.isNotNull())
+    fact_lines = F.filter(as_column(facts), lambda x: x.isNotNull() & (strip(x) != ""))
+    stamped = lambda x: F.concat(F.when(said(x["timestamp"]).isNotNull(), F.concat(F.lit("["), x["timestamp"], F.lit("] "))).otherwise(""), F.coalesce(x["speaker"], F.lit("None")), F.lit(": "), x["text"])
+    span_lines = F.transform(F.filter(as_column(spans), lambda x: x["text"].isNotNull() & (strip(x["text"]) != "")), stamped)
+    temporal, inference = is_temporal_query(question), is_inference_query(question)
+    return F.struct(
+        answer_lines(question, F.coalesce(page_lines, empty), "page_summaries", F.when(inference, 4).otherwise(3), 180).alias("page_summaries"),
+        answer_lines(question, F.coalesce(fact_lines, empty), "facts", F.when(inference, 8).otherwise(6), 160).alias("facts"),
+        answer_lines(question, F.coalesce(span_lines, empty), "raw_evidence", F.when(temporal, 8).otherwise(6), 200).alias("raw_evidence"),
+        empty.alias("relations"),
+    )
+
+
+def render_view(question: Column | str, view: Column | str) -> Column:
+    """An answer view as text, section by section; empty sections are left out."""
+    view, none = as_column(view), F.array().cast("array<string>")
+
+    def block(key: str, label: str) -> Column:
+        lines = unique_lines(F.transform(view[key], lambda x: trim_text(x, 220)), 1_000)
+        return let(lines, lambda a: F.when(F.size(a) > 0, F.concat(F.array(F.lit(f"[{label}]")), F.transform(a, lambda x: F.concat(F.lit("- "), x)), F.array(F.lit("")))).otherwise(none))
+
+    body = F.concat(*(block(*kv) for kv in SECTIONS.items()))
+    body = F.when(F.size(body) > 0, body).otherwise(F.array(F.lit("[Evidence]"), F.lit("- No relevant evidence.")))
+    return strip(F.array_join(F.concat(F.array(F.concat(F.lit("Question: "), as_column(question)), F.lit(""), F.lit("Evidence:")), body), "\n"))

@@ -12,6 +12,7 @@ from memlake.functions.text import as_column, collapse, contains_any, strip
 MONTHS = "January February March April May June July August September October November December".split()
 # The formats that a timestamp may have; others have no anchor.
 FORMATS = ("h:m a 'on' d MMMM, y", "h:m a 'on' d MMMM y", "d MMMM, y", "d MMMM y", "MMMM d, y")
+# Phrases of questions that ask for an inference, and relative expressions.
 INFERENCE_PATTERNS = (
     "would ", "likely", "might ", "personality trait", "personality traits", "be considered", "financial status", "underlying condition", "what job", "what career",
     "what fields", "what state did", "what console", "what pets", "how many", "is it likely",

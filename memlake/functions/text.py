@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,6 +136,9 @@ def memory_references(texts: Column | str, limit: int = 12) -> Column:
     return canonicalize_entities(F.flatten(each), limit)
 
 
+# The markers of kinds and of statuses, below.
+
+
 def memory_kind(atom_type: Column | str, content: Column | str) -> Column:
     kind, text = F.lower(strip(F.coalesce(as_column(atom_type), F.lit("")))), F.lower(F.coalesce(as_column(content), F.lit("")))
     return (
@@ -247,3 +252,32 @@ def surface_text(speaker: Column | str, text: Column | str, caption: Column | st
         return first
     image = strip(F.coalesce(as_column(caption), F.lit("")))
     return F.when(image == "", first).otherwise(F.concat(first, F.lit("\nImage: "), image))
+
+
+def first_json_object(c: Column | str) -> Column:
+    """The first JSON object that a text holds, from the first brace at which one parses, as text; else null."""
+    text = as_column(c)
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text))), lambda i: F.substring(text, i, F.lit(1)) == "{")
+    tails = F.transform(starts, lambda i: F.substring(text, i, F.length(text)))
+    ends = lambda tail: F.reverse(F.filter(F.sequence(F.lit(1), F.length(tail)), lambda j: F.substring(tail, j, F.lit(1)) == "}"))
+    whole = lambda tail: F.get(F.filter(F.transform(ends(tail), lambda j: F.substring(tail, F.lit(1), j)), lambda x: F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT")), F.lit(0))
+    return F.when(text.contains("{"), F.get(F.filter(F.transform(tails, whole), lambda x: x.isNotNull()), F.lit(0)))
+
+
+def fuzzy_similarity():
+    """A Column function (left, right): the larger matching ratio of canonical forms, as they are and with sorted words; 0 below four characters."""
+
+    def one(a: str | None, b: str | None) -> float:
+        if not a or not b:
+            return 0.0
+        if a == b:
+            return 1.0
+        if min(len(a), len(b)) < 4:
+            return 0.0
+        return max(SequenceMatcher(None, x, y).ratio() for x, y in ((a, b), (" ".join(sorted(a.split())), " ".join(sorted(b.split())))))
+
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype=float)
+
+    ratio = F.pandas_udf(run, "double")
+    return lambda a, b: ratio(canonicalize_entity(a), canonicalize_entity(b))

@@ -46,3 +46,13 @@ def ingest_report(events: DataFrame, atoms: DataFrame, actions: DataFrame, links
     written = actions.where("action != 'NONE'")
     out = n(events, "events_written").union(n(atoms, "atoms_written")).union(n(actions, "state_candidates")).union(n(written, "objects_written")).union(n(links, "evidence_links"))
     return out.union(actions.groupBy(F.concat(F.lit("action_"), "action").alias("metric")).agg(F.count("*").alias("value")))
+
+
+def touched(events: DataFrame, actions: DataFrame) -> DataFrame:
+    """(kind, name): the sessions and subjects that an append touched."""
+    return events.select(F.lit("session").alias("kind"), F.col("session_id").alias("name")).union(actions.select(F.lit("subject"), "subject")).distinct()
+
+
+def report_totals(reports: DataFrame, by: str = "metric", value: str = "value") -> DataFrame:
+    """Samples' counters (sample, metric, value) summed and averaged over the samples that have them."""
+    return reports.groupBy(by).agg(F.sum(value).alias("total"), F.round(F.avg(value), 2).alias("average"), F.count(value).alias("samples"))

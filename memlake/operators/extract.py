@@ -32,6 +32,7 @@ def events(turns: DataFrame, last: DataFrame | None = None) -> DataFrame:
     return rows.withColumns({"event_id": stable_id("evt", *parts), "raw_span_id": stable_id("raw", *parts), "entity_refs": F.slice(F.array_distinct(refs), 1, 12), "canonical_entity_refs": T.canonicalize_entities(refs)})
 
 
+# Families of atoms, their confidence and markers.
 _MARKED = (
     ("preference", 0.7, ("prefer", "like", "favorite", "favour", "dislike")),
     ("decision", 0.7, ("decide", "decision", "choose", "selected", "we will", "i will")),
@@ -63,6 +64,22 @@ def atoms(events_: DataFrame) -> DataFrame:
     return rows.select(*keep, F.posexplode(kept).alias("atom_pos", "atom")).select(*keep, "atom_pos", "atom.*")
 
 
+def model_atoms(events_: DataFrame, replies: Column) -> DataFrame:
+    """Atoms that a model's replies (a text for each event, from any Column function) list in their first JSON object, as {"atoms": [{type, content, entities, confidence}]}.
+
+    Items without a type or content are skipped, and a reply without such an object, or a null one, gives none. A missing confidence is 0.6.
+    """
+    item = "struct<type:string,content:string,entities:array<string>,confidence:double>"
+    listed = F.from_json(T.first_json_object(replies), f"struct<atoms:array<{item}>>")["atoms"]
+    keep = ["corpus_id", "session_id", "event_id", "raw_span_id", "seq", "turn_index", "speaker", "timestamp", "canonical_entity_refs"]
+    rows = events_.withColumn("_items", listed).select(*keep, F.posexplode("_items").alias("atom_pos", "_i"))
+    rows = rows.withColumns({"atom_type": F.lower(T.strip(F.coalesce("_i.type", F.lit("")))), "content": T.strip(F.coalesce("_i.content", F.lit(""))), "entities": F.coalesce("_i.entities", T.words_array([]))}).where("atom_type != '' and content != ''")
+    return rows.select(
+        *keep, "atom_pos", stable_id("atom", "raw_span_id", "atom_type", "content").alias("atom_id"), "atom_type", "content", "entities", T.canonicalize_entities("entities").alias("canonical_entities"),
+        T.memory_kind("atom_type", "content").alias("memory_kind"), T.atom_status("content").alias("status"), F.coalesce("_i.confidence", F.lit(0.6)).alias("confidence"),
+    )
+
+
 def merge_atoms(heuristic: DataFrame, model: DataFrame) -> DataFrame:
     """Atoms of both sources: of equal (event, type, content) the model's values at the heuristic's place; others of the model follow."""
     h = heuristic.withColumns({"_s": F.lit(0)})

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.functions import answers as A
 from memlake.functions import text as T
 from memlake.functions.temporal import parse_anchor, temporal_hints
 from memlake.functions.vectors import cosine
@@ -113,8 +114,44 @@ def top_similar(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     return _best(both.select("qid", key, F.round(cosine("_q", "_v"), 6).alias("score")), k, F.col("score").desc(), key)
 
 
+def ordered_ids(top: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """(qid, id, position): the ids that top snapshots list, each once, by the rank of the first that lists it and the place there."""
+    ids = top.select("qid", "rank", F.posexplode(column).alias("pos", "id")).groupBy("qid", "id").agg(F.min(F.struct("rank", "pos")).alias("at"))
+    rows = ids.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy("at", "id")).cast("long")).drop("at")
+    return rows.where(F.col("position") <= limit) if limit is not None else rows
+
+
+def pages(top: DataFrame) -> DataFrame:
+    """Top snapshots as pages, by rank, without their embeddings."""
+    return top.select(
+        "qid", "rank", F.col("snapshot_id").alias("page_id"), "corpus_id", "parent_id", F.col("snapshot_kind").alias("level"), "title", "synopsis", "summary", F.col("snapshot_kind").alias("page_kind"),
+        *(F.coalesce(c, T.words_array([])).alias(c) for c in ("entity_refs", "canonical_entity_refs", "raw_refs", "child_ids")), "time_range", "score",
+    )
+
+
+def raw_spans(ranked: DataFrame) -> DataFrame:
+    return ranked.select("qid", "rank", F.coalesce("raw_span_id", "event_id").alias("span_id"), "corpus_id", "session_id", "speaker", "text", "turn_index", "timestamp", "metadata", "score")
+
+
+def state_atoms(expanded: DataFrame) -> DataFrame:
+    """Latest versions of objects as atoms."""
+    return expanded.select(
+        "qid", "position", F.col("latest_version_id").alias("atom_id"), F.coalesce("version_event_id", "latest_version_id").alias("span_id"), F.col("slot").alias("atom_type"), F.col("summary").alias("content"),
+        "memory_kind", F.col("version_status").alias("status"), F.col("valid_from").alias("time_range"), F.col("version_confidence").alias("confidence"),
+    )
+
+
+def answer_views(questions: DataFrame, evidence: dict[str, DataFrame]) -> DataFrame:
+    """(qid, question, view, text) of a search's evidence."""
+    gather = lambda df, at, *cols: df.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct(at, F.struct(*cols).alias("x")))), lambda r: r["x"]).alias("a"))
+    p, f, s = gather(evidence["pages"], "rank", "title", "synopsis", "summary"), gather(evidence["atoms"], "position", "content"), gather(evidence["raw_spans"], "rank", "timestamp", "speaker", "text")
+    rows = questions.join(p.withColumnRenamed("a", "p"), "qid", "left").join(f.select("qid", F.transform("a", lambda r: r["content"]).alias("f")), "qid", "left").join(s.withColumnRenamed("a", "s"), "qid", "left")
+    rows = rows.withColumn("view", A.answer_view("question", "p", "f", "s"))
+    return rows.select("qid", "question", "view", A.render_view("question", "view").alias("text"))
+
+
 def search(questions: DataFrame, tables: dict[str, DataFrame], embed: Embed | None = None, spans: int = 8) -> dict[str, DataFrame]:
-    """The evidence of each question: pages, spans and atoms, and no edges."""
+    """The evidence of each question: pages in the order of their path, spans and atoms, and no edges."""
     from memlake.operators.lookups import latest_versions
     from memlake.operators.snapshots import entity_events
 
@@ -123,4 +160,5 @@ def search(questions: DataFrame, tables: dict[str, DataFrame], embed: Embed | No
     recent = entity_events(tables["events"], tables["links"], tables["objects"])
     events = tables["events"] if "event_terms" in tables["events"].columns else searchable_events(tables["events"], embed)
     ranked = rank_events(events, q, select_events(top, recent))
-    return {"pages": top, "raw_spans": evidence_spans(ranked, spans), "atoms": expand_objects(top, tables["objects"], latest_versions(tables["objects"], tables["versions"]))}
+    held = expand_objects(top, tables["objects"], latest_versions(tables["objects"], tables["versions"]))
+    return {"traversal_path": top.select("qid", "rank", "snapshot_id"), "pages": pages(top), "raw_spans": raw_spans(evidence_spans(ranked, spans)), "atoms": state_atoms(held)}

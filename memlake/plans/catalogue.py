@@ -367,6 +367,30 @@ def hybrid_event_rank(spark, sf_dir):
     return search.evidence_spans(ranked).select("qid", "event_id", "day", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(O.q(f"{O.SESSIONS}, {O.ENTITIES}, {O.questions(_QUESTIONS)}, {O.TOP6}, listed AS (SELECT qid, rank, unnest(event_ids) AS id, generate_subscripts(event_ids, 1) AS pos FROM top6), firsts AS (SELECT qid, id, min(rank * 1000 + pos) AS place FROM listed GROUP BY ALL)", "SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY place) AS position FROM firsts", True))
+def ordered_union_ids(spark, sf_dir):
+    return search.ordered_ids(_searched(spark, sf_dir)[1], "event_ids")
+
+
+@query(O.q(O.answer_lines("text", 160), "SELECT session_id, line, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, seq) AS position FROM first_of WHERE nth = 1 QUALIFY position <= CASE WHEN inference THEN 8 ELSE 6 END"))
+def answer_lines(spark, sf_dir):
+    t = conversation_turns(spark, sf_dir).groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("lines"))
+    t = t.withColumn("question", F.get("lines", F.lit(0)))
+    view = A.answer_view("question", F.array().cast("array<struct<title:string,synopsis:string,summary:string>>"), F.col("lines"), F.array().cast("array<struct<timestamp:string,speaker:string,text:string>>"))
+    return t.select("session_id", F.posexplode(view["facts"]).alias("at", "line")).select("session_id", "line", (F.col("at") + 1).cast("long").alias("position"))
+
+
+@query(O.q(O.ACTIONS, "SELECT 'session' AS kind, session_id AS name FROM events_x UNION SELECT 'subject', subject FROM acts", True))
+def touched_scopes(spark, sf_dir):
+    return evaluate.touched(ev(spark, sf_dir), acts(spark, sf_dir))
+
+
+@query("WITH r AS (SELECT user_id AS sample, event_type AS metric, count(*) AS value FROM events GROUP BY ALL) SELECT metric, sum(value)::BIGINT AS total, round(avg(value), 2) AS average, count(*) AS samples FROM r GROUP BY metric")
+def ingest_totals(spark, sf_dir):
+    e = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("sample"), F.col("event_type").alias("metric")).agg(F.count("*").alias("value"))
+    return evaluate.report_totals(e)
+
+
 # ---------------------------------------------------------------- edges
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from memlake.functions import text as T
+from memlake.functions.answers import INFERENCE_MARKERS
+from memlake.functions.temporal import INFERENCE_PATTERNS
 
 
 def _in(words) -> str:
@@ -282,5 +284,20 @@ RANKED = f"""chosen AS (SELECT qid, unnest(event_ids) AS event_id FROM top6 UNIO
  spans AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN diverse AND nth > 1 THEN 1 ELSE 0 END, score DESC, session_id, turn_index, event_id) AS rank FROM by_day QUALIFY rank <= 8)"""
 
 
+def answer_lines(text: str, n: int) -> str:
+    """CTEs over conv_turns: each session's first text asks, all its texts are lines of facts; scored: (session_id, seq, line, score)."""
+    trimmed = rf"trim(regexp_replace({text}, '[\s\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g'))"
+    cut = f"CASE WHEN length({trimmed}) <= {n} THEN {trimmed} ELSE rtrim(substr({trimmed}, 1, {n - 3})) || '...' END"
+    tokens = lambda x: rf"list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda t: length(t) > 2))"
+    year = rf"regexp_matches({unicode('line')}, '\b(19|20)\d{{2}}\b')"
+    return f"""{CONV_TURNS}, asked AS (SELECT session_id, arg_min(text, seq) AS question FROM conv_turns GROUP BY session_id), {entity_ctes('asked', 'question', 'ask_e', True)},
+ ask AS (SELECT session_id, ents AS qe, {tokens('question')} AS qt, {any_of('lower(question)', ['when', 'date', 'day', 'month', 'year', 'time'])} AS temporal, {any_of("' ' || lower(trim(question)) || ' '", INFERENCE_PATTERNS)} AS inference FROM ask_e),
+ told AS (SELECT session_id, seq, {cut} AS line FROM conv_turns), {entity_ctes('told', 'line', 'told_e', True)},
+ scored AS (SELECT session_id, seq, line, inference, 1.5 * len(list_intersect(qt, {tokens('line')})) + 2.5 * len(list_filter(qe, lambda e: list_contains(ents, e) OR contains(lower(line), e)))
+  + CASE WHEN temporal THEN CASE WHEN {year} THEN 2.0 ELSE 0.0 END + CASE WHEN {any_of('lower(line)', _MONTHS)} THEN 1.5 ELSE 0.0 END + CASE WHEN contains(line, '[') AND contains(line, ']') THEN 1.0 ELSE 0.0 END ELSE 0.0 END
+  + CASE WHEN inference THEN 1.5 + CASE WHEN {any_of('lower(line)', INFERENCE_MARKERS)} THEN 1.0 ELSE 0.0 END ELSE 0.0 END AS score FROM told_e JOIN ask USING (session_id) WHERE line <> ''),
+ first_of AS (SELECT *, row_number() OVER (PARTITION BY session_id, lower(line) ORDER BY score DESC, seq) AS nth FROM scored)"""
+
+
 def q(ctes: str, body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes} {body}"

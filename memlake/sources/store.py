@@ -8,20 +8,21 @@ functions of the actions in order, so an upsert never rewrites what is there. Re
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.operators import extract, lookups, reconcile, snapshots
+from memlake.operators import evaluate, extract, lookups, reconcile, search, snapshots
 
 TABLES = ("events", "atoms", "actions")
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, title: str = ""):
+    def __init__(self, spark: SparkSession, path: str, title: str = "", embed: Callable[[Column], Column] | None = None):
         # Constraint propagation multiplies these plans' nested expressions at planning time and could only add null checks.
         spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
-        self.spark, self.path, self.title = spark, path.rstrip("/"), title
+        self.spark, self.path, self.title, self.embed = spark, path.rstrip("/"), title, embed
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -59,18 +60,45 @@ class Store:
         last = F.max_by(F.struct("normalized_value", "version_id"), F.struct("batch", *reconcile.ORDER)).alias("l")
         return done.groupBy("object_id").agg(last).select("object_id", F.col("l.normalized_value").alias("cur_nv"), F.col("l.version_id").alias("latest_version_id"))
 
-    def append(self, turns: DataFrame, batch: int | None = None, model=None) -> bool:
-        """Prepare, reconcile and commit a batch of turns; their order continues after earlier batches."""
+    def prepare(self, turns: DataFrame, replies: Callable[[Column], Column] | None = None) -> dict[str, DataFrame]:
+        """Events with what searches read of them, and atoms, of turns that follow what is stored: all of an append that needs no state.
+
+        replies: a Column function from a turn's surface text to a model's reply, whose atoms join the heuristic ones.
+        """
+        held = self.table("events")
+        last = lookups.next_turn_index(held) if held is not None else None
+        plain = extract.events(turns, last)
+        events = search.searchable_events(plain, self.embed)
+        atoms = extract.atoms(plain)
+        if replies:
+            atoms = extract.merge_atoms(atoms, extract.model_atoms(plain, replies(F.col("surface"))))
+        return {"events": events, "atoms": atoms}
+
+    def save_prepared(self, prepared: dict[str, DataFrame], path: str) -> None:
+        """Keep prepared turns, so that an append which fails later doesn't ask the models again."""
+        for name, df in prepared.items():
+            df.write.mode("errorifexists").parquet(f"{path.rstrip('/')}/{name}")
+
+    def load_prepared(self, path: str) -> dict[str, DataFrame]:
+        return {name: self.spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in ("events", "atoms")}
+
+    def append(self, turns: DataFrame, batch: int | None = None, model=None, replies=None) -> bool:
+        """Prepare, reconcile and commit a batch of turns; their order continues after earlier batches. False where the batch is there already."""
+        return batch not in self.batches() and self.append_prepared(self.prepare(turns, replies), batch, model)
+
+    def append_prepared(self, prepared: dict[str, DataFrame], batch: int | None = None, model=None) -> bool:
         known = self.batches()
         batch = (known[-1] + 1 if known else 0) if batch is None else batch
         if batch in known:
             return False
-        held = self.table("events")
-        last = lookups.next_turn_index(held) if held is not None else None
-        events = extract.events(turns, last)
-        atoms = extract.atoms(events)
-        actions = reconcile.reconcile(extract.candidates(atoms), self.current(), model).withColumn("batch", F.lit(batch))
-        return self.commit(batch, {"events": events.withColumn("batch", F.lit(batch)), "atoms": atoms, "actions": actions})
+        actions = reconcile.reconcile(extract.candidates(prepared["atoms"]), self.current(), model).withColumn("batch", F.lit(batch))
+        return self.commit(batch, {"events": prepared["events"].withColumn("batch", F.lit(batch)), "atoms": prepared["atoms"], "actions": actions})
+
+    def report(self, batch: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Counters (metric, value) of a batch, the last by default, and the sessions and subjects (kind, name) that it touched."""
+        at = f"{self.path}/batches/{self.batches()[-1] if batch is None else batch}"
+        events, atoms, actions = (self.spark.read.parquet(f"{at}/{name}") for name in TABLES)
+        return evaluate.ingest_report(events, atoms, actions, reconcile.evidence_links(actions)), evaluate.touched(events, actions)
 
     def _actions(self) -> DataFrame:
         """All actions, ordered by batch first."""
@@ -93,10 +121,12 @@ class Store:
             return reconcile.evidence_links(self.table("actions"))
         events, state = self.table("events"), [self.view(n) for n in ("objects", "versions", "links")]
         if name == "sessions":
-            return snapshots.session_snapshots(events, *state, self.title)
-        if name == "entities":
-            return snapshots.entity_snapshots(events, *state, self.title)
-        return snapshots.root_snapshot(events, self.view("sessions"), self.view("entities"), self.title)
+            made = snapshots.session_snapshots(events, *state, self.title)
+        elif name == "entities":
+            made = snapshots.entity_snapshots(events, *state, self.title)
+        else:
+            made = snapshots.root_snapshot(events, self.view("sessions"), self.view("entities"), self.title)
+        return made.withColumn("embedding", self.embed(F.col("summary"))) if self.embed else made
 
     def objects(self) -> DataFrame:
         return self.view("objects")

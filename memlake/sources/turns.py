@@ -47,6 +47,15 @@ def normalize_json_turns(items: DataFrame, corpus_id: str) -> DataFrame:
     return rows.where("text != ''").select(TURN_COLUMNS)
 
 
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Dialogue samples (sample_id, conversation, qa) of JSON files that each hold a list; items that are no objects are dropped, and a file without a list fails the job."""
+    raw = spark.read.text(path, wholetext=True).select("value")
+    listed = F.coalesce(F.when(F.startswith(strip("value"), F.lit("[")), F.from_json("value", "array<string>")), F.raise_error(F.lit("file has no list of samples")).cast("array<string>"))
+    items = raw.select(F.explode(listed).alias("item")).where(F.startswith(strip("item"), F.lit("{")))
+    get = lambda k: F.get_json_object("item", f"$.{k}").alias(k)
+    return items.select(get("sample_id"), get("conversation"), get("qa"))
+
+
 def dialogue_turns(samples: DataFrame) -> DataFrame:
     """Turns of dialogue samples (sample_id, conversation JSON with lists session_N and strings session_N_date_time), sessions by number."""
     parts = F.from_json("conversation", "map<string,string>")

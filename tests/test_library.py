@@ -16,10 +16,11 @@ from memlake.cli import build_parser
 from memlake.functions import answers as A
 from memlake.functions import temporal as TM
 from memlake.functions import text as T
-from memlake.operators import extract, reconcile
+from memlake.functions.vectors import batched_embedding
+from memlake.operators import extract, reconcile, snapshots
 from memlake.plans import catalogue
 from memlake.sources.store import Store
-from memlake.sources.turns import dialogue_questions, dialogue_turns, event_turns, normalize_json_turns, payload_turns
+from memlake.sources.turns import dialogue_questions, dialogue_turns, event_turns, normalize_json_turns, payload_turns, read_samples
 from memlake.streaming.append import append_stream
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -197,3 +198,96 @@ def plain_entities(text):
     every = map(canonical, [*re.findall(r'"([^"]{2,80})"', text), *phrases, *single, *(w for w, c in n.items() if c >= 2)])
     noise = {*T.NOISE_WORDS, *T.KEYWORD_STOPWORDS}
     return list(dict.fromkeys(x for x in every if x and not all(w in noise for w in re.split(r"[^a-z0-9]+", x) if w)))[:8]
+
+
+def plain_view(question, lines, section, limit, most):
+    """Lines of a section in plain Python."""
+    cut = lambda x, n: x if len(x := " ".join((x or "").split())) <= n else x[: n - 3].rstrip() + "..."
+    tokens = lambda x: {w for w in re.sub(r"[^a-z0-9\s]", " ", x.lower()).split() if len(w) > 2}
+    temporal = any(w in question.lower() for w in ("when", "date", "day", "month", "year", "time"))
+    inference = any(w in f" {question.lower().strip()} " for w in TM.INFERENCE_PATTERNS)
+    scored = []
+    for i, line in enumerate(lines):
+        if not (line := cut(line, most)):
+            continue
+        low, held = line.lower(), plain_entities(line)
+        score = 1.5 * len(tokens(question) & tokens(line)) + 2.5 * sum(e in held or e in low for e in plain_entities(question))
+        if temporal:
+            score += 2 * bool(re.search(r"\b(19|20)\d{2}\b", line)) + 1.5 * any(m in low for m in A.MONTH_NAMES) + ("[" in line and "]" in line)
+        if inference:
+            score += {"facts": 1.5, "page_summaries": 1.0}.get(section, 0) + any(m in low for m in A.INFERENCE_MARKERS)
+        scored.append((-score - 0.75 * (section == "raw_evidence"), i, line))
+    out = {}
+    for _, _, line in sorted(scored):
+        out.setdefault(line.lower(), line)
+    return list(out.values())[:limit]
+
+
+def test_answer_view(spark):
+    question = "When did Alice Smith visit the harbor, would she like it?"
+    pages = [("p", "Alice Smith and the harbor", ""), ("q", "", "a plan to support"), (None, None, None), ("r", "in May 2021 [x]", "no")]
+    facts = ["Alice likes boats", "alice   likes BOATS", "", None, "goal: visit the harbor in 2020", *(f"fact {i} of May" for i in range(12)), "x " * 200]
+    spans = [("8 May, 2023", "Bob", "Alice Smith was at the harbor"), ("", "Bob", "nothing"), (None, "Eve", " "), ("2020", None, "harbor harbor")]
+    df = spark.createDataFrame([(question, pages, facts, spans), ("Who?", [], [], None)], "question string, p array<struct<title:string,synopsis:string,summary:string>>, f array<string>, s array<struct<timestamp:string,speaker:string,text:string>>")
+    view = A.answer_view("question", "p", "f", "s")
+    full, none = df.select(view.alias("v"), A.render_view("question", view).alias("t")).collect()
+    said = [f"{t}: {y or z}" for t, y, z in pages if y or z]
+    raw = [f"[{a}] {b}: {c}" if a else f"{b}: {c}" for a, b, c in spans if c.strip()]
+    assert full.v.page_summaries == plain_view(question, said, "page_summaries", 4, 180)
+    assert full.v.facts == plain_view(question, [f for f in facts if f], "facts", 8, 160)
+    assert full.v.raw_evidence == plain_view(question, raw, "raw_evidence", 8, 200)
+    lines = full.t.split("\n")
+    assert lines[:4] == [f"Question: {question}", "", "Evidence:", "[Direct Evidence]"] and lines[4] == f"- {full.v.raw_evidence[0]}"
+    assert [x for x in lines if x.startswith("[")] == ["[Direct Evidence]", "[Facts]", "[Context]"] and not full.t.endswith("\n")
+    assert none.t == "Question: Who?\n\nEvidence:\n[Evidence]\n- No relevant evidence."
+
+
+def test_models_prepared_turns_and_reports(spark, tmp_path):
+    embed_many = lambda texts: 1 / 0 if len(texts) > 1 and "bad" in texts else [[float(len(t))] if t != "bad" else 1 / 0 for t in texts]
+    embed = batched_embedding(embed_many, 3)
+    texts = ["a", None, " ", "bbb", "bad", "cc", "dddd"]
+    got = {r.t: r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", embed(F.col("t")).alias("v")).collect()}
+    assert got == {"a": [1.0], None: None, " ": None, "bbb": [3.0], "bad": None, "cc": [2.0], "dddd": [4.0]}
+    replies = lambda c: F.when(c.contains("Boston"), F.lit('Sure: {broken {"atoms": [{"type": " Goal ", "content": "visit Oslo", "entities": ["Oslo"]}, {"type": "", "content": "x"}, {"type": "observation", "content": "I live in Boston and work at Acme.", "confidence": 0.9}]} done'))
+    s = MemoryService(spark, f"{tmp_path}/store", embed=embed, replies=replies)
+    s.prepare_turns(turns(spark, TRACED), f"{tmp_path}/prepared")
+    assert s.append_prepared(f"{tmp_path}/prepared")
+    plain = Store(spark, f"{tmp_path}/plain")
+    plain.append(turns(spark, TRACED))
+    atoms = {(r.atom_type, r.content, r.confidence) for r in s.store.table("atoms").collect()} - {(r.atom_type, r.content, r.confidence) for r in plain.table("atoms").collect()}
+    assert atoms == {("goal", "visit Oslo", 0.6), ("observation", "I live in Boston and work at Acme.", 0.9)}
+    assert {len(r.embedding) for r in s.store.table("events").collect()} == {1} and s.store.snapshots().where("embedding is null").count() == 0
+    counters, touched = plain.report()
+    assert {r.metric: r.value for r in counters.collect()} == {"events_written": 3, "atoms_written": 3, "state_candidates": 5, "objects_written": 5, "evidence_links": 5, "action_ADD": 2, "action_SUPERSEDE": 3}
+    assert {(r.kind, r["name"]) for r in touched.collect()} == {("session", "session-1"), ("session", "session-2"), ("subject", "caroline")}
+    v = s.answer_views("Where does Caroline live?").first()
+    assert v.text.startswith("Question: Where does Caroline live?") and any("Seattle" in x for x in v.view.raw_evidence)
+    assert {"page_id", "level", "child_ids"} <= set(s.search("Where does Caroline live?")["pages"].columns)
+
+
+def test_small_functions(spark, tmp_path):
+    pairs = [("New York City", "city of new york"), ("Acme", "Acme"), ("abc", "abd"), ("", "x"), ("harbour front", "harbor front"), (None, "a")]
+    got = [r.s for r in spark.createDataFrame(pairs, "a string, b string").select(T.fuzzy_similarity()("a", "b").alias("s")).collect()]
+    assert got[1:4] == [1.0, 0.0, 0.0] and got[5] == 0.0 and got[0] == 1.0 and 0.9 < got[4] < 1
+    for text, want in {"no": None, 'x {"a": {"b": 1}} y': '{"a": {"b": 1}}', "{1} {}": "{}", "{bad": None}.items():
+        assert one(spark, T.first_json_object("t"), t=text) == want
+    (tmp_path / "s.json").write_text(json.dumps([{"sample_id": "a b", "conversation": {"session_1": [{"speaker": "A", "text": "hi"}]}, "qa": []}, 3]))
+    assert [r.corpus_id for r in dialogue_turns(read_samples(spark, f"file://{tmp_path}/s.json")).collect()] == ["a_b"]
+    (tmp_path / "bad.json").write_text("{}")
+    with pytest.raises(Exception, match="no list of samples"):
+        read_samples(spark, f"file://{tmp_path}/bad.json").collect()
+
+
+def test_snapshot_references_cover_all_texts(spark):
+    rows = [("s", "A", "nothing here", None)] * 800 + [("s", "A", "We met Zed Quill.", None)]
+    e = extract.events(turns(spark, rows))
+    a = reconcile.reconcile(extract.candidates(extract.atoms(e)))
+    got = snapshots.session_snapshots(e, reconcile.objects(a), reconcile.versions(a), reconcile.evidence_links(a)).first()
+    assert "zed quill" in got.entity_refs and got.num_events == 801
+
+
+def test_one_long_key(spark):
+    values = ["red hat", "blue shoe", "red hat tall"]
+    c = spark.range(100_000).selectExpr("'c' corpus_id", "'s' session_id", "concat('e', id) event_id", "'a' atom_id", "'o' object_id", f"element_at(array({', '.join(map(repr, values))}), cast(id % 3 as int) + 1) normalized_value", "'active' status", "id seq", "0 atom_pos", "0 slot_pos", "'singleton' policy")
+    got = {r.action: r["count"] for r in reconcile.reconcile_streaming_fold(c).groupBy("action").count().collect()}
+    assert got == {"ADD": 1, "NONE": 33_333, "SUPERSEDE": 66_666}  # the shorter value after the longer one adds nothing
