@@ -10,6 +10,7 @@ import base64
 import hashlib
 import struct
 import uuid
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
@@ -39,10 +40,24 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def header_value(text: str) -> str:
+    """The text, with what can't stand in a header's line (control characters and the like, blanks at the ends) percent-encoded."""
+    bare = text.strip(" ")
+    at = text.index(bare) if bare else len(text)
+    return "%20" * at + "".join(c if c.isprintable() else quote(c, safe="") for c in bare) + "%20" * (len(text) - at - len(bare))
+
+
+def info_record(dict_bytes: int) -> bytes:
+    """What an archive begins with: a description of it."""
+    block = f"format: WARC File Format 1.1\r\ndescription: records compressed singly with Zstandard under the dictionary of {dict_bytes} bytes in the leading skippable frame\r\n".encode()
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Date: {_DATE}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, block.decode())}>", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    uri = "".join(c for c in url or "" if c.isprintable())
+    uri = header_value(url or "")
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     head.append(f"WARC-Record-ID: {record_id(page_id)}" if page_id is not None else f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, uri + base32_sha1(payload))}>")
     if page_id is None:
@@ -52,10 +67,13 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_record(data: bytes) -> dict:
+def parse_record(data: bytes) -> dict | None:
+    """A page's record; None for an archive's description."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     fields = dict(x.split(": ", 1) for x in lines[1:])
+    if fields["WARC-Type"] == "warcinfo":
+        return None
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(next(x for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))[16:])
@@ -74,11 +92,12 @@ def dictionary(samples: list[bytes], size: int) -> zstandard.ZstdCompressionDict
 
 
 def archive(first: list[bytes], rest, dict_bytes: int):
-    """The archive's bytes: the dictionary's frame, then a frame for each record."""
+    """The archive's bytes: the dictionary's frame, then a frame for its description and for each record."""
     d = dictionary(first, dict_bytes)
     body = d.as_bytes()
     yield struct.pack("<II", _SKIP, len(body)) + body
     c = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=True, write_checksum=True)
+    yield c.compress(info_record(len(body)))
     for r in first:
         yield c.compress(r)
     for r in rest:
@@ -100,7 +119,7 @@ def frame_size(data: memoryview, at: int) -> int:
 
 
 def read_archive(data: bytes):
-    """All records of an archive."""
+    """All pages' records of an archive."""
     magic, n = struct.unpack_from("<II", data)
     if magic != _SKIP:
         raise ValueError("an archive begins with its dictionary")
@@ -110,7 +129,8 @@ def read_archive(data: bytes):
     at, view = 8 + n, memoryview(data)
     while at < len(data):
         size = frame_size(view, at)
-        yield parse_record(d.decompress(view[at : at + size]))
+        if record := parse_record(d.decompress(view[at : at + size])):
+            yield record
         at += size
 
 
@@ -126,7 +146,7 @@ def write_archives(df: DataFrame, page: str = "page_id", url: str = "url", paylo
     """Archive every row; the manifest (path, records) as a written table.
 
     Of rows with equal payloads of at least `least` bytes that with the smallest id becomes a response, all others
-    revisits of it. A null payload is empty, a null url an empty one. A row with a null id is a revisit where an id
+    revisits of it. A null payload is empty, a null url an empty one; characters of a url that can't stand in a header are percent-encoded. A row with a null id is a revisit where an id
     holds its payload, else a response without an id; repeated rows become a record each, with the same type. A
     dictionary comes from an archive's first records, up to sample_bytes; a file ends after archive_bytes of records.
     """

@@ -172,6 +172,7 @@ def test_warc(spark):
         same = first[h or ""] == k
         want.append((k, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if same else "revisit", None if same else first[h or ""]))
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(want, key=key)
+    assert {r.url for r in got if r.page_id == 9} == {"http://b/%0A"} and warc.header_value("  a\x00é b ") == "%20%20a%00é b%20" and warc.header_value(" ") == "%20"
     assert {bytes(r.payload) for r in got if r.page_id == 8} == {b"line\r\n\r\nline"}
     assert warc.read_archives(warc.write_archives(df.where("false"))).count() == 0
     data = b"".join(warc.archive([warc.build_record(1, "u", b"abc" * 99, None, False)], [], 1000))
