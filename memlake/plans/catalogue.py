@@ -59,6 +59,13 @@ def _shared(spark, sf_dir, name, build) -> DataFrame:
     return df if level.useMemory or level.useDisk else df.persist()
 
 
+def release() -> None:
+    """Give up all shared intermediate tables."""
+    for df in _kept.values():
+        df.unpersist()
+    _kept.clear()
+
+
 def ev(spark, sf_dir):
     return _shared(spark, sf_dir, "events", lambda: extract.events(event_turns(spark, sf_dir)))
 
@@ -85,6 +92,10 @@ def entity_rows(spark, sf_dir):
     return _shared(spark, sf_dir, "entities", lambda: snapshots.entity_snapshots(*state(spark, sf_dir), "ev"))
 
 
+#: In the order in which they build on each other.
+SHARED = {"events": ev, "candidates": cand, "actions": acts, "state": lambda spark, sf_dir: state(spark, sf_dir)[1], "sessions": session_rows, "entities": entity_rows}
+
+
 def joined(c):
     return F.array_join(c, "|")
 

@@ -5,6 +5,8 @@ import os
 import pytest
 from pyspark.sql import SparkSession
 
+from memlake.plans import catalogue
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -16,6 +18,7 @@ def spark(tmp_path_factory):
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    catalogue.release()
     s.stop()
 
 
