@@ -42,14 +42,18 @@ def _digest() -> Column:
     return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
 
 
+def _decisions(df: DataFrame, tag: str) -> DataFrame:
+    """Decisions on rows, written, to be joined to the rows by a shuffle of both: their number grows with the corpus, and so they are joined alike at every size."""
+    return written(df, tag).hint("merge")
+
+
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each SimHash component: of its smallest doc_id (null only where it has no other), then of the smallest digest."""
     keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _digest().alias("digest")))
     judged = simhash.components(keyed.select("_key", "text"), "_key")
-    judged = judged.groupBy(F.col("_key")).agg(F.first(F.col("_key") == F.col("component_id")).alias("keep"), F.count("*").alias("n"))
-    judged = written(judged.where("not keep or n > 1"), "judged")
-    single = keyed.join(judged, "_key", "left_anti")
-    repeated = keyed.join(judged.where("keep"), "_key", "left_semi").dropDuplicates(["_key"])
+    judged = judged.groupBy(F.col("_key")).agg(F.first(F.col("_key") == F.col("component_id")).alias("_keep"), F.count("*").alias("_n"))
+    marked = keyed.join(_decisions(judged.where("not _keep or _n > 1"), "judged"), "_key", "left")
+    single, repeated = marked.where("_keep is null"), marked.where("_keep").dropDuplicates(["_key"])
     return single.unionByName(repeated).select(docs.columns)
 
 
@@ -57,7 +61,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Drops documents that hold a benchmark item, by their texts alone."""
     keyed = docs.withColumn("_digest", _digest())
     found = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), "_digest").select("_digest").distinct()
-    return keyed.join(found, "_digest", "left_anti").select(docs.columns)
+    return keyed.join(_decisions(found, "leaks"), "_digest", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +69,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ledger = secret_scan.Ledger(spark)
     held = secret_scan.versions(docs)
     ledger.update(held)
-    found = written(ledger.findings(), "findings")
-    with_blob = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    marked = with_blob.join(found.withColumnsRenamed({"blob": "_blob", "found": "_found"}), "_blob", "left")
+    found = _decisions(ledger.findings().withColumnsRenamed({"blob": "_blob", "found": "_found"}), "findings")
+    marked = docs.withColumn("_blob", _digest()).join(found, "_blob", "left")
     marked = marked.withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(secret_scan.redact("text", "_found")))
     if "n_chars" in docs.columns:
         marked = marked.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
