@@ -362,7 +362,8 @@ def _searched(spark, sf_dir):
     q = search.analyse(_questions(spark), mock_embedding)
     s = session_rows(spark, sf_dir).drop("num_events", "num_objects").unionByName(entity_rows(spark, sf_dir).drop("num_events", "num_objects"))
     events = _shared(spark, sf_dir, "searchable", lambda: search.searchable_events(ev(spark, sf_dir), mock_embedding))
-    return q, search.rank_snapshots(s.withColumn("embedding", mock_embedding("summary")), q), events
+    top = _shared(spark, sf_dir, "top", lambda: search.rank_snapshots(s.withColumn("embedding", mock_embedding("summary")), q))
+    return q, top, events
 
 
 @query(O.q(f"{O.SESSIONS}, {O.ENTITIES}, {O.questions(_QUESTIONS)}, {O.TOP6}", "SELECT qid, snapshot_id, scope_id, score, rank FROM top6", True))
