@@ -223,7 +223,7 @@ def best(lists: list[tuple[Postings, int]], documents: int, k: int, floor: int =
     def scored(docs, sums, after):
         """Full scores of the pivots that can reach the threshold."""
         moved = [p.shallow(docs) for p, _ in lists[after:]]
-        more = np.array([m * w for (_, m), (_, w) in zip(moved, lists[after:], strict=True)]).reshape(-1, len(docs))
+        more = np.array([m * w for (_, m), (_, w) in zip(moved, lists[after:], strict=True)]).reshape(len(lists) - after, len(docs))
         left = np.arange(len(docs))
         open_sum = more.sum(0)
         for j, (p, w) in enumerate(lists[after:]):
