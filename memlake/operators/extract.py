@@ -23,9 +23,10 @@ def assign_turn_index(turns: DataFrame, last: DataFrame | None = None) -> DataFr
 
 
 def events(turns: DataFrame, last: DataFrame | None = None) -> DataFrame:
-    """An event for each turn: ids, references, grounding."""
+    """An event for each turn: ids, references, grounding. Turns that have a turn_index keep it."""
     caption = F.get_json_object("metadata", "$.blip_caption")
-    rows = assign_turn_index(turns, last).withColumns({"caption": T.strip(F.coalesce(caption, F.lit(""))), "surface": T.surface_text("speaker", "text", caption)})
+    numbered = turns if "turn_index" in turns.columns else assign_turn_index(turns, last)
+    rows = numbered.withColumns({"caption": T.strip(F.coalesce(caption, F.lit(""))), "surface": T.surface_text("speaker", "text", caption)})
     parts = ("corpus_id", "session_id", "turn_index", "speaker", "text")
     rows = rows.withColumns({"semantic_refs": T.semantic_references("surface"), "text_entities": T.extract_entities("text"), "temporal_grounding": temporal_grounding("surface", "timestamp")})
     refs = F.concat("text_entities", "semantic_refs")
@@ -91,6 +92,7 @@ def merge_atoms(heuristic: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def infer_slots(content: str = "content", kind: str = "memory_kind", atom_type: str = "atom_type") -> Column:
+    # The markers of slots.
     low = F.lower(content)
     by_kind = lambda k, slot: F.when(F.col(kind) == k, slot)
     slots = F.array(

@@ -93,3 +93,13 @@ def next_turn_index(events: DataFrame) -> DataFrame:
 def keep_last(df: DataFrame, key: str, order: str) -> DataFrame:
     """Upsert's rule: of rows with one key the last by order stays."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("_n = 1").drop("_n")
+
+
+def placed(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Rows with their position, from 1, in each group's order: a listing of every group at once."""
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+
+
+def first_events(events: DataFrame, limit: int) -> DataFrame:
+    """The first events of each session by turn; Spark limits before the shuffle."""
+    return placed(events, ["corpus_id", "session_id"], ["turn_index"]).where(F.col("position") <= limit)

@@ -87,6 +87,31 @@ def _compare(cur: str, nv: str) -> tuple[str | None, str | None]:
     return ("SUPERSEDE", "singleton_slot_low_overlap") if low else (None, None)
 
 
+def decide_one(cur: str | None, nv: str, status: str, compare=_compare, model: Callable[[dict, dict], str | None] | None = None) -> tuple[str, str]:
+    """Action and reason of a candidate against the current value of its object (None: there is none)."""
+    if cur is None:
+        return "ADD", "new_object"
+    if cur == nv:
+        return "NONE", "same_normalized_value"
+    if status != "active":
+        return "TENTATIVE", "candidate_not_active"
+    action, reason = compare(cur, nv)
+    if action:
+        return action, reason
+    said = model({"normalized_value": cur}, {"normalized_value": nv}) if model else None
+    if said in ("PATCH", "SUPERSEDE", "TENTATIVE"):
+        return said, "llm_reconciled"
+    return ("NONE", "llm_duplicate") if said == "NONE" else ("SUPERSEDE", "default_supersede")
+
+
+def name_versions(done: DataFrame, held: Column | None = None) -> DataFrame:
+    """version_id and previous_version_id of decided rows with _before and _after, the (event_id, action, nv) that name the versions on both sides; held: the version's id where they name none."""
+    made = lambda v: F.when(F.col(v).isNotNull(), stable_id("ver", F.col("object_id"), F.col(v)["event_id"], F.col(v)["action"], F.col(v)["nv"]))
+    named = lambda v: made(v) if held is None else F.coalesce(made(v), held)
+    own = F.when(F.col("action") != "NONE", stable_id("ver", "object_id", "event_id", "action", "normalized_value"))
+    return done.withColumns({"version_id": F.coalesce(own, named("_after")), "previous_version_id": F.when(F.col("action").isin("PATCH", "SUPERSEDE"), named("_before"))}).drop("_before", "_after")
+
+
 def reconcile_streaming_fold(candidates: DataFrame, model: Callable[[dict, dict], str | None] | None = None, current: DataFrame | None = None) -> DataFrame:
     """The fold over rows that stream sorted by key, with a model for ambiguous cases: action, reason, version_id, previous_version_id of each candidate.
 
@@ -101,21 +126,6 @@ def reconcile_streaming_fold(candidates: DataFrame, model: Callable[[dict, dict]
     else:
         rows = rows.withColumns({"_cur": F.lit(None).cast("string"), "_held": F.lit(None).cast("string")})
 
-    def one(cur, nv, status, compare):
-        if cur is None:
-            return "ADD", "new_object"
-        if cur == nv:
-            return "NONE", "same_normalized_value"
-        if status != "active":
-            return "TENTATIVE", "candidate_not_active"
-        action, reason = compare(cur, nv)
-        if action:
-            return action, reason
-        said = model({"normalized_value": cur}, {"normalized_value": nv}) if model else None
-        if said in ("PATCH", "SUPERSEDE", "TENTATIVE"):
-            return said, "llm_reconciled"
-        return ("NONE", "llm_duplicate") if said == "NONE" else ("SUPERSEDE", "default_supersede")
-
     version = pa.struct([("event_id", pa.string()), ("action", pa.string()), ("nv", pa.string())])
 
     def run(batches):
@@ -126,7 +136,7 @@ def reconcile_streaming_fold(candidates: DataFrame, model: Callable[[dict, dict]
             for obj, event, nv, status, seed in zip(*(batch.column(c).to_pylist() for c in ("object_id", "event_id", "normalized_value", "status", "_cur")), strict=True):
                 if obj != key:
                     key, cur, last = obj, seed, None
-                action, reason = one(cur, nv, status, compare)
+                action, reason = decide_one(cur, nv, status, compare, model)
                 before.append(last)
                 if action in ("ADD", "PATCH", "SUPERSEDE"):
                     cur, last = nv, {"event_id": event, "action": action, "nv": nv}
@@ -136,9 +146,7 @@ def reconcile_streaming_fold(candidates: DataFrame, model: Callable[[dict, dict]
 
     schema = StructType([*rows.schema.fields, *StructType.fromDDL("action string, reason string, _before struct<event_id:string,action:string,nv:string>, _after struct<event_id:string,action:string,nv:string>").fields])
     done = rows.repartition("object_id").sortWithinPartitions("object_id", *ORDER).mapInArrow(run, schema)
-    named = lambda v: F.coalesce(F.when(F.col(v).isNotNull(), stable_id("ver", F.col("object_id"), F.col(v)["event_id"], F.col(v)["action"], F.col(v)["nv"])), F.col("_held"))
-    own = F.when(F.col("action") != "NONE", stable_id("ver", "object_id", "event_id", "action", "normalized_value"))
-    return done.withColumns({"version_id": F.coalesce(own, named("_after")), "previous_version_id": F.when(F.col("action").isin("PATCH", "SUPERSEDE"), named("_before"))}).drop("_cur", "_held", "_before", "_after")
+    return name_versions(done, F.col("_held")).drop("_cur", "_held")
 
 
 def reconcile(candidates: DataFrame, current: DataFrame | None = None, model: Callable | None = None) -> DataFrame:
@@ -149,9 +157,10 @@ def reconcile(candidates: DataFrame, current: DataFrame | None = None, model: Ca
 def versions(actions: DataFrame) -> DataFrame:
     """Rows of object versions: validity windows close where the next effective version begins."""
     rows = actions.where("action != 'NONE'")
-    w = Window.partitionBy("object_id").orderBy(*ORDER)
-    # The next effective row after each row, whatever tentative rows lie between.
-    then = F.first(F.when(F.col("action") != "TENTATIVE", F.struct("valid_from", "version_id")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # The next effective row of each row, whatever tentative rows lie between: from the last row backwards it is the last one seen,
+    # so the frame only grows and a key of any length takes linear time.
+    back = Window.partitionBy("object_id").orderBy(*(F.col(c).desc() for c in ORDER)).rowsBetween(Window.unboundedPreceding, -1)
+    then = F.last(F.when(F.col("action") != "TENTATIVE", F.struct("valid_from", "version_id")), ignorenulls=True).over(back)
     rows = rows.withColumn("then", then)
     replaced = F.col("then").isNotNull() & (F.col("action") != "TENTATIVE")
     return rows.select(
@@ -165,9 +174,10 @@ def objects(actions: DataFrame) -> DataFrame:
     """Current row of each object; memory_kind and creation come from the first writer, the latest version from the last effective one."""
     made = actions.where("action != 'NONE'")
     firsts = F.min_by(F.struct("corpus_id", "subject", "slot", "policy", "memory_kind", "event_id"), _order()).alias("f")
-    last = F.max_by("version_id", F.when(F.col("action") != "TENTATIVE", _order())).alias("latest_version_id")
+    effective = F.when(F.col("action") != "TENTATIVE", _order())
+    last, value = F.max_by("version_id", effective).alias("latest_version_id"), F.max_by("normalized_value", effective).alias("current_value")
     seen = F.max_by("event_id", _order()).alias("updated_at_event_id")
-    rows = made.groupBy("object_id").agg(firsts, last, seen)
+    rows = made.groupBy("object_id").agg(firsts, last, value, seen)
     # The subject, then the evidence's references by first occurrence: of each its first place alone is kept.
     each = made.where("action != 'TENTATIVE'").select("object_id", _order().alias("at"), F.posexplode("canonical_entities").alias("pos", "ref")).where("ref != ''")
     place = each.groupBy("object_id", "ref").agg(F.min(F.struct("at", "pos")).alias("at"))
@@ -175,7 +185,27 @@ def objects(actions: DataFrame) -> DataFrame:
     refs = place.groupBy("object_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "ref"))), lambda x: x["ref"]).alias("refs"))
     rows = rows.join(refs, "object_id", "left")
     canonical = F.slice(F.array_distinct(F.filter(F.concat(F.array("f.subject"), F.coalesce("refs", words_array([]))), lambda x: x != "")), 1, 8)
-    return rows.select("object_id", "f.corpus_id", "f.subject", "f.slot", "f.policy", "f.memory_kind", F.lit("active").alias("status"), "latest_version_id", canonical.alias("canonical_entities"), F.col("f.event_id").alias("created_at_event_id"), "updated_at_event_id", words_array([]).alias("aliases"))
+    return rows.select("object_id", "f.corpus_id", "f.subject", "f.slot", "f.policy", "f.memory_kind", F.lit("active").alias("status"), "latest_version_id", "current_value", canonical.alias("canonical_entities"), F.col("f.event_id").alias("created_at_event_id"), "updated_at_event_id", words_array([]).alias("aliases"))
+
+
+def merge_objects(former: DataFrame, later: DataFrame) -> DataFrame:
+    """Rows of objects() over two runs of actions, one after the other, from those of each: what objects() gives over both."""
+    first = ("corpus_id", "subject", "slot", "policy", "memory_kind", "status", "created_at_event_id", "aliases")
+    newest = ("latest_version_id", "current_value", "updated_at_event_id")
+    f, l = former.select("object_id", F.struct(*former.columns).alias("f")), later.select("object_id", F.struct(*later.columns).alias("l"))
+    rows = f.join(l, "object_id", "full")
+    picked = {c: F.coalesce(f"f.{c}", f"l.{c}") for c in first} | {c: F.coalesce(f"l.{c}", f"f.{c}") for c in newest}
+    none = words_array([])
+    picked["canonical_entities"] = F.slice(F.array_distinct(F.concat(F.coalesce("f.canonical_entities", none), F.coalesce("l.canonical_entities", none))), 1, 8)
+    return rows.select(*(F.col("object_id") if c == "object_id" else picked[c].alias(c) for c in former.columns))
+
+
+def closed_versions(held: DataFrame, later: DataFrame) -> DataFrame:
+    """The held current versions of objects that later actions replace, with their windows closed where the first replacement begins."""
+    effective = later.where(F.col("action").isin("ADD", "PATCH", "SUPERSEDE"))
+    then = effective.groupBy("object_id").agg(F.min_by(F.struct("valid_from"), _order()).alias("_then"))
+    rows = held.where("status = 'active'").join(then, "object_id")
+    return rows.withColumns({"status": F.lit("superseded"), "valid_to": F.col("_then.valid_from")}).select(held.columns)
 
 
 def evidence_links(actions: DataFrame) -> DataFrame:

@@ -39,10 +39,16 @@ def _best(df: DataFrame, k: int, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def rank_snapshots(snapshots: DataFrame, questions: DataFrame, k: int = 6) -> DataFrame:
-    """Top k snapshots of each question; ties go root, entities, sessions, each by scope."""
+def searchable_snapshots(snapshots: DataFrame, embed: Embed | None = None) -> DataFrame:
+    """Snapshots with what a search reads of them, computed once when they are made: snapshot_terms and, with a model, embedding."""
     terms = T.query_terms(F.concat_ws(" ", "title", "synopsis", "summary", F.array_join("canonical_entity_refs", " ")))
     rows = snapshots.withColumn("snapshot_terms", terms)
+    return rows.withColumn("embedding", embed(F.col("summary"))) if embed else rows
+
+
+def rank_snapshots(snapshots: DataFrame, questions: DataFrame, k: int = 6) -> DataFrame:
+    """Top k snapshots of each question; ties go root, entities, sessions, each by scope."""
+    rows = snapshots if "snapshot_terms" in snapshots.columns else searchable_snapshots(snapshots)
     both = _meet(rows, questions)
     named = (F.col("snapshot_kind") == "entity") & (F.array_contains("entities", F.col("scope_id")) | F.array_contains("terms", F.col("scope_id")))
     score = 0.35 * T.term_overlap(F.col("terms"), F.col("snapshot_terms")) + F.when(named, 0.4).otherwise(0.0)
@@ -72,15 +78,21 @@ def searchable_events(events: DataFrame, embed: Embed | None = None, metadata_te
 
 
 def rank_events(events: DataFrame, questions: DataFrame, selected: DataFrame | None = None) -> DataFrame:
-    """All of searchable_events() scored for each question, and their day."""
+    """All of searchable_events() scored for each question, and their day.
+
+    The questions that chose an event are gathered by event and joined to the events before these meet the questions, so the
+    product of both is never shuffled.
+    """
+    if selected is not None:
+        choosers = selected.groupBy("event_id").agg(F.collect_set("qid").alias("chosen_by"))  # of a bounded set of questions
+        events = events.join(choosers, "event_id", "left")
     both = _meet(events, questions)
     score = 0.55 * T.term_overlap(F.col("terms"), F.col("event_terms")) + temporal_score(F.col("hints"), F.col("anchor")) + F.when(F.array_contains("entities", F.lower(T.strip("speaker"))), 0.22).otherwise(0.0)
     if "embedding" in events.columns:
         score = score + 0.9 * cosine("q_embedding", "embedding")
     if selected is not None:
-        both = both.join(selected.withColumn("chosen", F.lit(0.15)), ["qid", "event_id"], "left")
-        score = score + F.coalesce("chosen", F.lit(0.0))
-    return both.withColumns({"score": F.round(score, 6), "day": F.to_date("anchor")}).drop("event_terms")
+        score = score + F.when(F.array_contains("chosen_by", F.col("qid")), 0.15).otherwise(0.0)
+    return both.withColumns({"score": F.round(score, 6), "day": F.to_date("anchor")}).drop("event_terms", "chosen_by")
 
 
 def evidence_spans(ranked: DataFrame, k: int = 8) -> DataFrame:

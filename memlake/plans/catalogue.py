@@ -6,6 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from memlake.functions import answers as A
 from memlake.functions import temporal as TM
@@ -14,6 +15,7 @@ from memlake.functions.ids import stable_id
 from memlake.functions.vectors import cosine
 from memlake.operators import edges, evaluate, extract, lookups, reconcile, search, snapshots
 from memlake.plans import oracle as O
+from memlake.sources import scratch
 from memlake.sources.turns import conversation_turns, event_turns
 
 QUERIES: dict = {}
@@ -46,23 +48,24 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_kept: dict[tuple, DataFrame] = {}
+_kept: dict[tuple, tuple[str, StructType]] = {}
 
 
 def _shared(spark, sf_dir, name, build) -> DataFrame:
-    """An intermediate table that many queries read: persisted, and recomputed where it was lost or cleared."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
-    if key not in _kept:
-        _kept[key] = build()
-    df = _kept[key]
-    level = df.storageLevel  # is_cached stays true after a cleared cache
-    return df if level.useMemory or level.useDisk else df.persist()
+    """An intermediate table that many queries read: written once, so that plans above it begin with a scan, and again where its folder is gone."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept or not scratch.exists(spark, _kept[key][0]):
+        path = scratch.folder(spark, name)
+        _kept[key] = path, scratch.written(build(), name, path).schema
+    path, schema = _kept[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def release() -> None:
     """Give up all shared intermediate tables."""
-    for df in _kept.values():
-        df.unpersist()
+    if spark := SparkSession.getActiveSession():
+        for path, _ in _kept.values():
+            scratch.delete(spark, path)
     _kept.clear()
 
 
@@ -70,8 +73,12 @@ def ev(spark, sf_dir):
     return _shared(spark, sf_dir, "events", lambda: extract.events(event_turns(spark, sf_dir)))
 
 
+def atom_rows(spark, sf_dir):
+    return _shared(spark, sf_dir, "atoms", lambda: extract.atoms(ev(spark, sf_dir)))
+
+
 def cand(spark, sf_dir):
-    return _shared(spark, sf_dir, "candidates", lambda: extract.candidates(extract.atoms(ev(spark, sf_dir))))
+    return _shared(spark, sf_dir, "candidates", lambda: extract.candidates(atom_rows(spark, sf_dir)))
 
 
 def acts(spark, sf_dir):
@@ -93,7 +100,7 @@ def entity_rows(spark, sf_dir):
 
 
 #: In the order in which they build on each other.
-SHARED = {"events": ev, "candidates": cand, "actions": acts, "state": lambda spark, sf_dir: state(spark, sf_dir)[1], "sessions": session_rows, "entities": entity_rows}
+SHARED = {"events": ev, "atoms": atom_rows, "candidates": cand, "actions": acts, "state": lambda spark, sf_dir: state(spark, sf_dir)[1], "sessions": session_rows, "entities": entity_rows}
 
 
 def joined(c):
@@ -187,7 +194,7 @@ def temporal_grounding(spark, sf_dir):
 
 @query(O.q(O.ATOMS, "SELECT atom_id, event_id, atom_type, memory_kind, status, confidence, array_to_string(canon_refs, '|') AS canonical FROM atoms_x"))
 def heuristic_atoms(spark, sf_dir):
-    return extract.atoms(ev(spark, sf_dir)).select("atom_id", "event_id", "atom_type", "memory_kind", "status", "confidence", joined("canonical_entities").alias("canonical"))
+    return atom_rows(spark, sf_dir).select("atom_id", "event_id", "atom_type", "memory_kind", "status", "confidence", joined("canonical_entities").alias("canonical"))
 
 
 @query(O.q(O.CANDIDATES, f"SELECT {O.stable_id('cand', 'event_id', 'atom_id', 'subject', 'slot', 'nv')} AS candidate_id, object_id, event_id, atom_id, subject, slot, policy, nv AS normalized_value, status FROM cand"))
@@ -291,7 +298,7 @@ def listings(spark, sf_dir):
 def ingest_report(spark, sf_dir):
     e = ev(spark, sf_dir)
     a = acts(spark, sf_dir)
-    return evaluate.ingest_report(e, extract.atoms(e), a, reconcile.evidence_links(a))
+    return evaluate.ingest_report(e, atom_rows(spark, sf_dir), a, reconcile.evidence_links(a))
 
 
 # ---------------------------------------------------------------- snapshots
@@ -360,10 +367,23 @@ def mock_embedding(c):
 def _searched(spark, sf_dir):
     """Analysed questions, their top snapshots, and the events ready for search."""
     q = search.analyse(_questions(spark), mock_embedding)
-    s = session_rows(spark, sf_dir).drop("num_events", "num_objects").unionByName(entity_rows(spark, sf_dir).drop("num_events", "num_objects"))
-    events = _shared(spark, sf_dir, "searchable", lambda: search.searchable_events(ev(spark, sf_dir), mock_embedding))
-    top = _shared(spark, sf_dir, "top", lambda: search.rank_snapshots(s.withColumn("embedding", mock_embedding("summary")), q))
-    return q, top, events
+    top = _shared(spark, sf_dir, "top", lambda: search.rank_snapshots(searchable_pages(spark, sf_dir), q))
+    return q, top, searchable(spark, sf_dir)
+
+
+def searchable(spark, sf_dir):
+    return _shared(spark, sf_dir, "searchable", lambda: search.searchable_events(ev(spark, sf_dir), mock_embedding))
+
+
+def searchable_pages(spark, sf_dir):
+    def build():
+        s = session_rows(spark, sf_dir).drop("num_events", "num_objects").unionByName(entity_rows(spark, sf_dir).drop("num_events", "num_objects"))
+        return search.searchable_snapshots(s, mock_embedding)
+
+    return _shared(spark, sf_dir, "pages", build)
+
+
+SHARED |= {"searchable": searchable, "pages": searchable_pages}
 
 
 @query(O.q(f"{O.SESSIONS}, {O.ENTITIES}, {O.questions(_QUESTIONS)}, {O.TOP6}", "SELECT qid, snapshot_id, scope_id, score, rank FROM top6", True))
@@ -409,13 +429,13 @@ def ingest_totals(spark, sf_dir):
 @query(O.q(O.EVENTS, f"SELECT {O.stable_id('edge', 'raw_span_id', 'speaker', 'dst', repr('mentions'))} AS edge_id, speaker AS src, dst, 0.5::DOUBLE AS confidence FROM (SELECT raw_span_id, speaker, unnest(canon_refs) AS dst FROM events_x)"))
 def mention_edges(spark, sf_dir):
     e = ev(spark, sf_dir)
-    return edges.graph_edges(e, extract.atoms(e)).where("relation = 'mentions'").select("edge_id", "src", "dst", "confidence")
+    return edges.graph_edges(e, atom_rows(spark, sf_dir)).where("relation = 'mentions'").select("edge_id", "src", "dst", "confidence")
 
 
 @query(O.q(O.EDGES, "SELECT edge_id, src, relation, dst, confidence FROM edges WHERE relation IN ('co_occurs_with', 'contradicts', 'supports')"))
 def cooccurrence_edges(spark, sf_dir):
     e = ev(spark, sf_dir)
-    return edges.graph_edges(e, extract.atoms(e)).where("relation in ('co_occurs_with', 'contradicts', 'supports')").select("edge_id", "src", "relation", "dst", "confidence")
+    return edges.graph_edges(e, atom_rows(spark, sf_dir)).where("relation in ('co_occurs_with', 'contradicts', 'supports')").select("edge_id", "src", "relation", "dst", "confidence")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -458,3 +478,6 @@ def judge_mean_std(spark, sf_dir):
 @query("SELECT coalesce(toxic, 0) AS toxic, quality, count(*) AS n FROM labels GROUP BY 1, 2")
 def category_counts(spark, sf_dir):
     return read(spark, sf_dir, "labels").groupBy(F.coalesce("toxic", F.lit(0)).alias("toxic"), "quality").agg(F.count("*").alias("n"))
+
+
+from memlake.plans import catalogue_more  # noqa: E402, F401 - registers further queries
