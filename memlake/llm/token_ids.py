@@ -213,19 +213,22 @@ def load_encoder(path: str) -> WordEncoder:
 def write_shards(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", end_id: int = 2, shard_ids: int = 8_000_000) -> DataFrame:
     """Write all rows' ids in ascending key order; the manifest (path, part, seq, docs, ids) as a written table.
 
-    Rows are dealt by ranges of key in Spark's own sampled bounds and sorted within each; a task rolls over to
-    another file after shard_ids ids, which bounds its memory. Null keys come first, a null text counts as
-    empty (the end id alone), repeated keys keep a row each, next to each other; no rows: no shards.
+    Rows are dealt by ranges of key and of a hash of the text in Spark's own sampled bounds and sorted by both within each, so
+    that a key of many rows, or a null one, is dealt over many tasks. A task rolls over to another file after shard_ids ids,
+    which bounds its memory, or with one longer text; files carry the attempt's number, and the manifest names those of the attempt that
+    counted. Null keys come first, a null text counts as empty (the end id alone), repeated keys keep a row each, next to each
+    other; no rows: no shards. Other columns aren't read, whatever their names.
     """
     folder = new_folder(df.sparkSession, "tokens")
 
     def run(batches):
-        encoder, part, seq = load_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, task, seq = load_encoder(tokenizer_path), TaskContext.get(), 0
+        part = task.partitionId()
         keys, counts, ids, nulls = [], [], [], 0
 
         def flush():
             nonlocal keys, counts, ids, nulls, seq
-            path = f"{folder}/{part:06d}-{seq:04d}.tok"
+            path = f"{folder}/{part:06d}-{seq:04d}-{task.taskAttemptId()}.tok"
             all_counts, all_ids = np.concatenate(counts), np.concatenate(ids)
             put_file(path, pack(np.concatenate(keys), nulls, all_counts, all_ids, encoder.width))
             row = pa.RecordBatch.from_pydict({"path": [path], "part": [part], "seq": [seq], "docs": [len(all_counts)], "ids": [len(all_ids)]})
@@ -244,7 +247,8 @@ def write_shards(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text:
             yield flush()
 
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    rows = rows.repartitionByRange("k").sortWithinPartitions("k")
+    order = [F.col("k"), F.xxhash64("t")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return written(rows.mapInArrow(run, "path string, part long, seq long, docs long, ids long"), "manifest")
 
 
