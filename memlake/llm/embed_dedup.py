@@ -43,7 +43,7 @@ def assign(reps: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
             square = np.maximum(0.0, 2 - 2 * x @ pivots.T)
             home = square.argmin(1)
             d, own = np.sqrt(square), np.arange(len(x))
-            slack = 1e-9
+            slack = 1e-7  # above the error of distances near 0, the root of the dot products' own
             near = d <= d[own, home][:, None] + 2 * radius + slack
             near &= square - square[own, home][:, None] <= 2 * between[home] * radius + slack
             near &= np.arange(len(pivots)) < home[:, None]
@@ -170,14 +170,15 @@ def components(df: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector:
     size = {r["c"]: (r["h"], r["g"]) for r in placed.select(F.explode(F.concat(F.array(F.struct(F.col("home").alias("c"), F.lit(1).alias("o"))), F.transform("guests", lambda c: F.struct(c.alias("c"), F.lit(0).alias("o"))))).alias("x")).groupBy("x.c").agg(F.sum("x.o").alias("h"), F.sum(1 - F.col("x.o")).alias("g")).collect()}
     blocks = {c: max(1, math.ceil(h / block)) for c, (h, g) in size.items()}
     parts = {c: max(1, math.ceil((g + (h if blocks[c] > 1 else 0)) / guests)) for c, (h, g) in size.items()}
-    table = lambda m: F.create_map(*(F.lit(x) for kv in sorted(m.items()) for x in kv))
+    # Literal arrays by the cell's number: an element costs the same whatever it is.
+    table = lambda m: (lambda a: lambda c: F.element_at(a, c.cast("int") + 1))(F.lit([m.get(c, 1) for c in range(len(pivots))]))
     nb, ng = table(blocks), table(parts)
     at = lambda c, b, g, role: F.struct(c.alias("c"), b.cast("int").alias("b"), g.cast("int").alias("g"), F.lit(role).alias("role"))
     salt = F.xxhash64("rep")
-    mine, part = F.pmod(salt, nb[F.col("home")]), lambda c: F.pmod(F.shiftright(salt, 32), ng[c])
-    as_home = F.transform(F.sequence(F.lit(0), ng[F.col("home")] - 1), lambda g: at(F.col("home"), mine, g, 0))
-    as_later = F.transform(F.filter(F.sequence(F.lit(0), nb[F.col("home")] - 1), lambda b: b < mine), lambda b: at(F.col("home"), b, part(F.col("home")), 1))
-    as_guest = F.flatten(F.transform("guests", lambda c: F.transform(F.sequence(F.lit(0), nb[c] - 1), lambda b: at(c, b, part(c), 1))))
+    mine, part = F.pmod(salt, nb(F.col("home"))), lambda c: F.pmod(F.shiftright(salt, 32), ng(c))
+    as_home = F.transform(F.sequence(F.lit(0), ng(F.col("home")) - 1), lambda g: at(F.col("home"), mine, g, 0))
+    as_later = F.transform(F.filter(F.sequence(F.lit(0), nb(F.col("home")) - 1), lambda b: b < mine), lambda b: at(F.col("home"), b, part(F.col("home")), 1))
+    as_guest = F.flatten(F.transform("guests", lambda c: F.transform(F.sequence(F.lit(0), nb(c) - 1), lambda b: at(c, b, part(c), 1))))
     dealt = placed.select("rep", "n", "v", F.explode(F.concat(as_home, as_later, as_guest)).alias("x"))
     unit = (F.col("x.c").cast("long") * (1 << 40) + F.col("x.b").cast("long") * (1 << 20) + F.col("x.g")).alias("key")
     dealt = dealt.select(unit, (F.col("x.g") == 0).alias("own"), F.col("x.role").alias("role"), "rep", "n", "v")
