@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm._shared import drop_written, get_file, new_folder, put_file, tasks, written
+from memlake.llm._shared import byte_slices, drop_written, get_file, new_folder, put_file, tasks, written
 
 _SKIP = 0x184D2A5D
 _FRAME = 0xFD2FB528
@@ -148,17 +148,21 @@ def write_archives(df: DataFrame, page: str = "page_id", url: str = "url", paylo
     Of rows with equal payloads of at least `least` bytes that with the smallest id becomes a response, all others
     revisits of it. A null payload is empty, a null url an empty one; characters of a url that can't stand in a header are percent-encoded. A row with a null id is a revisit where an id
     holds its payload, else a response without an id; repeated rows become a record each, with the same type. A
-    dictionary comes from an archive's first records, up to sample_bytes; a file ends after archive_bytes of records.
+    dictionary comes from an archive's first records, up to sample_bytes; a file ends after archive_bytes of records, or with one
+    longer record, and carries the attempt's number: the manifest names the files of the attempt that counted. Empty tables give no
+    archives; other columns aren't read, whatever their names.
     """
     folder = new_folder(df.sparkSession, "warc")
 
     def run(batches):
-        part, seq = TaskContext.get().partitionId(), 0
+        task, seq = TaskContext.get(), 0
 
         def records():
             for batch in batches:
-                for k, u, p, revisit, refers in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                    yield build_record(k, u, p or b"", refers, revisit)
+                for a, b in byte_slices(batch.column(2)):
+                    cut = batch.slice(a, b - a)
+                    for k, u, p, revisit, refers in zip(*(cut.column(i).to_pylist() for i in range(5)), strict=True):
+                        yield build_record(k, u, p or b"", refers, revisit)
 
         source, over = records(), False
         while not over:
@@ -182,7 +186,7 @@ def write_archives(df: DataFrame, page: str = "page_id", url: str = "url", paylo
                     count += 1
                     yield r
 
-            path = f"{folder}/{part:06d}-{seq:04d}.warc.zst"
+            path = f"{folder}/{task.partitionId():06d}-{seq:04d}-{task.taskAttemptId()}.warc.zst"
             put_file(path, archive(first, rest(), dict_bytes))
             seq += 1
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [len(first) + count]})
