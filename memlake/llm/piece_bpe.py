@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.llm._shared import byte_slices
+
 SPACE = "▁"
 _NONE = np.iinfo(np.int64).max
 # Kinds of pieces as the model file numbers them.
@@ -231,28 +233,22 @@ def load_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encode_decode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", batch_chars: int = 2_000_000) -> DataFrame:
+def encode_decode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", batch_bytes: int = 2_000_000) -> DataFrame:
     """(key, ids array<int>, decoded string) of every row: whole texts, each encoded and its ids decoded again.
 
     A null text counts as empty and gives no ids and an empty decoded text; a null key stays null; repeated
     rows each give a row; other columns are not read, whatever their names. Work is per row in one pass
-    without a shuffle; a batch is cut into pieces of about batch_chars characters to bound memory.
+    without a shuffle; a batch is cut into pieces of about batch_bytes bytes of text to bound memory; an empty table gives no rows.
     """
 
     def run(batches):
         model = load_model(model_path)
         for batch in batches:
-            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            a = 0
-            while a < len(texts):
-                b, n = a, 0
-                while b < len(texts) and (b == a or n + len(texts[b]) <= batch_chars):
-                    n += len(texts[b])
-                    b += 1
-                ids, counts = model.encode(texts[a:b])
+            for a, b in byte_slices(batch.column(1), batch_bytes, 10_000):
+                cut = batch.slice(a, b - a)
+                ids, counts = model.encode([t or "" for t in cut.column(1).to_pylist()])
                 offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(model.decode(ids, counts), pa.string())], names=["k", "ids", "decoded"])
-                a = b
+                yield pa.RecordBatch.from_arrays([cut.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(model.decode(ids, counts), pa.string())], names=["k", "ids", "decoded"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
