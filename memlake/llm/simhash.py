@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm._shared import connected_components, drop_written, written
+from memlake.llm._shared import byte_slices, connected_components, drop_written, written
 
 _LANES = np.arange(8, dtype=np.int64) * 256
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -45,8 +45,10 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words:
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["k", "fp"])
+            for a, b in byte_slices(batch.column(1)):
+                cut = batch.slice(a, b - a)
+                fp = np.array([fingerprint(t, words) for t in cut.column(1).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(fp)], names=["k", "fp"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").cast("binary").alias("t"))
