@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm._shared import broadcastable, new_folder, written
+from memlake.llm._shared import broadcastable, byte_slices, new_folder, written
 
 Match = Callable[[str], list[tuple[int, int]]]
 
@@ -72,14 +72,15 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            blob, rule, found = [], [], []
-            for b, todo, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                folded = body.lower()
-                for i in todo:
-                    blob.append(b), rule.append(i)
-                    found.append([{"kind": by_id[i].kind, "lo": lo, "hi": hi} for lo, hi in by_id[i].spans(body, folded)])
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([pa.array(blob, pa.string()), pa.array(rule, pa.string()), pa.array(found, kind)], names=["blob", "rule", "found"])
+            for a, z in byte_slices(batch.column(2)):
+                blob, rule, found = [], [], []
+                for b, todo, body in zip(*(c.to_pylist() for c in batch.slice(a, z - a).columns), strict=True):
+                    folded = body.lower()
+                    for i in todo:
+                        blob.append(b), rule.append(i)
+                        found.append([{"kind": by_id[i].kind, "lo": lo, "hi": hi} for lo, hi in by_id[i].spans(body, folded)])
+                kind = pa.list_(pa.struct([("kind", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([pa.array(blob, pa.string()), pa.array(rule, pa.string()), pa.array(found, kind)], names=["blob", "rule", "found"])
 
     return blobs.select("blob", "todo", "body").mapInArrow(run, f"blob string, rule string, found {_FINDING}")
 
