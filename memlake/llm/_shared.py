@@ -198,17 +198,19 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def class_sample(df: DataFrame, label: str, key: str, per_class: int, most_classes: int = 200) -> DataFrame:
-    """At most about per_class rows of each label, chosen by a hash of key; both bounds are the caller's documented parameters.
+def class_sample(df: DataFrame, label: str, key: str, per_class: int, most_rows: int | None = None) -> DataFrame:
+    """About per_class rows of each label, or fewer where that would be more than most_rows in all, chosen by a hash of key; both bounds are the caller's documented parameters.
 
     Class counts come from label alone (a pruned scan); then one scan keeps rows whose hash falls below
-    the class's fraction. Rows with a null label are left out, and so are labels beyond the most_classes commonest.
+    the class's fraction. Rows with a null label are left out. Labels with equal fractions share one comparison.
     """
-    counts = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.col("count").desc(), label).limit(most_classes).collect()}
+    counts = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
     if not counts:
         return df.where(F.lit(False))
+    each = per_class if most_rows is None else max(1, min(per_class, most_rows // len(counts)))
     u = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    keep = F.lit(False)
-    for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
-        keep = keep | ((F.col(label) == F.lit(value)) & (u < F.lit(min(1.0, per_class / n))))
+    common = {v: n for v, n in counts.items() if n > each}
+    keep = F.col(label).isNotNull() & ~F.col(label).isin(list(common)) if common else F.col(label).isNotNull()
+    for value, n in sorted(common.items(), key=lambda x: str(x[0])):
+        keep = keep | ((F.col(label) == F.lit(value)) & (u < F.lit(each / n)))
     return df.where(keep)

@@ -8,7 +8,6 @@ probabilities. A text's score is linear in its n-grams, so whole texts of any le
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +20,14 @@ from memlake.llm._shared import byte_slices, class_sample, crc_mod
 UNDETERMINED = "und"
 BITS = 16
 _ORDERS = (2, 3)
-_LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1_000_000
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a letter; characters that are numbers, such as Roman numerals and fractions, are none."""
+    return any(map(str.isalpha, text or ""))
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -84,7 +87,7 @@ class Model:
         return self.bias + sums / np.maximum(n, 1)[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        known = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)
+        known = np.array([has_letter(t) for t in texts], bool)
         names, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         if known.any() and self.languages:
             at = np.flatnonzero(known)
@@ -105,14 +108,15 @@ def document_frequencies(df: DataFrame, text: str = "text") -> tuple[np.ndarray,
     def run(batches):
         total, n, seen = np.zeros(1 << BITS, np.int64), 0, np.zeros(1 << BITS, bool)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                p = _points(t)
-                held = [ngrams(p, order) for order in _ORDERS]
-                for h in held:
-                    seen[h] = True
-                total += seen
-                for h in held:
-                    seen[h] = False
+            for a, b in byte_slices(batch.column(0)):
+                for t in batch.column(0).slice(a, b - a).to_pylist():
+                    p = _points(t)
+                    held = [ngrams(p, order) for order in _ORDERS]
+                    for h in held:
+                        seen[h] = True
+                    total += seen
+                    for h in held:
+                        seen[h] = False
             n += batch.num_rows
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[total[at], n])], names=["feature", "n"])
@@ -174,19 +178,22 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], frequencies: tuple[np.nd
     return Model(languages, (w * idf[:, None] * scale).astype(np.float32), b, temperature)
 
 
-def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_class: int = 400, **options) -> Model:
-    """Fit on about per_class labelled rows of each language, drawn by a hash of key over all labelled rows: the documented bound of what reaches the driver.
+def train(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_class: int = 400, most_rows: int = 80_000, **options) -> Model:
+    """Fit on about per_class labelled rows of each language, drawn by a hash of key over all labelled rows, and on about most_rows in all: the documented bounds of what reaches the driver.
 
-    Of rows with one key the one of least language and text counts; only the 200 commonest languages are learned.
+    All languages are learned, from fewer rows each where there are more than most_rows / per_class of them; the model takes
+    2 ** BITS numbers for each. Of rows with one key the one of least language and text counts.
     """
 
     def run(batches):
         for batch in batches:
-            found = [counts(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float32()))], names=["lang", "f", "s"])
+            for a, b in byte_slices(batch.column(1)):
+                cut = batch.slice(a, b - a)
+                found = [counts(t) for t in cut.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float32()))], names=["lang", "f", "s"])
 
     labelled = df.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"), F.col(label).alias("lang"))
-    drawn = class_sample(labelled, "lang", "k", per_class).groupBy("k").agg(F.min(F.struct("lang", "text")).alias("r"))
+    drawn = class_sample(labelled, "lang", "k", per_class, most_rows).groupBy("k").agg(F.min(F.struct("lang", "text")).alias("r"))
     rows = drawn.select("r.lang", "r.text").mapInArrow(run, "lang string, f array<int>, s array<float>").toArrow()
     features, shares = rows.column("f").combine_chunks(), rows.column("s").combine_chunks()
     found = [(lang, f.values.to_numpy(), s.values.to_numpy()) for lang, f, s in zip(rows.column("lang").to_pylist(), features, shares, strict=True)]
