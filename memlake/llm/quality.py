@@ -74,6 +74,39 @@ class Network:
         return [self.embed, self.filters, self.bias, self.head, self.offset]
 
 
+def loss_gradients(net: Network, cut: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The weighted mean log loss (with the head's penalty) of documents, each of them windows() of a text, and its gradients by the network's parts."""
+    n = np.array([len(c) for c in cut])
+    starts, doc = np.cumsum(n) - n, np.repeat(np.arange(len(cut)), n)
+    chunks = np.concatenate(cut)
+    made = [net.pool(chunks[i : i + 4096], True) for i in range(0, len(chunks), 4096)]
+    pooled, at = np.concatenate([p for p, _ in made]), np.concatenate([p for _, p in made])
+    mean, top = np.add.reduceat(pooled, starts) / n[:, None], np.maximum.reduceat(pooled, starts)
+    x = np.concatenate([mean, top], 1)
+    z = np.clip(x @ net.head + net.offset, -60, 60)
+    p = 1 / (1 + np.exp(-z))
+    loss = float((weight * (np.logaddexp(0, z) - y * z)).mean() + 5e-5 * (net.head**2).sum())
+    d = ((p - y) * weight / len(cut)).astype(np.float32)
+    dx = d[:, None] * net.head
+    dpool = dx[doc, :FILTERS] / n[doc, None]
+    best = pooled == top[doc]
+    dpool += np.where(best, dx[doc, FILTERS:] / np.maximum(np.add.reduceat(best, starts, dtype=np.float32)[doc], 1), 0)
+    dpool *= pooled > 0
+    # through the pooled windows
+    c, f = np.nonzero(dpool)
+    begin, g = at[c, f] * STRIDE, dpool[c, f]
+    codes = chunks[c[:, None], begin[:, None] + np.arange(WIDTH)]
+    dfilters, dembed = np.zeros_like(net.filters), np.zeros_like(net.embed)
+    for k in range(FILTERS):
+        mine = f == k
+        if mine.any():
+            dfilters[:, k] = (net.embed[codes[mine]].reshape(int(mine.sum()), -1) * g[mine, None]).sum(0)
+    back = (net.filters.T[f] * g[:, None]).reshape(len(f) * WIDTH, EMBED)
+    for k in range(EMBED):
+        dembed[:, k] = np.bincount(codes.ravel(), weights=back[:, k], minlength=257)
+    return loss, [dembed, dfilters, dpool.sum(0), x.T @ d + 1e-4 * net.head, np.array([d.sum()], np.float32)]
+
+
 def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 8, rate: float = 0.01, group: int = 16, seed: int = 5) -> Network:
     """Adam with balanced class weights; without both classes the network gives that class's share alone."""
     net = Network.start()
@@ -90,33 +123,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 8, rate: float = 0
         order = np.random.default_rng(seed + epoch).permutation(len(y))
         for a in range(0, len(order), group):
             rows = order[a : a + group]
-            n = np.array([len(cut[i]) for i in rows])
-            starts, doc = np.cumsum(n) - n, np.repeat(np.arange(len(rows)), n)
-            chunks = np.concatenate([cut[i] for i in rows])
-            made = [net.pool(chunks[i : i + 4096], True) for i in range(0, len(chunks), 4096)]
-            pooled, at = np.concatenate([p for p, _ in made]), np.concatenate([p for _, p in made])
-            mean, top = np.add.reduceat(pooled, starts) / n[:, None], np.maximum.reduceat(pooled, starts)
-            x = np.concatenate([mean, top], 1)
-            p = 1 / (1 + np.exp(-np.clip(x @ net.head + net.offset, -60, 60)))
-            d = ((p - y[rows]) * weight[rows] / len(rows)).astype(np.float32)
-            dx = d[:, None] * net.head
-            dpool = dx[doc, :FILTERS] / n[doc, None]
-            best = pooled == top[doc]
-            dpool += np.where(best, dx[doc, FILTERS:] / np.maximum(np.add.reduceat(best, starts, dtype=np.float32)[doc], 1), 0)
-            dpool *= pooled > 0
-            # through the pooled windows
-            c, f = np.nonzero(dpool)
-            begin, g = at[c, f] * STRIDE, dpool[c, f]
-            codes = chunks[c[:, None], begin[:, None] + np.arange(WIDTH)]
-            dfilters, dembed = np.zeros_like(net.filters), np.zeros_like(net.embed)
-            for k in range(FILTERS):
-                mine = f == k
-                if mine.any():
-                    dfilters[:, k] = (net.embed[codes[mine]].reshape(int(mine.sum()), -1) * g[mine, None]).sum(0)
-            back = (net.filters.T[f] * g[:, None]).reshape(len(f) * WIDTH, EMBED)
-            for k in range(EMBED):
-                dembed[:, k] = np.bincount(codes.ravel(), weights=back[:, k], minlength=257)
-            grads = [dembed, dfilters, dpool.sum(0), x.T @ d + 1e-4 * net.head, np.array([d.sum()], np.float32)]
+            _, grads = loss_gradients(net, [cut[i] for i in rows], y[rows], weight[rows])
             t += 1
             for i, (part, grad) in enumerate(zip(parts, grads, strict=True)):
                 m[i] = 0.9 * m[i] + 0.1 * grad
