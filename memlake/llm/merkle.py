@@ -94,18 +94,19 @@ class Subtree:
 
     def __init__(self, low: int, high: int, root: int, leaves: int):
         self.root, self.nodes = root, {}
-        self.next, self.stop = root * FAN**high, min((root + 1) * FAN**high, leaves)
+        self.begin = self.next = root * FAN**high
+        self.stop = min((root + 1) * FAN**high, leaves)
         self.first = [root * FAN ** (high - level) for level in range(high + 1)]
         self.stack = Stack(high, lambda level, i, node: self.nodes.__setitem__((level, self.first[level] + i), node) if low <= level < high else None)
-        self.closed = self.next >= self.stop
 
     def grow(self, leaf_at, steps: int) -> None:
         for _ in range(min(steps, self.stop - self.next)):
             self.stack.add(leaf_at(self.next))
             self.next += 1
-        if self.next >= self.stop and not self.closed:
-            self.stack.close()
-            self.closed = True
+        if self.next >= self.stop and self.stack:
+            if self.next > self.begin:
+                self.stack.close()
+            self.stack = None  # which refers to the subtree
 
 
 def traverse(leaves: list[str], levels: int, part: int = PART):
