@@ -237,7 +237,7 @@ def best(lists: list[tuple[Postings, int]], documents: int, k: int, floor: int =
         return docs[left], sums[left]
 
     possible = bound >= least
-    while done < len(lists) and np.count_nonzero(partial) < 4 * k:
+    while done < len(lists) and np.count_nonzero(partial) < k:
         take(*lists[done], possible)
         done += 1
     docs = np.flatnonzero(partial)
