@@ -16,7 +16,7 @@ P = pytest.importorskip("public_tokenizers")
 from pyspark.sql import functions as F  # noqa: E402
 
 from memlake.llm import decontaminate, embed_dedup, langid, piece_bpe, quality, secret_scan, simhash, token_ids, url_rules, warc  # noqa: E402
-from memlake.llm._shared import connected_components  # noqa: E402
+from memlake.llm._shared import connected_components, put_file  # noqa: E402
 
 LONG = " ".join(f"word{i % 977} token{i}" for i in range(20_000))
 TEXTS = [
@@ -96,6 +96,30 @@ def test_token_ids(odd):
         start += len(ids)
     assert got == want
     assert token_ids.read_shards(token_ids.write_shards(odd.where("false"), path)).count() == 0
+    # Files of an attempt that didn't count lie beside the others under names of their own.
+    paths = [r.path for r in manifest.collect()]
+    for p in paths:
+        name, attempt = p.rsplit("-", 1)
+        put_file(f"{name}-{int(attempt.split('.')[0]) + 1000}.tok", [b"of another attempt"])
+    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_ids.read_shards(manifest).collect()), key=lambda r: r[1]) == want
+
+
+def test_token_ids_of_one_key(spark):
+    """A key of most rows, and a null one, are dealt over tasks, in an order that is the same every time."""
+    path, rng = P.path("word_bpe_49k.json"), np.random.default_rng(8)
+    rows = [(7 if i % 3 else None if i % 2 else i, " ".join(f"w{x}" for x in rng.integers(0, 90, 30))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifests = [token_ids.write_shards(df, path) for _ in range(2)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifests[0].select("part").distinct().count() >= 3
+    one, two = (sorted((r.start, r.doc_id, r.ids_crc32) for r in token_ids.read_shards(m).collect()) for m in manifests)
+    assert one == two  # whatever ranges are drawn and whatever order rows come in
+    got = [(start, key) for start, key, _ in one]
+    keys = [k for _, k in got]
+    assert keys == sorted((r[0] for r in rows), key=lambda k: (k is not None, k or 0))
 
 
 # ---------------------------------------------------------------- 2
@@ -133,7 +157,7 @@ def test_pieces(odd):
 
     path = P.path("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
-    got = sorted(((r.doc_id, r.ids, r.decoded) for r in piece_bpe.encode_decode(odd, path, batch_chars=500).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    got = sorted(((r.doc_id, r.ids, r.decoded) for r in piece_bpe.encode_decode(odd, path, batch_bytes=500).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
     want = sorted(((k, lib.encode(t or ""), lib.decode(lib.encode(t or ""))) for k, t in pairs_of(odd)), key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
     assert got == want
     d = {r.doc_id: r for r in piece_bpe.digests(piece_bpe.encode_decode(odd, path)).collect()}
@@ -445,6 +469,40 @@ def test_quality_against_plain_convolution():
         assert abs(net.score([text])[0] - 1 / (1 + math.exp(-(x @ net.head + net.offset[0])))) < 1e-5
 
 
+def test_quality_gradients():
+    """Of every part of the network, in double precision, against differences of the loss."""
+    rng = np.random.default_rng(6)
+    net = quality.Network.start(4)
+    for name in ("embed", "filters", "bias", "head", "offset"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    net.bias[:] = rng.standard_normal(quality.FILTERS) * 0.1
+    cut = [quality.windows(t) for t in (b"", b"plain words", bytes(rng.integers(0, 256, 900).astype(np.uint8)), b"abc def " * 80)]
+    y, weight = np.array([0.0, 1.0, 1.0, 0.0]), np.array([0.5, 2.0, 1.0, 1.5])
+    _, grads = quality.loss_gradients(net, cut, y, weight)
+    for part, grad in zip(net._parts(), grads, strict=True):
+        flat = part.reshape(-1)
+        for i in [*np.argsort(-np.abs(grad.reshape(-1)))[:6].tolist(), *rng.integers(0, len(flat), 6).tolist()]:
+            kept, step = flat[i], 1e-6
+            flat[i] = kept + step
+            up = quality.loss_gradients(net, cut, y, weight)[0]
+            flat[i] = kept - step
+            down = quality.loss_gradients(net, cut, y, weight)[0]
+            flat[i] = kept
+            assert abs((up - down) / (2 * step) - grad.reshape(-1)[i]) < 1e-4
+
+
+def test_letters():
+    assert [langid.has_letter(t) for t in (None, "", " 12 ", "\u00b2\u00bd\u2167", "\u2167a", "\u65e5", "\u02b0", "1st", "\U0001d7d8")] == [False, False, False, False, True, True, True, True, False]
+
+
+def test_all_labels_are_learned(spark):
+    """However many there are: each from at least a row, none left out."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{letters[i % 26]}{letters[i // 26]} " * 40, f"lang{i:03d}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.train(docs, most_rows=200, epochs=1).languages) == 300
+
+
 def test_language_pieces(spark, sf_dir, monkeypatch):
     texts = ["", "x", LONG[:5000], "das ist ein Text", LONG[:777]]
     rng = np.random.default_rng(8)
