@@ -130,8 +130,12 @@ def question_parts(question: Column | str) -> Column:
 
 
 def unique_lines(lines: Column | str, limit: Column | int) -> Column:
-    """Non-empty lines whose lower-cased text no earlier one has, the first `limit`."""
-    kept = let(F.filter(as_column(lines), lambda x: x != ""), lambda a: let(F.transform(a, F.lower), lambda lows: F.filter(a, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)))
+    """Non-empty lines whose lower-cased text no earlier one has, the first `limit`: sorted by text, the first of equal ones kept, sorted back."""
+    said = F.filter(as_column(lines), lambda x: x != "")
+    keyed = F.array_sort(F.transform(said, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
+    before = lambda s: F.concat(F.array(F.lit(None).cast("string")), F.transform(s, lambda e: e["low"]))
+    first = let(keyed, lambda s: F.filter(F.zip_with(s, before(s), lambda e, low: F.when(e.isNotNull() & ~e["low"].eqNullSafe(low), F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e.isNotNull()))
+    kept = F.transform(F.array_sort(first), lambda e: e["x"])
     return F.slice(kept, F.lit(1), limit if isinstance(limit, Column) else F.lit(limit))
 
 

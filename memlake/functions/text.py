@@ -1,7 +1,8 @@
-"""Text functions as Column expressions: normalisers, entities, references, summaries, token sets. No UDFs."""
+"""Text functions as Column expressions: normalisers, entities, references, summaries, token sets. Two are pandas UDFs: first_json_object and fuzzy_similarity."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import reduce
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_DECODER = json.JSONDecoder()
+
 # Word lists that results depend on, one for each normaliser.
 ENTITY_STOPWORDS = "the a an of in on for and or to by at from with without into over under after before".split()
 KEYWORD_STOPWORDS = "the a an is are was were be to of and or in on for with this that it we i you they he she as at by from our your their his her".split()
@@ -254,14 +257,22 @@ def surface_text(speaker: Column | str, text: Column | str, caption: Column | st
     return F.when(image == "", first).otherwise(F.concat(first, F.lit("\nImage: "), image))
 
 
+def _first_object(text: str | None) -> str | None:
+    """From each brace in turn one pass of a parser, which stops at the object's own end or at the first fault."""
+    at = (text or "").find("{")
+    while at >= 0:
+        try:
+            _, end = _DECODER.raw_decode(text, at)
+        except ValueError:
+            at = text.find("{", at + 1)
+        else:
+            return text[at:end]
+    return None
+
+
 def first_json_object(c: Column | str) -> Column:
-    """The first JSON object that a text holds, from the first brace at which one parses, as text; else null."""
-    text = as_column(c)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text))), lambda i: F.substring(text, i, F.lit(1)) == "{")
-    tails = F.transform(starts, lambda i: F.substring(text, i, F.length(text)))
-    ends = lambda tail: F.reverse(F.filter(F.sequence(F.lit(1), F.length(tail)), lambda j: F.substring(tail, j, F.lit(1)) == "}"))
-    whole = lambda tail: F.get(F.filter(F.transform(ends(tail), lambda j: F.substring(tail, F.lit(1), j)), lambda x: F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT")), F.lit(0))
-    return F.when(text.contains("{"), F.get(F.filter(F.transform(tails, whole), lambda x: x.isNotNull()), F.lit(0)))
+    """The first JSON object that a text holds, from the first brace at which one parses, as text; else null. In Python, by Arrow batches: no built-in function tells where an object ends."""
+    return F.pandas_udf(lambda texts: texts.map(_first_object), "string")(as_column(c))
 
 
 def fuzzy_similarity():

@@ -19,7 +19,7 @@ def chains(rows: DataFrame, key: str, previous: str) -> DataFrame:
     at = keys.join(known, "p", "left").select("k", F.when(F.col("there").isNotNull(), F.col("p")).alias("p"))
     # to: the farthest row seen so far; done where it is the root.
     at = written(at.select("k", F.coalesce("p", "k").alias("to"), F.when(F.col("p").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.col("p").isNull().alias("done")), "chains")
-    limit = 64
+    limit = at.count().bit_length() + 1
     while not at.where("not done").isEmpty():
         limit -= 1
         if limit == 0:

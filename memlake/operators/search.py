@@ -77,8 +77,8 @@ def searchable_events(events: DataFrame, embed: Embed | None = None, metadata_te
     return rows.withColumn("embedding", embed(F.col("surface"))) if embed else rows
 
 
-def rank_events(events: DataFrame, questions: DataFrame, selected: DataFrame | None = None) -> DataFrame:
-    """All of searchable_events() scored for each question, and their day.
+def rank_events(events: DataFrame, questions: DataFrame, selected: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """All of searchable_events(), or those of pairs (qid, event_id), scored for each question, and their day.
 
     The questions that chose an event are gathered by event and joined to the events before these meet the questions, so the
     product of both is never shuffled.
@@ -86,7 +86,7 @@ def rank_events(events: DataFrame, questions: DataFrame, selected: DataFrame | N
     if selected is not None:
         choosers = selected.groupBy("event_id").agg(F.collect_set("qid").alias("chosen_by"))  # of a bounded set of questions
         events = events.join(choosers, "event_id", "left")
-    both = _meet(events, questions)
+    both = _meet(events, questions) if pairs is None else pairs.join(events, "event_id").join(questions, "qid")
     score = 0.55 * T.term_overlap(F.col("terms"), F.col("event_terms")) + temporal_score(F.col("hints"), F.col("anchor")) + F.when(F.array_contains("entities", F.lower(T.strip("speaker"))), 0.22).otherwise(0.0)
     if "embedding" in events.columns:
         score = score + 0.9 * cosine("q_embedding", "embedding")

@@ -29,5 +29,5 @@ def sliding(df: DataFrame, time: str, width: str, step: str, by: list[str], *agg
 
 
 def sessions(df: DataFrame, time: str, gap: str, by: list[str], *aggregates: Column, late: str | None = None) -> DataFrame:
-    """The same for sessions: a key's rows of which each is less than `gap` after the one before. window_end is the last row's time and the gap."""
+    """The same for sessions: a key's rows of which each is at most `gap` after the one before. window_end is the last row's time and the gap."""
     return _flat(_late(df, time, late).groupBy(*by, F.session_window(time, gap).alias("_w")).agg(*aggregates), by)

@@ -8,7 +8,7 @@ from memlake.functions import answers as A
 from memlake.functions import temporal as TM
 from memlake.functions import text as T
 from memlake.functions.vectors import batched_embedding
-from memlake.operators import edges, lineage, lookups, reconcile, search, sketches, temporal_joins, time_windows
+from memlake.operators import edges, lineage, lookups, reconcile, retrieval, search, sketches, snapshots, temporal_joins, time_windows
 from memlake.plans import oracle as O
 from memlake.plans.catalogue import _QUESTIONS, _TOK, _searched, acts, atom_rows, cand, entity_rows, ev, joined, query, read, session_rows, state
 from memlake.sources.turns import conversation_turns
@@ -57,6 +57,19 @@ def interval_purchase_windows(spark, sf_dir):
     return met.groupBy("event_id").agg(F.count("*").alias("windows"), F.max("purchase_id").alias("newest"))
 
 
+# ---------------------------------------------------------------- pruned ranking
+
+
+@query(O.q(f"{O.SESSIONS}, {O.ENTITIES}, {O.questions(_QUESTIONS)}, {O.TOP6}, {O.RANKED}", "SELECT qid, event_id, day, score, rank FROM spans", True))
+def pruned_event_rank(spark, sf_dir):
+    """hybrid_event_rank without scoring all events for all questions."""
+    q, top, events = _searched(spark, sf_dir)
+    e, o, _, l = state(spark, sf_dir)
+    chosen = search.select_events(top, snapshots.entity_events(e, l, o))
+    spans, _ = retrieval.ranked_spans(retrieval.index_events(events), q, chosen)
+    return spans.select("qid", "event_id", "day", "score", F.col("rank").cast("long").alias("rank"))
+
+
 # ---------------------------------------------------------------- event-time windows
 
 _FLAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -80,7 +93,7 @@ def sliding_windows(spark, sf_dir):
     return _stamped(time_windows.sliding(read(spark, sf_dir, "events"), "ts", "1 hour", "30 minutes", ["event_type"], F.count("*").alias("n"), F.max("value").alias("most")))
 
 
-@query(f"WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o) SELECT user_id, {_sql_stamp('min(ts)')} AS window_start, {_sql_stamp('max(ts) + INTERVAL 12 HOURS')} AS window_end, count(*) AS n FROM g GROUP BY user_id, s")
+@query(f"WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOURS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o) SELECT user_id, {_sql_stamp('min(ts)')} AS window_start, {_sql_stamp('max(ts) + INTERVAL 12 HOURS')} AS window_end, count(*) AS n FROM g GROUP BY user_id, s")
 def session_windows(spark, sf_dir):
     return _stamped(time_windows.sessions(read(spark, sf_dir, "events"), "ts", "12 hours", ["user_id"], F.count("*").alias("n")))
 
