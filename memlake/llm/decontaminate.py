@@ -35,21 +35,22 @@ BLOCK = 8
 @dataclass(frozen=True)
 class Settings:
     rank: int = 64
-    #: Least cosine of a passage and an item's window; less, by the root, for an item of fewer words than a passage.
-    cosine: float = 0.7
+    #: Least cosine of a passage and an item's window; less, by the root, for an item of fewer words than a passage. A passage that holds the share s of a
+    #: window's words has a cosine of about its root, and less where it lies up to two words beside the window: 0.68 for s = 0.6.
+    cosine: float = 0.55
     #: Least share of a passage's words (of the item's, where it is shorter) that are the item's words.
-    own: float = 0.4
+    own: float = 0.3
     #: Share of an item's words that must be found in order, or piece by piece, around a passage.
     subsequence: float = 0.5
     #: Words that must be found so in any case, or all of an item with fewer.
     words: int = 8
-    #: Share of the answer's words that the text must hold.
-    answer: float = 0.5
+    #: Share of the answer's words that the text must hold. Answers are a few words, of which a copy with 40 % of its words replaced seldom keeps half.
+    answer: float = 0.3
     #: Items searched for in one pass over the corpus, fewer where they are long or the vocabulary is large; results don't depend on it.
     items: int = 500
 
 
-#: Most distinct words of a benchmark: the driver holds a row of the space's rank for each, 150 MB at this bound.
+#: Most distinct words of the items that share a space: the driver holds a row of the space's rank for each, 150 MB at this bound.
 MOST_TERMS = 250_000
 
 
@@ -379,23 +380,43 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """(key, item_id, overlap, cosine): a row for each document and each benchmark item that it holds; clean documents have none.
 
     Items without words (null or empty texts) are held by nothing, and an item of fewer words than a passage is sought
-    whole; of items that are alike in number and text one is sought. Null and empty documents are clean; documents with a
-    null key are reported under a null key; repeated rows each give their rows; an empty table or benchmark gives none; other
-    columns aren't read. The benchmark, of at most MOST_TERMS distinct words, is read to the driver; its items are searched for
-    in blocks of `items`, one pass over the tokenised corpus each. The corpus is never collected.
+    whole; of items that are alike in number and text one is sought. Null and empty documents are clean; documents of any length are
+    searched whole, in slices of bounded size; documents with a null key are reported under a null key; repeated rows each give
+    their rows; an empty table or benchmark gives none; other columns aren't read.
+
+    The benchmark streams through the driver in the order of its items. Items share a vocabulary and a space as long as they have at
+    most MOST_TERMS distinct words; those that follow are the next part, which has its own (an item of more words alone is a part by itself). A part's
+    items are searched for in blocks of `items`, one pass over the tokenised corpus each. The corpus is never collected.
     """
-    spark, found, schema = df.sparkSession, [], f"k {df.schema[key].dataType.simpleString()}, item_id long, overlap double, cosine double"
+    schema = f"k {df.schema[key].dataType.simpleString()}, item_id long, overlap double, cosine double"
     listed = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
-    split = [(r["i"], words(r["t"])) for r in listed.orderBy("i", "t").collect()]
+    found = [hits for part in _parts(listed) for hits in _found(df, part, key, text, settings)]
+    return (reduce(DataFrame.union, found) if found else df.sparkSession.createDataFrame([], schema)).withColumnRenamed("k", key)
+
+
+def _parts(listed: DataFrame, most: int | None = None):
+    """Runs of items (number, words) with at most `most` distinct words, MOST_TERMS by default, from rows that are streamed partition by partition."""
+    part, held = [], set()
+    for r in listed.orderBy("i", "t").toLocalIterator():
+        split = words(r["t"])
+        if not split:
+            continue
+        if part and len(held) + len(set(split) - held) > (most or MOST_TERMS):
+            yield part
+            part, held = [], set()
+        part.append((r["i"], split))
+        held.update(split)
+    if part:
+        yield part
+
+
+def _found(df: DataFrame, split: list[tuple[int, list[str]]], key: str, text: str, settings: Settings) -> list[DataFrame]:
+    """What contaminated() gives of the items of one part, a table for each pass."""
     vocabulary = {w: n + 1 for n, w in enumerate(sorted({w for _, ws in split for w in ws}))}
-    if len(vocabulary) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} distinct words in the benchmark; pass it in parts")
-    items = [(i, [vocabulary[w] for w in ws]) for i, ws in split if ws]
-    if not items:
-        return spark.createDataFrame([], schema).withColumnRenamed("k", key)
+    items = [(i, [vocabulary[w] for w in ws]) for i, ws in split]
     tokens, counts, blocks = tokenise(df, vocabulary, key, text)
     latent = latent_space(tokens, counts, blocks, settings.rank)
-    for part in _passes(items, min(settings.items, max(1, (1 << 24) // len(vocabulary)))):
-        found.append(written(search(tokens, part, latent, settings), "hits"))
+    passes = _passes(items, min(settings.items, max(1, (1 << 24) // len(vocabulary))))
+    found = [written(search(tokens, part, latent, settings), "hits") for part in passes]
     drop_written(tokens)
-    return reduce(DataFrame.union, found).withColumnRenamed("k", key)
+    return found

@@ -383,6 +383,19 @@ def test_decontamination_of_paraphrases(spark):
             assert np.mean([(d, i) in found for d, (n, i) in want.items() if n == name]) >= 0.9, name
 
 
+def test_a_benchmark_in_parts(spark, monkeypatch):
+    """Items with more distinct words than one space may hold are taken in parts, whose sizes are bounded; nothing is left out."""
+    rng = np.random.default_rng(14)
+    vocabulary = [f"word{i}" for i in range(900)]
+    items = [(i, " ".join(rng.choice(vocabulary, 24))) for i in range(30)] + [(40, None), (41, " . ")]
+    docs = [(i, " ".join([*rng.choice(vocabulary, 40), items[i % 30][1] if i < 30 else "plain", *rng.choice(vocabulary, 40)])) for i in range(60)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    parts = list(decontaminate._parts(b.selectExpr("item_id i", "text t").where("t is not null"), 100))
+    assert len(parts) > 4 and all(len({w for _, ws in p for w in ws}) <= 100 for p in parts) and sum(map(len, parts)) == 30
+    monkeypatch.setattr(decontaminate, "MOST_TERMS", 100)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()} >= {(i, i) for i in range(30)}
+
+
 def test_words():
     rng = np.random.default_rng(41)
     for top in (128, 256, 700, 70_000):

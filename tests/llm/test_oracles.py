@@ -32,3 +32,15 @@ def test_contract_without_the_subpackage(tmp_path):
     shutil.copytree(f"{ROOT}/memlake", tmp_path / "memlake", ignore=shutil.ignore_patterns("llm"))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
     assert run(tmp_path)[1:] == ["0", "False", "True"]
+
+
+def test_the_rest_runs_without_both_folders(tmp_path):
+    """A copy without the subpackage, its tests and the pipeline collects all other tests and passes some of them."""
+    for name in ("memlake", "tests"):
+        shutil.copytree(f"{ROOT}/{name}", tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    env = os.environ | {"PYTHONPATH": str(tmp_path)}
+    run = lambda *args: subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "-p", "no:cacheprovider", *args], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert run("--collect-only").returncode == 0
+    done = run("-k", "test_text_functions or test_manifests or evidence_links")
+    assert done.returncode == 0 and "3 passed" in done.stdout, done.stdout[-2000:]
