@@ -141,7 +141,8 @@ def spans_by_path(df: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule
     """(path, blob, found) of every row after the ledger is brought up to date; found is empty without secrets.
 
     A null text counts as empty; null paths are kept; repeated rows each give a row; an empty table gives none;
-    other columns aren't read. Copies of one blob, however many, are scanned once and joined by Spark's
+    other columns, whatever their names, aren't read; texts of any length are scanned whole. Spans that begin at one place
+    stand in the order of the rules. Copies of one blob, however many, are scanned once and joined by Spark's
     splittable equi-join to the blobs that have findings.
     """
     ledger = ledger or Ledger(df.sparkSession)

@@ -86,7 +86,8 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: in
 
     Equal fingerprints, so all texts without words too, are one class and link as any other. A null text
     counts as empty; rows with a null key join classes but name none (a class of null keys alone has a null
-    component_id); repeated rows each give a row; an empty table gives none; other columns aren't read.
+    component_id); repeated rows each give a row; an empty table gives none; other columns, whatever their names, aren't read.
+    Texts of any length are hashed whole, one at a time, in slices of bounded size.
     """
     docs = written(fingerprints(df, key, text, words).withColumnRenamed(key, "k"), "fingerprints")
     classes = written(docs.groupBy("fp").agg(F.min("k").alias("least")), "classes")
