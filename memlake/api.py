@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from memlake.operators import lookups, search
+from memlake.functions import sql
+from memlake.operators import evaluate, lookups, search
 from memlake.sources.store import Store
 from memlake.sources.turns import read_conversations
 
@@ -38,6 +39,27 @@ class MemoryService:
     def report(self) -> tuple[DataFrame, DataFrame]:
         return self.store.report()
 
+    def write_report(self, path: str) -> None:
+        """The last append's counters and what it touched, as JSON files under path."""
+        for name, df in zip(("counters", "touched"), self.report(), strict=True):
+            evaluate.write_report(df, f"{path.rstrip('/')}/{name}")
+
+    def approximate(self) -> DataFrame:
+        """Estimates from the batches' sketches, without reading events."""
+        return self.store.approximate()
+
+    def compact(self) -> list[str]:
+        return self.store.compact()
+
+    def register_sql(self) -> list[str]:
+        """Functions, views and table functions for spark.sql()."""
+        return [*sql.register(self.spark), *sql.register_store(self.store)]
+
+    def events(self, corpus_id: str, session_id: str, limit: int | None = None) -> DataFrame:
+        """A session's events in order; of compacted parts one partition is opened."""
+        rows = self.store.point("events", corpus_id=corpus_id, session_id=session_id).orderBy("turn_index")
+        return rows if limit is None else rows.limit(limit)
+
     def _tables(self) -> dict[str, DataFrame]:
         return {"snapshots": self.store.snapshots(), "events": self.store.table("events"), "objects": self.store.objects(), "versions": self.store.versions(), "links": self.store.links()}
 
@@ -51,8 +73,9 @@ class MemoryService:
         """(qid, question, view, text): what a model that answers is given."""
         return search.answer_views(self._asked(questions), self.search(questions, spans))
 
-    def root(self, corpus_id: str) -> DataFrame:
-        return lookups.snapshot(self.store.snapshots(), corpus_id, "root", corpus_id)
+    def root(self, corpus_id: str, full_root: bool = True) -> DataFrame:
+        """The corpus in one row: of all that is stored, or of what the last append touched."""
+        return lookups.snapshot(self.store.root(full_root), corpus_id, "root", corpus_id)
 
     def session(self, corpus_id: str, session_id: str) -> DataFrame:
         return lookups.snapshot(self.store.snapshots(), corpus_id, "session", session_id)

@@ -48,6 +48,11 @@ def ingest_report(events: DataFrame, atoms: DataFrame, actions: DataFrame, links
     return out.union(actions.groupBy(F.concat(F.lit("action_"), "action").alias("metric")).agg(F.count("*").alias("value")))
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A report's rows as one JSON-lines file under path; reports have a row for each metric."""
+    report.coalesce(1).write.mode("errorifexists").json(path)
+
+
 def touched(events: DataFrame, actions: DataFrame) -> DataFrame:
     """(kind, name): the sessions and subjects that an append touched."""
     return events.select(F.lit("session").alias("kind"), F.col("session_id").alias("name")).union(actions.select(F.lit("subject"), "subject")).distinct()

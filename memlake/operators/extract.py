@@ -9,6 +9,8 @@ from memlake.functions import text as T
 from memlake.functions.ids import stable_id
 from memlake.functions.temporal import temporal_grounding
 
+#: References of one text that may enter a snapshot's.
+LINE_REFS = 18
 SINGLETON_SLOTS = ("location", "employer", "occupation", "relationship_status", "home_city")
 
 
@@ -23,14 +25,14 @@ def assign_turn_index(turns: DataFrame, last: DataFrame | None = None) -> DataFr
 
 
 def events(turns: DataFrame, last: DataFrame | None = None) -> DataFrame:
-    """An event for each turn: ids, references, grounding. Turns that have a turn_index keep it."""
+    """An event for each turn: ids, references, grounding, and line_refs, the references of its line in a snapshot. Turns that have a turn_index keep it."""
     caption = F.get_json_object("metadata", "$.blip_caption")
     numbered = turns if "turn_index" in turns.columns else assign_turn_index(turns, last)
     rows = numbered.withColumns({"caption": T.strip(F.coalesce(caption, F.lit(""))), "surface": T.surface_text("speaker", "text", caption)})
     parts = ("corpus_id", "session_id", "turn_index", "speaker", "text")
     rows = rows.withColumns({"semantic_refs": T.semantic_references("surface"), "text_entities": T.extract_entities("text"), "temporal_grounding": temporal_grounding("surface", "timestamp")})
     refs = F.concat("text_entities", "semantic_refs")
-    return rows.withColumns({"event_id": stable_id("evt", *parts), "raw_span_id": stable_id("raw", *parts), "entity_refs": F.slice(F.array_distinct(refs), 1, 12), "canonical_entity_refs": T.canonicalize_entities(refs)})
+    return rows.withColumns({"event_id": stable_id("evt", *parts), "raw_span_id": stable_id("raw", *parts), "entity_refs": F.slice(F.array_distinct(refs), 1, 12), "canonical_entity_refs": T.canonicalize_entities(refs), "line_refs": T.memory_references(F.array(F.concat_ws(": ", "speaker", "text")), LINE_REFS)})
 
 
 # Families of atoms, their confidence and markers.

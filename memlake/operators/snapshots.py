@@ -12,9 +12,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from memlake.functions import text as T
 from memlake.functions.ids import stable_id
+from memlake.operators.extract import LINE_REFS
 
 SUMMARY, SYNOPSIS, REFS = 760, 180, 16
 
@@ -30,10 +32,11 @@ def _gather(df: DataFrame, by: list[str], order: list[str], value: str, name: st
 
 
 def _merged_refs(texts: list[tuple[DataFrame, list[str], str]], by: list[str], limit: int = REFS, name: str = "entity_refs") -> DataFrame:
-    """(by, name): the first `limit` distinct references of the tables (rows, order, text) of texts, one table after another, each in its order."""
+    """(by, name): the first `limit` distinct references of the tables (rows, order, text) of texts, one table after another, each in its order; text may be an array of references."""
     found = []
     for part, (rows, order, text) in enumerate(texts):
-        each = rows.select(*by, F.struct(F.lit(0).alias("_"), *order).alias("at"), F.posexplode(T.memory_references(F.array(text), 18)).alias("pos", "ref"))
+        refs = F.col(text) if isinstance(rows.schema[text].dataType, ArrayType) else T.memory_references(F.array(text), LINE_REFS)
+        each = rows.select(*by, F.struct(F.lit(0).alias("_"), *order).alias("at"), F.posexplode(refs).alias("pos", "ref"))
         first = each.groupBy(*by, "ref").agg(F.min(F.struct("at", "pos")).alias("at"))
         found.append(first.withColumn("part", F.lit(part)))
     # A part's places are its own; all parts' first references are ranked within the part, then across parts.
@@ -70,7 +73,7 @@ def session_snapshots(events: DataFrame, objects: DataFrame, versions: DataFrame
     counts = held.groupBy(*by).agg(F.count("*").alias("num_objects"))
     said = events.withColumn("line", F.concat_ws(": ", "speaker", "text"))
     lines = _gather(_top(said, by, ["turn_index"], SUMMARY), by, ["turn_index"], "line", "lines")
-    refs = _merged_refs([(on, order, "summary"), (said, ["turn_index"], "line")], by)
+    refs = _merged_refs([(on, order, "summary"), (said, ["turn_index"], "line_refs")], by)
     tail = _top(said, by, [F.col("turn_index").desc()], 24)
     ends = tail.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("turn_index", "event_id", "raw_span_id"))).alias("tail"))
     dated = events.groupBy(*by).agg(F.count("*").alias("num_events"), F.min_by("timestamp", F.when(F.col("timestamp").isNotNull(), F.col("turn_index"))).alias("t0"), F.max_by("timestamp", F.when(F.col("timestamp").isNotNull(), F.col("turn_index"))).alias("t1"))
@@ -94,7 +97,7 @@ def entity_events(events: DataFrame, links: DataFrame, objects: DataFrame, limit
     by_link = links.join(objects.select("object_id", "subject"), "object_id").select("corpus_id", "event_id", "subject")
     by_ref = events.select("corpus_id", "event_id", F.explode("canonical_entity_refs").alias("subject")).join(subjects, ["corpus_id", "subject"], "left_semi").select("corpus_id", "event_id", "subject")
     pairs = by_link.union(by_ref).distinct()
-    slim = events.select("event_id", "session_id", "turn_index", "speaker", "text", "timestamp", "raw_span_id")
+    slim = events.select("event_id", "session_id", "turn_index", "speaker", "text", "timestamp", "raw_span_id", "line_refs")
     return _top(pairs.join(slim, "event_id"), ["corpus_id", "subject"], ["session_id", F.col("turn_index").desc(), "event_id"], limit).withColumnRenamed("_n", "rank")
 
 
@@ -106,7 +109,7 @@ def entity_snapshots(events: DataFrame, objects: DataFrame, versions: DataFrame,
     ids = _gather(_top(objects, by, ["slot", "object_id"], 32), by, ["slot", "object_id"], "object_id", "object_ids")
     counts = objects.groupBy(*by).agg(F.count("*").alias("num_objects"))
     recent = entity_events(events, links, objects).withColumns({"line": F.concat_ws(": ", "speaker", "text"), "_last": -F.col("rank")})
-    refs = _merged_refs([(counts, [], "subject"), (held, order, "summary"), (recent, ["_last"], "line")], by)
+    refs = _merged_refs([(counts, [], "subject"), (held, order, "summary"), (recent, ["_last"], "line_refs")], by)
     # Twelve at most; reversed: the last by rank comes first.
     recent = recent.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("_last").alias("r"), "event_id", "raw_span_id", "line", "timestamp"))).alias("recent"))
     rows = counts.join(ids, by).join(active, by, "left").join(recent, by, "left").join(refs, by, "left")

@@ -14,7 +14,7 @@ session or object, sorted, with Bloom filters on ids, so that point reads open f
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,8 +72,11 @@ class Store:
         df = df.drop("_bucket")
         return df.where(F.col("batch") >= since) if since else df
 
-    def commit(self, batch: int | None, make: Callable[[Manifest, int], dict[str, DataFrame]]) -> bool:
-        """Write what make(manifest, commit) gives and make it visible; made again where another writer came first. False if the batch is in already."""
+    def commit(self, batch: int | None, make: Callable[[Manifest], Generator]) -> bool:
+        """Write the tables that make(manifest) yields as (name, rows) and make them visible; made again where another writer came first. False if the batch is in already.
+
+        make is sent each table as it was written, so that the next one is derived from a scan and nothing is computed twice.
+        """
         while True:
             m = self.manifests.read()
             if batch is not None and m.has(batch):
@@ -81,9 +84,14 @@ class Store:
             new, number = m.copy(), m.next_commit
             new.version, new.next_commit = m.version + 1, number + 1
             new.add_batch(batch if batch is not None else (m.batches[-1][1] + 1 if m.batches else 0))
-            parts, kept = [], {}
-            for name, df in make(m, number).items():
+            parts, kept, steps, sent = [], {}, make(m), None
+            while True:
+                try:
+                    name, df = steps.send(sent)
+                except StopIteration:
+                    break
                 part, kept[name] = self._write(df.withColumn("batch", F.lit(number)), name, number)
+                sent = kept[name].drop("batch")
                 new.tables.setdefault(name, []).append(part)
                 parts.append(part)
             part, _ = self._write(sketches.of_batch(kept["events"], kept["actions"]).withColumn("batch", F.lit(number)), "sketches", number)
@@ -99,19 +107,22 @@ class Store:
         objects = self.view("objects", at)
         return None if objects is None else objects.select("object_id", F.col("current_value").alias("cur_nv"), "latest_version_id")
 
-    def prepare(self, turns: DataFrame, replies: Callable[[Column], Column] | None = None, at: Manifest | None = None) -> dict[str, DataFrame]:
-        """Events with what searches read of them, and atoms, of turns that follow what is stored: all of an append that needs no state.
+    def _events(self, turns: DataFrame, at: Manifest | None = None) -> DataFrame:
+        """Events, with what searches read of them, of turns that follow what is stored."""
+        held = self.table("events", at=at)
+        return search.searchable_events(extract.events(turns, lookups.next_turn_index(held) if held is not None else None), self.embed)
+
+    def _atoms(self, events: DataFrame, replies: Callable[[Column], Column] | None) -> DataFrame:
+        atoms = extract.atoms(events)
+        return extract.merge_atoms(atoms, extract.model_atoms(events, replies(F.col("surface")))) if replies else atoms
+
+    def prepare(self, turns: DataFrame, replies: Callable[[Column], Column] | None = None) -> dict[str, DataFrame]:
+        """Events and atoms: all of an append that needs no state.
 
         replies: a Column function from a turn's surface text to a model's reply, whose atoms join the heuristic ones.
         """
-        held = self.table("events", at=at)
-        last = lookups.next_turn_index(held) if held is not None else None
-        plain = extract.events(turns, last)
-        events = search.searchable_events(plain, self.embed)
-        atoms = extract.atoms(plain)
-        if replies:
-            atoms = extract.merge_atoms(atoms, extract.model_atoms(plain, replies(F.col("surface"))))
-        return {"events": events, "atoms": atoms}
+        events = self._events(turns)
+        return {"events": events, "atoms": self._atoms(events, replies)}
 
     def save_prepared(self, prepared: dict[str, DataFrame], path: str) -> None:
         """Keep prepared turns, so that an append which fails later doesn't ask the models again."""
@@ -123,21 +134,29 @@ class Store:
 
     def append(self, turns: DataFrame, batch: int | None = None, model=None, replies=None) -> bool:
         """Prepare, reconcile and commit a batch of turns; their order continues after earlier batches. False where the batch is in already."""
-        return self.commit(batch, lambda m, n: self._with_actions(self.prepare(turns, replies, m), m, model))
+
+        def make(m: Manifest) -> Generator:
+            events = yield "events", self._events(turns, m)
+            atoms = yield "atoms", self._atoms(events, replies)
+            yield "actions", self._actions(atoms, m, model)
+
+        return self.commit(batch, make)
 
     def append_prepared(self, prepared: dict[str, DataFrame], batch: int | None = None, model=None) -> bool:
-        def make(m: Manifest, number: int) -> dict[str, DataFrame]:
+        def make(m: Manifest) -> Generator:
             held = self.table("events", at=m)
             if held is not None:
                 first = prepared["events"].groupBy("corpus_id", "session_id").agg(F.min("turn_index").alias("first"))
                 if not first.join(lookups.next_turn_index(held), ["corpus_id", "session_id"], "left").where("first != coalesce(next_index, 0)").isEmpty():
                     raise StaleTurns
-            return self._with_actions(prepared, m, model)
+            yield "events", prepared["events"]
+            atoms = yield "atoms", prepared["atoms"]
+            yield "actions", self._actions(atoms, m, model)
 
         return self.commit(batch, make)
 
-    def _with_actions(self, prepared: dict[str, DataFrame], m: Manifest, model) -> dict[str, DataFrame]:
-        return prepared | {"actions": reconcile.reconcile(extract.candidates(prepared["atoms"]), self.current(m), model)}
+    def _actions(self, atoms: DataFrame, m: Manifest, model) -> DataFrame:
+        return reconcile.reconcile(extract.candidates(atoms), self.current(m), model)
 
     def report(self, batch: int | None = None) -> tuple[DataFrame, DataFrame]:
         """Counters (metric, value) of a commit, the last by default, and the sessions and subjects (kind, name) that it touched."""

@@ -7,12 +7,14 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from memlake.api import MemoryService
+from memlake.functions.vectors import batched_embedding
 from memlake.operators import extract, reconcile, snapshots
 from memlake.sources.manifest import Manifest, Manifests
 from memlake.sources.store import StaleTurns, Store
 from memlake.sources.turns import event_turns
-from memlake.streaming.stateful import append_stateful
 from memlake.streaming import stateful
+from memlake.streaming.stateful import append_stateful
 
 
 def rows(df, *drop):
@@ -165,3 +167,24 @@ def test_one_hot_key_of_versions_is_linear(spark):
     began = time.time()
     got = {r.status: (r.n, r.v) for r in reconcile.versions(acts).groupBy("status").agg(F.count("*").alias("n"), F.count("valid_to").alias("v")).collect()}
     assert got == {"tentative": (n // 5, 0), "superseded": (n * 4 // 5 - 1, n * 4 // 5 - 1), "active": (1, 0)} and time.time() - began < 30
+
+
+def test_service_over_a_store(spark, whole, tmp_path):
+    s = MemoryService(spark, whole.path)
+    session = whole.table("events").first().session_id
+    turns = [r.turn_index for r in s.events("ev", session).collect()]
+    assert turns == sorted(turns) and s.events("ev", session, 2).count() == min(2, len(turns))
+    assert s.root("ev").first().num_events == whole.table("events").count() == s.approximate().first().n
+    assert s.root("ev", full_root=False).first().num_sessions == whole.view("sessions").count()  # one append made all
+    s.write_report(f"{tmp_path}/report")
+    assert {r.metric for r in spark.read.json(f"{tmp_path}/report/counters").collect()} >= {"events_written", "action_ADD"}
+    assert spark.read.json(f"{tmp_path}/report/touched").where("kind = 'session'").count() == whole.view("sessions").count()
+    assert s.compact() == []  # too few parts
+
+
+def test_numbered_embeddings(spark):
+    backwards = batched_embedding(lambda texts: [(i, [float(len(t))]) for i, t in reversed(list(enumerate(texts)))], 3)
+    short = batched_embedding(lambda texts: [[1.0]], 3)
+    df = spark.createDataFrame([(t,) for t in ("a", "bb", "", "ccc", "dddd")], "t string").coalesce(1)
+    got = {r.t: (r.v, r.w) for r in df.select("t", backwards(F.col("t")).alias("v"), short(F.col("t")).alias("w")).collect()}
+    assert got == {t: ([float(len(t))], [1.0]) if t else (None, None) for t in ("a", "bb", "", "ccc", "dddd")}
