@@ -191,7 +191,8 @@ class Store:
             return self._read(parts).drop("_bucket", "_commit")
         former, later = self._read(parts[:1]).drop("_bucket"), self._read(parts[1:]).drop("_bucket")
         later = later.groupBy(*KEYS[name]).agg(F.max_by(F.struct(*later.columns), F.col("_commit")).alias("_row")).select("_row.*")
-        return former.join(later, KEYS[name], "left_anti").unionByName(later, allowMissingColumns=True).drop("_commit")
+        kept = former.join(later, KEYS[name], "left_anti").select(former.columns)
+        return kept.unionByName(later, allowMissingColumns=True).drop("_commit")
 
     def _fold(self, m: Manifest, state_only: bool) -> Manifest:
         """The manifest with views that hold all commits; put as a new version unless another writer was first, who then folds again."""
