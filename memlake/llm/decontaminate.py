@@ -37,9 +37,9 @@ class Settings:
     rank: int = 64
     #: Least cosine of a passage and an item's window; less, by the root, for an item of fewer words than a passage. A passage that holds the share s of a
     #: window's words has a cosine of about its root, and less where it lies up to two words beside the window: 0.68 for s = 0.6.
-    cosine: float = 0.55
+    cosine: float = 0.6
     #: Least share of a passage's words (of the item's, where it is shorter) that are the item's words.
-    own: float = 0.3
+    own: float = 0.4
     #: Share of an item's words that must be found in order, or piece by piece, around a passage.
     subsequence: float = 0.5
     #: Words that must be found so in any case, or all of an item with fewer.
