@@ -10,7 +10,8 @@ from memlake.functions import text as T
 from memlake.functions.vectors import batched_embedding
 from memlake.operators import edges, lineage, lookups, reconcile, retrieval, search, sketches, snapshots, temporal_joins, time_windows
 from memlake.plans import oracle as O
-from memlake.plans.catalogue import _QUESTIONS, _TOK, _searched, acts, atom_rows, cand, entity_rows, ev, joined, query, read, session_rows, state
+from memlake.plans.catalogue import _QUESTIONS, SHARED, _TOK, _searched, acts, atom_rows, cand, entity_rows, ev, joined, query, read, searchable, session_rows, state
+from memlake.sources import scratch
 from memlake.sources.turns import conversation_turns
 
 # ---------------------------------------------------------------- joins in time
@@ -60,13 +61,27 @@ def interval_purchase_windows(spark, sf_dir):
 # ---------------------------------------------------------------- pruned ranking
 
 
+_indexes: dict[tuple, retrieval.EventIndex] = {}
+
+
+def event_index(spark, sf_dir):
+    """The index of the searchable events, made once, and again where its tables are gone."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes or not all(scratch.exists(spark, x) for x in _indexes[key].events.inputFiles()[:1]):
+        _indexes[key] = retrieval.index_events(searchable(spark, sf_dir))
+    return _indexes[key]
+
+
+SHARED["event_index"] = lambda spark, sf_dir: event_index(spark, sf_dir).events
+
+
 @query(O.q(f"{O.SESSIONS}, {O.ENTITIES}, {O.questions(_QUESTIONS)}, {O.TOP6}, {O.RANKED}", "SELECT qid, event_id, day, score, rank FROM spans", True))
 def pruned_event_rank(spark, sf_dir):
     """hybrid_event_rank without scoring all events for all questions."""
-    q, top, events = _searched(spark, sf_dir)
+    q, top, _ = _searched(spark, sf_dir)
     e, o, _, l = state(spark, sf_dir)
     chosen = search.select_events(top, snapshots.entity_events(e, l, o))
-    spans, _ = retrieval.ranked_spans(retrieval.index_events(events), q, chosen)
+    spans, _ = retrieval.ranked_spans(event_index(spark, sf_dir), q, chosen)
     return spans.select("qid", "event_id", "day", "score", F.col("rank").cast("long").alias("rank"))
 
 
