@@ -36,7 +36,7 @@ class Written:
 
 
 #: The rules of the contract.
-RULES = (Written(ALLOW, "com", "/en/"), Written(ALLOW, "example.com", "/en/7"), Written(BLOCK, "net", "/de/"), Written(BLOCK, "example.net", "/de/8"), Written(BLOCK, "org", "/es/"))
+RULES = (Written(BLOCK, "com", "/en/"), Written(ALLOW, "example.com", "/en/7"), Written(ALLOW, "net", "/de/"), Written(BLOCK, "example.net", "/de/8"), Written(BLOCK, "org", "/es/"))
 
 
 def _rest(url: str) -> Column:
