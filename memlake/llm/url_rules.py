@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -102,6 +103,48 @@ def _counted(sets: DataFrame, held: DataFrame, sizes: DataFrame) -> DataFrame:
     return hits.join(hits.groupBy("set").agg(F.sum("hits").alias("n")), "set")
 
 
+def _grown(held: DataFrame, tail: DataFrame, sizes: DataFrame, shares: dict[str, int], floor: int, confidence: float) -> DataFrame:
+    """(set): all sets of classes that hold a class of tail(class) and may be rules of held(row, verdict, items), which are all of held's rows that hold one.
+
+    Level by level, a set is extended by the classes that its rows hold and that follow its last one, tail's first and then the rarer.
+    A set is given up for a verdict only where no set that holds it can be a rule that stays: where too few of its rows have the
+    verdict; where it has as many other rows as it has without one of its classes, which is then no less sure with any class added; or
+    where a part of it is already as sure as rows of that verdict alone would be. So no set that mine() keeps is lost, however wide rows are.
+    """
+    order = sizes.join(tail.withColumn("cut", F.lit(0)), "class", "left").select("class", F.struct(F.coalesce("cut", F.lit(1)).alias("cut"), "n", "class").alias("c"))
+    rows = held.select("row", "verdict", F.explode("items").alias("class")).join(order, "class").groupBy("row", "verdict").agg(F.array_sort(F.collect_list("c")).alias("items"))
+    bags = written(rows.groupBy("items", "verdict").agg(F.count("*").alias("times")).withColumn("bag", F.monotonically_increasing_id()), "bags")
+    first = F.filter("items", lambda x: x["cut"] == 0)
+    at = bags.select("bag", F.explode(F.transform(first, lambda x: F.array(x))).alias("set"))
+    made, before, proposed = [bags], None, []
+    base = F.create_map(*(F.lit(x) for v in (ALLOW, BLOCK) for x in (v, shares.get(v, 0) / sum(shares.values()))))
+    while True:
+        n = at.join(bags, "bag").groupBy("set").agg(*(F.sum(F.when(F.col("verdict") == v, F.col("times")).otherwise(0)).alias(v) for v in (ALLOW, BLOCK)))
+        each = n.select("set", F.explode(F.array(*(F.struct(F.lit(v).alias("verdict"), F.col(v).alias("hits"), F.col(w).alias("other")) for v, w in ((ALLOW, BLOCK), (BLOCK, ALLOW))))).alias("x")).select("set", "x.*").where(F.col("hits") >= floor)
+        each = each.withColumn("best", F.greatest(sureness(F.col("hits"), F.col("hits") + F.col("other")), base[F.col("verdict")]))
+        if before is not None:
+            # The set without each of its classes but the first, which keeps it among the sets of a class of tail.
+            less = F.transform(F.sequence(F.lit(2), F.size("set")), lambda i: F.concat(F.slice("set", F.lit(1), i - 1), F.slice("set", i + 1, F.size("set"))))
+            parts = each.select("verdict", F.col("set").alias("whole"), F.explode(less).alias("set")).join(before.select("set", "verdict", F.col("other").alias("had"), F.col("best").alias("s")), ["set", "verdict"])
+            parts = parts.groupBy(F.col("whole").alias("set"), "verdict").agg(F.count("*").alias("parts"), F.min("had").alias("had"), F.max("s").alias("s"))
+            each = each.join(parts, ["set", "verdict"]).where((F.col("parts") == F.size("set") - 1) & (F.col("other") < F.col("had")))
+            each = each.select("set", "verdict", "hits", "other", F.greatest("best", "s").alias("best"))
+        each = written(each, "level")
+        made.append(each)
+        proposed.append(each.select("set"))
+        most = sureness(F.col("hits"), F.col("hits"))
+        before = each.where((most > F.col("best")) & (most >= confidence))
+        if before.isEmpty():
+            break
+        alive = at.join(before.select("set").distinct(), "set")
+        more = alive.join(bags.select("bag", "items"), "bag").select("bag", "set", F.explode(F.filter("items", lambda x: x > F.element_at("set", -1))).alias("x"))
+        at = written(more.select("bag", F.concat("set", F.array("x")).alias("set")), "grown")
+        made.append(at)
+    out = written(reduce(DataFrame.union, proposed).select(F.array_sort(F.transform("set", lambda x: x["class"])).alias("set")).distinct(), "proposed")
+    drop_written(*made)
+    return out
+
+
 def sureness(hits: Column, n: Column, z: float = 2.58) -> Column:
     """Lower end of Wilson's interval of the share hits / n; z = 2.58: of 99 %."""
     return (hits / n + z * z / (2 * n) - z * F.sqrt(hits * (n - hits) / n + z * z / 4) / n) / (1 + z * z / n)
@@ -114,9 +157,9 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, l
     which surely (see sureness()) a share of at least `confidence` has the label. Rules no surer than the label's share
     of all rows, and rules of which a proper subset is no less sure of the same label, are pruned: they could decide nothing.
     need holds all tokens of a class; token is the rarest of need. Sets may have any number of tokens. FP-growth lists all
-    combinations that rows hold, which double with each class of a row, so of a row with more than `widest` classes it is
-    given those that lean most to a verdict. That only narrows the combinations it may propose: each class is proposed
-    by itself too, and all that is proposed is counted on all rows and classes. Null or empty token sets hold no rule.
+    combinations that rows hold, which double with each class of a row, so it is given the classes that stand in no row behind
+    the `widest` of the row that lean most to a verdict. All sets that hold one of the other classes are found by _grown(), so
+    `widest` changes no result. All that is proposed is counted on all rows. Null or empty token sets hold no rule.
     """
     spark = labelled.sparkSession
     schema = "rule long, verdict string, need array<string>, token string, sure double, confidence double, hits long"
@@ -130,13 +173,23 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, l
     own = F.array_sort(F.collect_set(F.struct((-F.col("lean")).alias("lean"), (-F.col("n")).alias("n"), "class")))
     held = written(rows.select("row", "verdict", F.explode("items").alias("token")).join(classes, "token").groupBy("row", "verdict").agg(F.transform(own, lambda x: x["class"]).alias("items")), "held")
     label = F.concat(F.lit("label:"), "verdict")
-    baskets = held.select(F.concat(F.slice("items", 1, widest), F.array(label)).alias("items")).union(rows.join(held.select("row"), "row", "left_anti").select(F.array(label)))
+    tail = written(held.where(F.size("items") > widest).select(F.explode(F.slice("items", widest + 1, F.size("items"))).alias("class")).distinct(), "tail")
+    wide, core, grown = not tail.isEmpty(), held, None
+    if wide:
+        own = held.select("row", "verdict", F.explode("items").alias("class")).join(tail, "class", "left_anti")
+        core = held.select("row", "verdict").join(own.groupBy("row").agg(F.collect_list("class").alias("items")), "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    baskets = core.select(F.concat("items", F.array(label)).alias("items")).union(rows.join(held.select("row"), "row", "left_anti").select(F.array(label)))
     baskets = written(baskets, "baskets")
     is_label = lambda x: x.startswith("label:")
     proposed = FPGrowth(itemsCol="items", minSupport=(floor - 0.5) / total, minConfidence=confidence).fit(baskets).associationRules
     proposed = proposed.where(is_label(F.col("consequent")[0]) & ~F.exists("antecedent", is_label)).select(F.array_sort("antecedent").alias("set"))
     sizes = classes.select("class", "n").distinct()
-    counted = _counted(proposed.union(sizes.select(F.array("class"))).distinct(), held, sizes)
+    proposed = proposed.union(sizes.select(F.array("class")))
+    if wide:
+        holds = held.select("row", F.explode("items").alias("class")).join(tail, "class").select("row").distinct()
+        grown = _grown(held.join(holds, "row"), tail, sizes, shares, floor, confidence)
+        proposed = proposed.union(grown)
+    counted = _counted(proposed.distinct(), held, sizes)
     found = counted.where(F.col("hits") >= floor).select("verdict", "set", (F.col("hits") / F.col("n")).alias("confidence"), "hits", sureness(F.col("hits"), F.col("n")).alias("sure"))
     base = F.create_map(*(F.lit(x) for v, n in sorted(shares.items()) for x in (v, n / total)))
     found = found.where((F.col("sure") >= confidence) & (F.col("sure") > base[F.col("verdict")]))
@@ -148,7 +201,7 @@ def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, l
     kept = found.join(covered.select("rule").distinct(), "rule", "left_anti")
     named = kept.select("rule", F.explode("set").alias("class")).join(classes, "class").groupBy("rule").agg(F.array_sort(F.collect_list("token")).alias("need"), F.min_by("token", F.struct("n", "token")).alias("token"))
     out = written(kept.join(named, "rule").select("rule", "verdict", "need", "token", "sure", "confidence", "hits"), "mined")
-    drop_written(rows, classes, held, baskets, found)
+    drop_written(rows, classes, held, baskets, found, tail, *([grown] if wide else []))
     return out
 
 

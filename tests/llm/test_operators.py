@@ -668,6 +668,29 @@ def test_mined_rules_against_counting(spark):
         assert decided.get(frozenset(held)) == (max(fit)[2] if fit else None)
 
 
+def test_mined_rules_of_wide_rows(spark):
+    """Tokens that tell nothing apart and all together, behind many that lean more: no set of them is missed, however few FP-growth is given."""
+    rng, rows = np.random.default_rng(5), []
+    for i in range(1600):
+        p, q, bad = bool(i & 1), bool(i & 2), (i & 3) in (0, 3)
+        lean = [f"lean{j:02d}" for j in range(3) if rng.random() < (0.9 if bad else 0.75)]
+        rows.append((["p"] * p + ["np"] * (not p) + ["q"] * q + ["nq"] * (not q) + lean, "block" if bad else "allow"))
+    labelled = spark.createDataFrame(rows, "items array<string>, verdict string")
+    got = {(r.verdict, frozenset(r.need)): r.hits for r in url_rules.mine(labelled, widest=3).collect()}
+    pairs = {("block", frozenset({"p", "q"})): 400, ("block", frozenset({"np", "nq"})): 400, ("allow", frozenset({"p", "nq"})): 400, ("allow", frozenset({"np", "q"})): 400}
+    assert pairs.items() <= got.items()
+    names, small = "abcde", []
+    for _ in range(500):
+        held = [x for x, p in zip(names, (0.5, 0.4, 0.5, 0.6, 0.7), strict=True) if rng.random() < p]
+        bad = rng.random() < (0.95 if {"a", "b", "e"} <= set(held) else 0.03 if {"c", "d"} <= set(held) else 0.45)
+        small.append((held + (["g"] if "a" in held or rng.random() < 0.3 else []), "block" if bad else "allow"))
+    df = spark.createDataFrame(small, "items array<string>, verdict string")
+    mined = lambda n: {(r.verdict, tuple(r.need), round(r.sure, 9), r.hits, r.token) for r in url_rules.mine(df, widest=n).collect()}
+    whole = mined(99)
+    assert any(len(need) > 1 for _, need, *_ in whole)
+    assert mined(2) == whole
+
+
 def test_long_urls(spark):
     long = "http://h.example.io/" + "/".join(f"seg{i}x" for i in range(200))
     rows = [(i, f"{long}/{i}" if i < 60 else f"http://k.example.io/p/{i}?{'&'.join(f'f{j}=1' for j in range(i % 40))}") for i in range(120)]
