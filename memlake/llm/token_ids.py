@@ -14,7 +14,7 @@ import struct
 import zlib
 from bisect import bisect_left
 from functools import lru_cache
-from itertools import islice, pairwise
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -137,6 +137,8 @@ class WordEncoder:
 
     #: Pieces kept in a worker; at the bound the later half goes, since the commonest pieces come early.
     CACHE = 800_000
+    #: Pieces encoded at once, which bounds the library's own objects for them.
+    AT_ONCE = 4096
     #: The file's pattern of words, with the Latin-1 members of its classes.
     PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
     LETTERS, NUMBERS, SPACES = "a-zA-Zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
@@ -162,7 +164,7 @@ class WordEncoder:
 
     def _reset(self) -> None:
         self.codes: dict[str | None, int] = {}
-        self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.count = np.zeros(0, f"u{self.width}"), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _halve(self) -> None:
         n = len(self.codes) // 2
@@ -189,15 +191,18 @@ class WordEncoder:
         codes = self.codes
         if None not in codes:
             codes[None] = 0
-            self.flat, self.start, self.count = np.array([end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+            self.flat, self.start, self.count = np.array([end], f"u{self.width}"), np.zeros(1, np.int64), np.ones(1, np.int32)
         fresh, base = list({w for w in words if w not in codes}), len(codes)
         if fresh:
             codes.update(zip(fresh, range(base, base + len(fresh)), strict=True))
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))
-            self.start = np.r_[self.start, len(self.flat) + np.cumsum(count) - count]
-            self.count, self.flat = np.r_[self.count, count], np.r_[self.flat, flat]
+            flats, counts = [self.flat], [self.count]
+            for a in range(0, len(fresh), self.AT_ONCE):
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[a : a + self.AT_ONCE], add_special_tokens=False)]
+                counts.append(np.fromiter(map(len, ids), np.int32, len(ids)))
+                flats.append(np.fromiter(chain.from_iterable(ids), f"u{self.width}", int(counts[-1].sum())))
+            self.flat, self.count = np.concatenate(flats), np.concatenate(counts)
+            ends = np.cumsum(self.count[base:], dtype=np.int64) + (self.start[-1] + self.count[base - 1])
+            self.start = np.concatenate([self.start, ends - self.count[base:]])
         at = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
         lens = self.count[at]
         ends = np.cumsum(lens)
@@ -236,7 +241,7 @@ def write_shards(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text:
             return row
 
         for batch in batches:
-            for a, b in byte_slices(batch.column(1)):
+            for a, b in byte_slices(batch.column(1), 1 << 20):  # a slice's words and places take many times its bytes
                 cut = batch.slice(a, b - a)
                 flat, n = encoder.encode([t or "" for t in cut.column(1).to_pylist()], end_id)
                 nulls += cut.column(0).null_count

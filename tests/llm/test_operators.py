@@ -104,6 +104,29 @@ def test_token_ids(odd):
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_ids.read_shards(manifest).collect()), key=lambda r: r[1]) == want
 
 
+def test_token_ids_of_many_new_pieces():
+    """A text of many pieces that were never met gives the library's ids, from few pieces at once."""
+    from tokenizers import Tokenizer
+
+    path, most = P.path("word_bpe_49k.json"), []
+    encoder, library = token_ids.WordEncoder(path), Tokenizer.from_file(path)
+
+    class Counted:
+        def encode_batch_fast(self, pieces, **options):
+            most.append(len(pieces))
+            return library.encode_batch_fast(pieces, **options)
+
+    encoder.tokenizer, letters = Counted(), "abcdefghij"
+    name = lambda i: "".join(letters[int(c)] for c in str(i))
+    texts = [" ".join(map(name, range(a, a + 12_000))) for a in (10_000, 16_000)] + ["", "abc"]
+    want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    for part in ([0, 2], [1, 3], [0, 1, 2, 3]):
+        ids, counts = encoder.encode([texts[i] for i in part], 2)
+        assert ids.tolist() == [x for i in part for x in want[i]] and counts.tolist() == [len(want[i]) for i in part]
+        encoder._halve()
+    assert max(most) <= 5000
+
+
 def test_token_ids_of_one_key(spark):
     """A key of most rows, and a null one, are dealt over tasks, in an order that is the same every time."""
     path, rng = P.path("word_bpe_49k.json"), np.random.default_rng(8)
