@@ -257,7 +257,7 @@ class _Items:
         self.words = np.array([len(x) for x in ids_of])
         self.cosine = (settings.cosine * np.sqrt(np.minimum(1.0, self.words / (2 * BLOCK)))).astype(np.float32)
         self.need = np.maximum(settings.subsequence * self.words, np.minimum(settings.words, self.words))
-        self.own = np.ceil(settings.own * np.minimum(2 * BLOCK, self.words)).astype(int)
+        self.own = np.ceil(settings.own * np.minimum(2 * BLOCK, self.words)).astype(np.uint8)
         distinct = [sorted(set(x)) for x in ids_of]
         #: Of each item and term: the term's place among the item's distinct words, from 1; 0 for others.
         width = 1 + max(map(len, distinct))
@@ -269,6 +269,8 @@ class _Items:
                 self.times[i, self.place[i, x]] += 1
             rare = sorted(words, key=lambda x: (-latent.idf[x], x))
             self.answer[i, self.place[i, rare[: max(1, len(rare) // 3)]]] = True
+        #: Of each term and item: 1 where the term is the item's. A window's sum is at most its words, 2 * BLOCK.
+        self.member = np.ascontiguousarray((self.place > 0).T, np.uint8)
         self.share = lru_cache(maxsize=1 << 16)(self._share)
 
     def candidates(self, vectors: np.ndarray):
@@ -283,17 +285,14 @@ class _Items:
             o, w = np.divmod(np.flatnonzero(best >= self.cosine[:, None]), best.shape[1])
             yield w + a, o, best[o, w]
 
-    def _words(self, p: _Passages, blocks: np.ndarray, o: np.ndarray) -> np.ndarray:
-        at = p.rows[blocks]
-        at += (o * self.place.shape[1])[:, None]
-        return np.count_nonzero(np.take(self.place, at), axis=1)
-
-    def holds_words(self, p: _Passages, w: np.ndarray, o: np.ndarray) -> np.ndarray:
-        """Whether each window holds enough of its item's words."""
-        n = self._words(p, w, o)
-        after = np.flatnonzero(~p.last[w])
-        n[after] += self._words(p, w[after] + 1, o[after])
-        return n >= self.own[o]
+    def enough_words(self, p: _Passages) -> np.ndarray:
+        """Ascending numbers, window * items + item, of the pairs in which a window holds enough of the item's words. They cost less than the cosines, and few windows are in any."""
+        n, found = len(self.own), []
+        step = max(1, (1 << 22) // len(p.begin))
+        for a in range(0, n, step):
+            w, o = np.nonzero(p.project(self.member[:, a : a + step]) >= self.own[a : a + step])
+            found.append(w * n + o + a)
+        return np.sort(np.concatenate(found))
 
     def holds_item(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, o: np.ndarray) -> np.ndarray:
         """Whether each stretch of text holds, in any order, as much of its item and of the item's answer as it must: no less than share() finds."""
@@ -344,11 +343,11 @@ def search(tokens: DataFrame, items: list[tuple[int, list[int]]], latent: Latent
                 starts = (np.cumsum(lens) - lens)[p.docs]
                 ends = starts + lens[p.docs]
                 best: dict[tuple[int, int], tuple[float, float]] = {}
-                # a passage with fewer benchmark words than the least that holds_words() asks for can be no item's candidate
-                some = np.flatnonzero(p.pair(np.count_nonzero(p.rows, axis=1)) >= block.own.min())
+                enough = block.enough_words(p)
+                some = np.unique(enough // len(items))
                 for w, o, s in block.candidates(_unit(p.project(latent.vectors)[some])):
                     w = some[w]
-                    sure = block.holds_words(p, w, o)
+                    sure = np.isin(w * len(items) + o, enough)
                     w, o, s = w[sure], o[sure], s[sure]
                     around = block.words[o] + BLOCK
                     lo, hi = np.maximum(starts[p.doc[w]], p.begin[w] - around), np.minimum(ends[p.doc[w]], p.begin[w] + 2 * BLOCK + around)

@@ -377,6 +377,25 @@ def test_decontamination_against_all_pairs(spark):
     assert {(r.doc_id, r.item_id): r.overlap for r in whole} == {k: o for k, (o, _) in got.items()}
 
 
+def test_windows_with_enough_words():
+    """Only windows that hold enough words of an item meet the cosines: those that counting finds, in long documents too."""
+    rng = np.random.default_rng(12)
+    items = [rng.integers(1, 60, n).tolist() for n in (3, 9, 20, 40, 33)]
+    latent = decontaminate.Latent(np.ones(60, np.float32), rng.standard_normal((60, 4)).astype(np.float32))
+    block = decontaminate._Items(items, latent, decontaminate.Settings())
+    for size in (1, 8, 9, 500, 8_400_000):
+        lens = np.array([size, 0, 37])
+        ids = rng.integers(0, 60, int(lens.sum())).astype(np.uint16)
+        ids[rng.random(len(ids)) < 0.7] = 0
+        p = decontaminate._Passages(ids, lens)
+        got, at = block.enough_words(p), np.arange(len(p.begin))
+        end = np.where(p.last, p.begin + p.size, p.begin + p.size + np.r_[p.size[1:], 0])
+        for o, item in enumerate(items):
+            before = np.r_[0, np.cumsum(np.isin(ids, item))]
+            least = math.ceil(0.4 * min(16, len(item)))
+            assert got[got % 5 == o].tolist() == (at[before[end] - before[p.begin] >= least] * 5 + o).tolist()
+
+
 def test_decontamination_of_paraphrases(spark):
     """Recall of edited copies, and what is free of the corpus's size: the same corpus over and over."""
     rng = np.random.default_rng(16)
