@@ -14,7 +14,7 @@ import struct
 import zlib
 from bisect import bisect_left
 from functools import lru_cache
-from itertools import chain, islice, pairwise
+from itertools import chain, groupby, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -131,18 +131,21 @@ class WordEncoder:
     """The library's ids of whole texts, with each distinct word encoded once.
 
     Valid for a tokenizer that composes (NFC), lower-cases and drops white space: a text's ids are those of its
-    pieces between white space, one after another. A Latin-1 text, which NFC leaves as it is, is lower-cased and cut
-    further, as the tokenizer's own pattern cuts it, so that capitals and punctuation don't multiply the pieces.
+    pieces between white space, one after another. Latin-1 texts, and the Latin-1 words of others, which NFC leaves as they are,
+    are lower-cased and cut further, as the tokenizer's own pattern cuts them, so that capitals and punctuation don't multiply
+    the pieces. They are cut all at once, by the bytes at which the class of a character changes, and their new pieces go to the
+    library's model many in a string: an id that ends a word ends a piece.
     """
 
     #: Pieces kept in a worker; at the bound the later half goes, since the commonest pieces come early.
     CACHE = 800_000
-    #: Pieces encoded at once, which bounds the library's own objects for them.
-    AT_ONCE = 4096
+    #: Pieces encoded at once, which bounds the library's own objects for them, and pieces in one string.
+    AT_ONCE, IN_ONE = 4096, 256
     #: The file's pattern of words, with the Latin-1 members of its classes.
     PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
     LETTERS, NUMBERS, SPACES = "a-zA-Zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
-    LATIN = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}{SPACES}]+")
+    BEYOND = re.compile("[^\x00-\xff]")
+    SPACE, LETTER, NUMBER, OTHER = range(4)
     WHITE = re.compile("[\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
     def __init__(self, path: str):
@@ -150,20 +153,31 @@ class WordEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        steps = [s["type"] for s in spec["normalizer"]["normalizers"]]
-        split = spec["pre_tokenizer"]["pretokenizers"][0]
+        steps, model = [s["type"] for s in spec["normalizer"]["normalizers"]], spec["model"]
+        split, level = spec["pre_tokenizer"]["pretokenizers"]
         if steps != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or split["pattern"]["Regex"] != self.PATTERN or any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"]):
             raise ValueError("not a tokenizer that drops white space")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        suffix = model["end_of_word_suffix"]
+        if level["type"] != "ByteLevel" or level["add_prefix_space"] or level["use_regex"] or not suffix or not all({c, c + suffix} <= model["vocab"].keys() for c in pre_tokenizers.ByteLevel.alphabet()):
+            raise ValueError("not a tokenizer of bytes whose last id of a word shows")
+        self.whole = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer(self.whole.model)  # of pieces: they are composed, lower-cased and cut already
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.whole.get_vocab(with_added_tokens=True)
+        self.width = 2 if len(vocab) <= 1 << 16 else 4
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+        latin = [chr(i) for i in range(256)]
+        self.lower = "".join(latin).lower().encode("latin-1")
+        self.kind = np.array([next((k for k, of in ((self.SPACE, self.SPACES), (self.LETTER, self.LETTERS), (self.NUMBER, self.NUMBERS)) if re.match(f"[{of}]", c)), self.OTHER) for c in latin], np.uint8)
         self._reset()
 
     def _reset(self) -> None:
-        self.codes: dict[str | None, int] = {}
+        self.codes: dict[bytes | str | None, int] = {}  # of pieces in Latin-1, of words of other texts, of the end id
         self.flat, self.start, self.count = np.zeros(0, f"u{self.width}"), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _halve(self) -> None:
@@ -171,43 +185,84 @@ class WordEncoder:
         self.codes = dict(islice(self.codes.items(), n))  # codes count up in the order of entry
         self.flat, self.start, self.count = self.flat[: self.start[n]].copy(), self.start[:n].copy(), self.count[:n].copy()
 
-    def _pieces(self, text: str) -> list[str]:
-        if "<|" not in text:  # added tokens are found before lower-casing
-            try:
-                text.encode("latin-1")
-                return self.LATIN.findall(text.lower())
-            except UnicodeEncodeError:
-                pass
-        return [w for w in self.WHITE.split(text) if w]
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts, each with the end id, and their counts."""
-        if len(self.codes) > self.CACHE:
-            self._halve()
-        words: list[str | None] = []
-        for t in texts:
-            words += self._pieces(t)
-            words.append(None)  # stands for the end id
+    def _other(self, text: str) -> bool:
+        """Whether the whole tokenizer has to see the text: not Latin-1, or with what may be an added token, found before lower-casing."""
+        return self.BEYOND.search(text) is not None or "<|" in text
+
+    def _segments(self, text: str) -> list[bytes | list[str]]:
+        """The text in Latin-1, or else its words in order: runs in Latin-1 as one text, runs of others as they are."""
+        if not self._other(text):
+            return [text.encode("latin-1")]
+        runs = groupby([w for w in self.WHITE.split(text) if w], self._other)
+        return [list(run) if other else " ".join(run).encode("latin-1") for other, run in runs]
+
+    def _cut(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Distinct pieces of Latin-1 texts, each piece's place among them, and the number of pieces up to each text's end."""
+        data = np.frombuffer(b" ".join([*texts, b"  "]).translate(self.lower), np.uint8)
+        kind = self.kind[data]
+        first = kind == self.NUMBER
+        first[0] = True
+        first[1:] |= kind[1:] != kind[:-1]
+        quote = np.flatnonzero(first & (data == ord("'")))
+        one, two = data[quote + 1], data[quote + 2]
+        pair = np.any([(one == ord(a)) & (two == ord(b)) for a, b in ("re", "ve", "ll")], axis=0)
+        short = pair | np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        first[quote[short] + 1] = False
+        first[(quote + 2 + pair)[short]] = True
+        kept = kind != self.SPACE
+        first &= kept
+        offsets = np.append(np.flatnonzero(first[kept]), np.count_nonzero(kept)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[kept])]).dictionary_encode()
+        ends = np.searchsorted(np.flatnonzero(first), np.cumsum([len(t) + 1 for t in texts], dtype=np.int64))
+        return words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(), ends
+
+    def _piece_ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [b" ".join(pieces[a : a + self.IN_ONE]).decode("latin-1") for a in range(0, len(pieces), self.IN_ONE)]
+        flat = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), f"u{self.width}")
+        return flat, np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
+
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), f"u{self.width}"), np.fromiter(map(len, ids), np.int32, len(ids))
+
+    def _coded(self, pieces: list, ids_of) -> np.ndarray:
+        """Codes of pieces; ids_of gives the ids of those never met, and how many each has."""
         codes = self.codes
-        if None not in codes:
-            codes[None] = 0
-            self.flat, self.start, self.count = np.array([end], f"u{self.width}"), np.zeros(1, np.int64), np.ones(1, np.int32)
-        fresh, base = list({w for w in words if w not in codes}), len(codes)
+        fresh, base = list(dict.fromkeys([w for w in pieces if w not in codes])), len(codes)
         if fresh:
-            codes.update(zip(fresh, range(base, base + len(fresh)), strict=True))
             flats, counts = [self.flat], [self.count]
             for a in range(0, len(fresh), self.AT_ONCE):
-                ids = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[a : a + self.AT_ONCE], add_special_tokens=False)]
-                counts.append(np.fromiter(map(len, ids), np.int32, len(ids)))
-                flats.append(np.fromiter(chain.from_iterable(ids), f"u{self.width}", int(counts[-1].sum())))
+                flat, count = ids_of(part := fresh[a : a + self.AT_ONCE])
+                if len(count) != len(part):
+                    raise ValueError("the ids don't show where pieces end")
+                flats.append(flat), counts.append(count.astype(np.int32))
+            codes.update(zip(fresh, range(base, base + len(fresh)), strict=True))
             self.flat, self.count = np.concatenate(flats), np.concatenate(counts)
             ends = np.cumsum(self.count[base:], dtype=np.int64) + (self.start[-1] + self.count[base - 1])
             self.start = np.concatenate([self.start, ends - self.count[base:]])
-        at = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(codes.__getitem__, pieces), np.int64, len(pieces))
+
+    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts, each with the end id, and their counts."""
+        if len(self.codes) > self.CACHE:
+            self._halve()
+        if None not in self.codes:
+            self.codes[None] = 0
+            self.flat, self.start, self.count = np.array([end], f"u{self.width}"), np.zeros(1, np.int64), np.ones(1, np.int32)
+        segments = [self._segments(t) for t in texts]
+        runs = [x for of in segments for x in of if isinstance(x, list)]
+        pieces, at, ends = self._cut([x for of in segments for x in of if isinstance(x, bytes)])
+        cut = iter(np.split(self._coded(pieces, self._piece_ids)[at], ends))
+        rest = iter(np.split(self._coded(list(chain.from_iterable(runs)), self._word_ids), np.cumsum([len(x) for x in runs], dtype=np.int64)))
+        parts, stop = [], np.zeros(1, np.int64)  # the end id's code
+        for of in segments:
+            parts += [next(cut if isinstance(x, bytes) else rest) for x in of]
+            parts.append(stop)
+        at = np.concatenate(parts) if parts else stop[:0]
         lens = self.count[at]
-        ends = np.cumsum(lens)
+        ends = np.cumsum(lens, dtype=np.int64)
         out = self.flat[np.repeat(self.start[at] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return out, np.diff(np.r_[0, ends[at == codes[None]]])
+        return out, np.diff(np.r_[0, ends[at == 0]])
 
 
 @lru_cache(maxsize=2)
@@ -241,7 +296,7 @@ def write_shards(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text:
             return row
 
         for batch in batches:
-            for a, b in byte_slices(batch.column(1), 1 << 20):  # a slice's words and places take many times its bytes
+            for a, b in byte_slices(batch.column(1), 2 << 20):  # a slice's words and places take many times its bytes
                 cut = batch.slice(a, b - a)
                 flat, n = encoder.encode([t or "" for t in cut.column(1).to_pylist()], end_id)
                 nulls += cut.column(0).null_count

@@ -127,6 +127,38 @@ def test_token_ids_of_many_new_pieces():
     assert max(most) <= 5000
 
 
+def test_token_ids_of_odd_characters():
+    """Latin-1 texts, cut by their bytes, and others beside them give the library's ids, from strings of many new pieces."""
+    from tokenizers import Tokenizer
+
+    path, rng, strings = P.path("word_bpe_49k.json"), np.random.default_rng(11), []
+    encoder, library = token_ids.WordEncoder(path), Tokenizer.from_file(path)
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **options):
+            strings.extend(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    for name in {"tokenizer", "whole"} & vars(encoder).keys():
+        setattr(encoder, name, Counted(getattr(encoder, name)))
+    latin = ["'s", "'T", "'re", "'VE", "'ll", "'m", "'d", "'", "''", "r", "l", "\u00c9", "\u00df", "12", "\u00bd", ".", "the", "</w>", " ", "\n", "\x1c", "\x85", *map(chr, range(256))]
+    other = ["\u20ac", "\u0130", "\u03a3", "e\u0301", "<|endoftext|>", "<|", "\u2003", "\U0001f600"]
+    draw = lambda of, n: "".join(of[i] for i in rng.integers(0, len(of), n))
+    for _ in range(40):
+        texts = [draw(latin, rng.integers(0, 80)) + (draw(latin + other * 9, 20) if rng.random() < 0.3 else "") for _ in range(rng.integers(0, 12))]
+        ids, counts = encoder.encode(texts, 2)
+        want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == list(map(len, want))
+    for last in ("", " \u20ac"):
+        text = " ".join(draw("abcdefghijklmn", 9) for _ in range(5000)) + last
+        strings.clear()
+        ids, counts = encoder.encode([text], 2)
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2] and counts.tolist() == [len(ids)] and len(strings) < 50
+
+
 def test_token_ids_of_one_key(spark):
     """A key of most rows, and a null one, are dealt over tasks, in an order that is the same every time."""
     path, rng = P.path("word_bpe_49k.json"), np.random.default_rng(8)
