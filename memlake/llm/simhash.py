@@ -60,7 +60,11 @@ def _distance(a: str, b: str):
 
 
 def near_pairs(fps: DataFrame, bucket: int = 64) -> DataFrame:
-    """Edges (a, b) among distinct fingerprints fps(fp): all pairs within 2 bits that small buckets hold, and links through shared ball values for the rest."""
+    """Edges (a, b) among distinct fingerprints fps(fp): all pairs within 2 bits that small buckets hold, and links through shared ball values for the rest.
+
+    Spark sizes an exploded table by the rows before the explode, so it would broadcast the balls of a table of a few MB, 33 or 65 times
+    as many rows: they are joined by a merge, never broadcast.
+    """
     high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     flips = F.expr("transform(sequence(0, 31), i -> shiftleft(1L, i))")
     entry = fps.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("t"), high.alias("v")), F.struct(F.lit(1).alias("t"), low.alias("v")))).alias("e")).select("fp", "e.*")
@@ -68,14 +72,14 @@ def near_pairs(fps: DataFrame, bucket: int = 64) -> DataFrame:
     probe = fps.select("fp", F.explode(balls).alias("e")).select(F.col("fp").alias("p"), "e.*")
     sizes = written(entry.groupBy("t", "v").agg(F.count("*").alias("n")), "sizes")
     small = written(entry.join(sizes.where(F.col("n") <= bucket), ["t", "v"], "left_semi"), "small")
-    pairs = probe.join(small, ["t", "v"]).where((F.col("p") < F.col("fp")) & (_distance("p", "fp") <= 2)).select(F.col("p").alias("a"), F.col("fp").alias("b"))
+    pairs = probe.hint("merge").join(small, ["t", "v"]).where((F.col("p") < F.col("fp")) & (_distance("p", "fp") <= 2)).select(F.col("p").alias("a"), F.col("fp").alias("b"))
     # p < fp alone would lose a probe that only the larger makes, but radius-1 balls and equal segments are symmetric.
     large = sizes.where(F.col("n") > bucket).select("t", "v")
     crowded = written(probe.join(large, ["t", "v"], "left_semi").select(F.col("p").alias("fp")).distinct(), "crowded")
     ball64 = F.concat(F.array(F.col("fp")), F.expr("transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))"))
     star = crowded.select("fp", F.explode(ball64).alias("v"))
     centre = written(star.groupBy("v").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("v", "a"), "centre")
-    links = star.join(centre, "v").where(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b"))
+    links = star.hint("merge").join(centre, "v").where(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b"))
     edges = written(pairs.union(links), "links")
     drop_written(sizes, small, crowded, centre)
     return edges

@@ -297,6 +297,24 @@ def test_near_pairs(spark, bucket):
     assert [got.get(f, f) for f in fps] == [fps[c] for c in want]
 
 
+def test_near_pairs_broadcasts_no_balls(spark, monkeypatch):
+    """Spark sizes an exploded table by the rows before it, so no side of a join that holds one may be broadcast."""
+    plans, keep = [], simhash.written
+
+    def written(df, tag):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return keep(df, tag)
+
+    monkeypatch.setattr(simhash, "written", written)
+    rng = np.random.default_rng(9)
+    fps, crowd = [int(x) for x in rng.integers(0, 1 << 62, 300)], [int(x) << 32 for x in rng.integers(0, 1 << 30, 100)]
+    simhash.near_pairs(keep(spark.createDataFrame([(f,) for f in {*fps, *(f ^ 1 << 40 for f in fps), *crowd}], "fp long"), "fps"), 64)
+    joins = [p for p in plans if "explode" in p and "Join" in p and "LeftSemi" not in p]
+    assert joins
+    for plan in joins:
+        assert not re.search(r"BroadcastHashJoin|BroadcastNestedLoopJoin", plan), plan
+
+
 # ---------------------------------------------------------------- 6
 
 
