@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -123,6 +124,24 @@ def test_fold_forms_agree_and_invariants(spark, sf_dir):
     assert o.join(v, o.latest_version_id == v.version_id).where(v.status == "active").count() == o.count() == c.select("object_id").distinct().count()
 
 
+def test_array_fold_of_a_long_key(spark, monkeypatch):
+    """The same decisions as the streaming fold over runs and blocks of any size, and a long key takes about as long as as many rows of short ones."""
+    value = F.element_at(F.split(F.lit("red hat,big red hat,blue shoe,blue shoe now,red,a shoe blue red now,green"), ","), (F.pmod(F.xxhash64("id"), F.lit(7)) + 1).cast("int"))
+    columns = (F.concat(F.lit("e"), "id").alias("event_id"), value.alias("normalized_value"), F.when(F.col("id") % 11 == 0, "uncertain").otherwise("active").alias("status"), F.col("id").alias("seq"), F.lit(0).alias("atom_pos"), F.lit(0).alias("slot_pos"), F.lit("singleton").alias("policy"))
+    rows = lambda n, keys: spark.range(n).select((F.col("id") % keys).cast("string").alias("object_id"), *columns)
+    key = lambda df: sorted((r.object_id, r.seq, r.action, r.reason) for r in df.collect())
+    want = key(reconcile.reconcile_streaming_fold(rows(100, 3)))
+    for sizes in ((1, 1), (2, 6), (16, 512)):
+        monkeypatch.setattr(reconcile, "FOLD", sizes)
+        assert key(reconcile.reconcile_singleton(rows(100, 3))) == want
+    took = []
+    for keys in (2000, 2000, 1):
+        began = time.time()
+        assert reconcile.reconcile_singleton(rows(20_000, keys)).select("action").distinct().count() > 3
+        took.append(time.time() - began)
+    assert took[2] < 5 * took[1] + 3
+
+
 def test_batches_streams_and_replays(spark, sf_dir, tmp_path):
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     t = event_turns(spark, sf_dir).orderBy("seq").limit(240).persist()
