@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import re
 import time
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memlake.api import MemoryService
@@ -17,8 +19,9 @@ from memlake.cli import build_parser
 from memlake.functions import answers as A
 from memlake.functions import temporal as TM
 from memlake.functions import text as T
+from memlake.functions import vectors
 from memlake.functions.vectors import batched_embedding
-from memlake.operators import extract, reconcile, snapshots
+from memlake.operators import extract, reconcile, search, snapshots
 from memlake.plans import catalogue
 from memlake.sources.store import Store
 from memlake.sources.turns import dialogue_questions, dialogue_turns, event_turns, normalize_json_turns, payload_turns, read_samples
@@ -142,6 +145,23 @@ def test_array_fold_of_a_long_key(spark, monkeypatch):
     assert took[2] < 5 * took[1] + 3
 
 
+def test_top_similar_is_the_cosine(spark):
+    """The first k by cosine() of all pairs, also of odd vectors and ties, without a join that passes every pair."""
+    r = random.Random(8)
+    inf, nan = float("inf"), float("nan")
+    odd = [None, [], [0.0] * 4, [1.0, None, 0.0, 2.0], [nan, 1.0, 2.0, 3.0], [inf, 1.0, 0.0, 0.0], [1e-200] * 4, [1e200] * 4, [1.0, 2.0], [1.0] * 5, [-0.0] * 4, [1e-160, 1e-170, 0.0, 1e-165]]
+    plain = [[r.choice([-1.0, 0.5, 2.0, r.random()]) for _ in range(4)] for _ in range(60)]
+    v = spark.createDataFrame(list(enumerate([*odd, *plain, *plain[:20], *odd])), "vec_id long, embedding array<double>").repartition(3)
+    q = v.where("vec_id % 2 = 0 or vec_id < 12").select(F.concat(F.lit("q"), "vec_id").alias("qid"), "embedding")
+    every = v.join(q.select("qid", F.col("embedding").alias("q")), F.lit(True)).select("qid", "vec_id", F.round(vectors.cosine("q", "embedding"), 6).alias("score"))
+    for k in (1, 7):
+        got = search.top_similar(v, q, k)
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+        want = every.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "vec_id"))).where(F.col("rank") <= k)
+        rows = lambda df: sorted(map(str, df.select("qid", "rank", "vec_id", "score").collect()))
+        assert rows(got) == rows(want)
+
+
 def test_batches_streams_and_replays(spark, sf_dir, tmp_path):
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     t = event_turns(spark, sf_dir).orderBy("seq").limit(240).persist()
