@@ -145,6 +145,24 @@ def test_pruned_ranking_scores_little(spark, sf_dir):
         assert all(s <= 1 for s in shares.values())
 
 
+def test_pruned_ranking_shuffles_little(spark, sf_dir, monkeypatch):
+    """Neither postings nor scored events are shuffled to meet the questions, scored rows carry only what ranks them, and spans still have all columns; a direction is one pivot."""
+    q, _, events = catalogue._searched(spark, sf_dir)
+    index = retrieval.index_events(events)
+    assert len({tuple(p) for p in index.pivots}) == len(index.pivots)
+    plans, columns, keep = {}, {}, retrieval.written
+
+    def written(df, tag):
+        plans[tag], columns[tag] = df._jdf.queryExecution().sparkPlan().toString(), df.columns
+        return keep(df, tag)
+
+    monkeypatch.setattr(retrieval, "written", written)
+    spans, _ = retrieval.ranked_spans(index, q)
+    assert "BroadcastHashJoin [term" in plans["listed"] and "BroadcastHashJoin [qid" in plans["first"]
+    assert not {"text", "surface", "line_refs"} & set(columns["first"])
+    assert set(spans.columns) == set(search.evidence_spans(search.rank_events(events, q)).columns)
+
+
 def test_a_stamp_is_parsed_once(spark):
     """All fields of a grounding read one parsed stamp, and atoms that aren't kept leave the others as they are."""
     turns = spark.createDataFrame([("c", "s", "Al", "I went yesterday.", "1:56 pm on 8 May, 2023", "{}", 1)], "corpus_id string, session_id string, speaker string, text string, timestamp string, metadata string, seq long")
