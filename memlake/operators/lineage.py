@@ -20,14 +20,16 @@ def chains(rows: DataFrame, key: str, previous: str) -> DataFrame:
     # to: the farthest row seen so far; done where it is the root.
     at = written(at.select("k", F.coalesce("p", "k").alias("to"), F.when(F.col("p").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.col("p").isNull().alias("done")), "chains")
     limit = at.count().bit_length() + 1
-    while not at.where("not done").isEmpty():
+    # Only rows that moved are written again: of most chains few rounds are left.
+    ended, rest = at.where("done"), at.where("not done")
+    while not rest.isEmpty():
         limit -= 1
         if limit == 0:
             raise ValueError(f"{previous} runs in a circle")
-        step = at.select(F.col("k").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("done").alias("end"))
-        moved = at.where("not done").join(step, "to").select("k", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), F.col("end").alias("done"))
-        at = written(at.where("done").unionByName(moved), "chains")
-    return at.select(F.col("k").alias(key), F.col("to").alias("root"), "depth")
+        step = ended.unionByName(rest).select(F.col("k").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("done").alias("end"))
+        moved = written(rest.join(step, "to").select("k", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), F.col("end").alias("done")), "chains")
+        ended, rest = ended.unionByName(moved.where("done")), moved.where("not done")
+    return ended.select(F.col("k").alias(key), F.col("to").alias("root"), "depth")
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int, src: str = "src", dst: str = "dst", seed: str = "node") -> DataFrame:

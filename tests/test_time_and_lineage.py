@@ -163,6 +163,21 @@ def test_pruned_ranking_shuffles_little(spark, sf_dir, monkeypatch):
     assert set(spans.columns) == set(search.evidence_spans(search.rank_events(events, q)).columns)
 
 
+def test_chains_write_only_what_moved(spark, monkeypatch):
+    """One long chain among many rows without one: a round doesn't write those again."""
+    rows = spark.createDataFrame([(f"s{i}", None) for i in range(300)] + [(f"c{i}", f"c{i - 1}" if i else None) for i in range(40)], "v string, p string")
+    sizes, keep = [], lineage.written
+
+    def written(df, tag):
+        sizes.append(df.count())
+        return keep(df, tag)
+
+    monkeypatch.setattr(lineage, "written", written)
+    got = {r.v: (r.root, r.depth) for r in lineage.chains(rows, "v", "p").collect()}
+    assert got == {f"s{i}": (f"s{i}", 0) for i in range(300)} | {f"c{i}": ("c0", i) for i in range(40)}
+    assert sizes[0] == 340 and all(n < 40 for n in sizes[1:])
+
+
 def test_a_stamp_is_parsed_once(spark):
     """All fields of a grounding read one parsed stamp, and atoms that aren't kept leave the others as they are."""
     turns = spark.createDataFrame([("c", "s", "Al", "I went yesterday.", "1:56 pm on 8 May, 2023", "{}", 1)], "corpus_id string, session_id string, speaker string, text string, timestamp string, metadata string, seq long")
